@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import op4_records, op5_packing, op6_lengths, op9_minhash, op10_bpe
+from . import op4_records, op5_packing, op6_lengths, op7_secrets, op8_quality, op9_minhash, op10_bpe
 
 QUERIES = {
     "op4_token_records": op4_records.op4_token_records,
     "op5_pack_sequences": op5_packing.op5_pack_sequences,
     "op6_length_histogram": op6_lengths.op6_length_histogram,
+    "op7_randomness_secrets": op7_secrets.op7_randomness_secrets,
+    "op8_line_field_quality": op8_quality.op8_line_field_quality,
     "op9_circulant_minhash": op9_minhash.op9_circulant_minhash,
     "op10_forced_boundary_bpe": op10_bpe.op10_forced_boundary_bpe,
 }
