@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op4_records, op5_packing, op6_lengths, op7_secrets, op8_quality, op9_minhash, op10_bpe
+from . import op3_sharding, op4_records, op5_packing, op6_lengths, op7_secrets, op8_quality, op9_minhash, op10_bpe
 
 QUERIES = {
+    "op3_minimax_shards": op3_sharding.op3_minimax_shards,
     "op4_token_records": op4_records.op4_token_records,
     "op5_pack_sequences": op5_packing.op5_pack_sequences,
     "op6_length_histogram": op6_lengths.op6_length_histogram,
