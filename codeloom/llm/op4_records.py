@@ -3,8 +3,8 @@
 A data file is a run of frames: payload length (u64), masked checksum of those eight bytes (u32),
 payload, masked checksum of the payload (u32), all little-endian. The checksum is CRC-32, turned
 right by 15 bits and raised by a constant, so that a checksum stored inside a payload is not mistaken
-for its own. A payload is one byte that says whether the document has an id, the id (i64), and the
-token ids (u32 each). The index file of a data file holds offset and length (u64 each) of each
+for its own. A payload is one byte that says whether the document has an id, one
+with the bytes of a token id (2 where the vocabulary allows it, else 4), the document's id (i64), and the token ids. The index file of a data file holds offset and length (u64 each) of each
 frame's payload, so that any record is read with one seek, in any order.
 
 Rows are range-partitioned and sorted by document id, each partition is encoded as it streams by and
@@ -25,6 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from .common import fresh_path, parts_for, stash
 #: Added to the turned checksum.
 MASK_DELTA = 0xA282EAD8
 _HEAD, _CRC, _INDEX = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<QQ")
-_ID = struct.Struct("<Bq")
+_ID = struct.Struct("<BBq")
 #: Sizes of the frame's parts around a payload.
 BEFORE, AFTER = _HEAD.size + _CRC.size, _CRC.size
 
@@ -50,13 +51,16 @@ def frame(payload: bytes) -> bytes:
     return b"".join((head, _CRC.pack(masked(head)), payload, _CRC.pack(masked(payload))))
 
 
-def payload_of(doc_id: int | None, ids: bytes) -> bytes:
-    return _ID.pack(doc_id is not None, doc_id or 0) + ids
+def payload_of(doc_id: int | None, ids: bytes, width: int = 4) -> bytes:
+    """``ids``: little-endian u32 each."""
+    body = ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
+    return _ID.pack(doc_id is not None, width, doc_id or 0) + body
 
 
 def parse(payload: bytes) -> tuple[int | None, bytes]:
-    has_id, doc_id = _ID.unpack_from(payload)
-    return (doc_id if has_id else None), payload[_ID.size :]
+    has_id, width, doc_id = _ID.unpack_from(payload)
+    body = payload[_ID.size :]
+    return (doc_id if has_id else None), body if width == 4 else np.frombuffer(body, dtype="<u2").astype("<u4").tobytes()
 
 
 def filesystem(uri: str):
@@ -66,14 +70,14 @@ def filesystem(uri: str):
     return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, records: Iterable[tuple[int | None, bytes]]) -> tuple[int, int]:
+def write_file(uri: str, records: Iterable[tuple[int | None, bytes]], width: int = 4) -> tuple[int, int]:
     """Writes a data file and its index; (records, tokens)."""
     fs, path = filesystem(uri)
     tmp, n, tokens, at = f"{path}.{uuid.uuid4().hex}", 0, 0, 0
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(f"{tmp}.rec") as data, fs.open_output_stream(f"{tmp}.idx") as index:
         for doc_id, ids in records:
-            framed = frame(payload := payload_of(doc_id, ids))
+            framed = frame(payload := payload_of(doc_id, ids, width))
             data.write(framed)
             index.write(_INDEX.pack(at + BEFORE, len(payload)))
             at, n, tokens = at + len(framed), n + 1, tokens + len(ids) // 4
@@ -143,7 +147,8 @@ def write_records(docs: DataFrame, dest: str, path: str, end_id: int, partitions
                     yield doc_id.as_py(), enc.encode(text.as_py()) + end
 
         file = f"{dest}/shard-{shard:06d}"
-        made, tokens = write_file(file, records())
+        width = 2 if max(word_encoder(path).tok.get_vocab_size(with_added_tokens=True), end_id) < 1 << 16 else 4
+        made, tokens = write_file(file, records(), width)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [file], "n_records": [made], "n_tokens": [tokens]})
 
     made = rows.repartitionByRange(n, *keys[:2]).sortWithinPartitions(*keys).mapInArrow(run, "shard int, file string, n_records long, n_tokens long")
