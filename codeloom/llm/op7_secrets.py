@@ -144,23 +144,23 @@ def _step(bare: str, enc: str) -> str:
 
 
 def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` (spans of the patterns) and ``_runs`` (candidates of the battery: span,
+    """``docs`` with ``__cl_base`` (spans of the patterns) and ``__cl_runs`` (candidates of the battery: span,
     class of length ``c``, step of the p-value ``p``)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumns({f"_h{k}": _hits(text, p, g) for k, (p, g, _) in enumerate(KINDS.values())} | {"_h9": _hits(text, CANDIDATE, 0)})
-    base = "concat({})".format(", ".join(_placed(f"_h{k}", k, least) for k, (_, _, least) in enumerate(KINDS.values())))
-    out = out.withColumns({"_base": F.expr(f"array_sort({base})"), "_found": F.expr(_placed("_h9", 9, 20))})
-    place = f"transform(_found, r -> named_struct('s', r.s, 'e', r.e, 'b', {_bare(f'substring(coalesce({text_col}, {chr(39) * 2}), r.s + 1, r.e - r.s)')}))"
-    named = out.withColumn("_found", F.expr(place)).withColumn("_found", F.expr(f"filter(transform(_found, r -> named_struct('s', r.s, 'e', r.e, 'b', r.b, 'n', {_encoding('r.b')})), r -> r.n is not null and char_length(r.b) >= 20)"))
+    out = docs.withColumns({f"__cl_h{k}": _hits(text, p, g) for k, (p, g, _) in enumerate(KINDS.values())} | {"__cl_h9": _hits(text, CANDIDATE, 0)})
+    base = "concat({})".format(", ".join(_placed(f"__cl_h{k}", k, least) for k, (_, _, least) in enumerate(KINDS.values())))
+    out = out.withColumns({"__cl_base": F.expr(f"array_sort({base})"), "__cl_found": F.expr(_placed("__cl_h9", 9, 20))})
+    place = f"transform(__cl_found, r -> named_struct('s', r.s, 'e', r.e, 'b', {_bare(f'substring(coalesce({text_col}, {chr(39) * 2}), r.s + 1, r.e - r.s)')}))"
+    named = out.withColumn("__cl_found", F.expr(place)).withColumn("__cl_found", F.expr(f"filter(transform(__cl_found, r -> named_struct('s', r.s, 'e', r.e, 'b', r.b, 'n', {_encoding('r.b')})), r -> r.n is not null and char_length(r.b) >= 20)"))
     cls = "case " + " ".join(f"when char_length(r.b) <= {n} then {k}" for k, n in enumerate(LENGTH_CLASSES)) + f" else {len(LENGTH_CLASSES)} end"
-    runs = F.expr(f"transform(_found, r -> named_struct('s', r.s, 'e', r.e, 'c', {cls}, 'p', {_step('r.b', 'r.n')}))")
-    return named.withColumn("_runs", runs).drop("_found", "_h9", *(f"_h{k}" for k in range(len(KINDS))))
+    runs = F.expr(f"transform(__cl_found, r -> named_struct('s', r.s, 'e', r.e, 'c', {cls}, 'p', {_step('r.b', 'r.n')}))")
+    return named.withColumn("__cl_runs", runs).drop("__cl_found", "__cl_h9", *(f"__cl_h{k}" for k in range(len(KINDS))))
 
 
 def thresholds(found: DataFrame, rate: float = FALSE_DISCOVERY) -> dict[int, int]:
     """Per class of length the step of the p-value from which on randomness is rejected, by the
     Benjamini-Hochberg rule; classes without a rejection are missing."""
-    runs = found.select(F.explode("_runs").alias("r")).groupBy("r.c", "r.p").agg(F.count(F.lit(1)).alias("n"))
+    runs = found.select(F.explode("__cl_runs").alias("r")).groupBy("r.c", "r.p").agg(F.count(F.lit(1)).alias("n"))
     rows = runs.collect()  # classes times steps at most
     out: dict[int, int] = {}
     for c in {r.c for r in rows}:
@@ -174,11 +174,11 @@ def thresholds(found: DataFrame, rate: float = FALSE_DISCOVERY) -> dict[int, int
 
 
 def with_spans(found: DataFrame, limits: dict[int, int]) -> DataFrame:
-    """``found`` with ``_spans``: the patterns' spans and the ``random`` ones, by start and kind."""
+    """``found`` with ``__cl_spans``: the patterns' spans and the ``random`` ones, by start and kind."""
     limit = "case r.c " + " ".join(f"when {c} then {p}" for c, p in sorted(limits.items())) + " else 1000000 end" if limits else "1000000"
-    kept = f"filter(_runs, r -> r.p < {limit} and not exists(_base, b -> b.s < r.e and r.s < b.e))"
-    spans = f"array_sort(concat(_base, transform({kept}, r -> named_struct('s', r.s, 'k', {len(KINDS)}, 'e', r.e))))"
-    return found.withColumn("_spans", F.expr(spans)).drop("_runs")
+    kept = f"filter(__cl_runs, r -> r.p < {limit} and not exists(__cl_base, b -> b.s < r.e and r.s < b.e))"
+    spans = f"array_sort(concat(__cl_base, transform({kept}, r -> named_struct('s', r.s, 'k', {len(KINDS)}, 'e', r.e))))"
+    return found.withColumn("__cl_spans", F.expr(spans)).drop("__cl_runs")
 
 
 def _joined(spans: str) -> Column:
@@ -190,19 +190,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """``doc_id, base, spans``: arrays of (s, k, e) with start, number of the kind, end."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = stash(find_spans(rows).drop("text"), "found")
-    return with_spans(found, thresholds(found)).select("doc_id", F.col("_base").alias("base"), F.col("_spans").alias("spans"))
+    return with_spans(found, thresholds(found)).select("doc_id", F.col("__cl_base").alias("base"), F.col("__cl_spans").alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mask``; spans that overlap or touch become one."""
-    found = stash(find_spans(docs.select(F.col(text_col).alias("text"))).select("_runs"), "runs")
+    found = stash(find_spans(docs.select(F.col(text_col).alias("text"))).select("__cl_runs"), "runs")
     limits = thresholds(found)
     discard(found)
     marked = with_spans(find_spans(docs, text_col), limits)
-    cut = f"""aggregate(_spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', greatest(a.at, x.e), 'out',
+    cut = f"""aggregate(__cl_spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', greatest(a.at, x.e), 'out',
         if(x.s > a.at or a.at = 0, concat(a.out, substring({text_col}, a.at + 1, x.s - a.at), '{mask}'), a.out)),
         a -> concat(a.out, substring({text_col}, a.at + 1)))"""
-    return marked.withColumn(text_col, F.when(F.size("_spans") > 0, F.expr(cut)).otherwise(F.col(text_col))).drop("_base", "_spans")
+    return marked.withColumn(text_col, F.when(F.size("__cl_spans") > 0, F.expr(cut)).otherwise(F.col(text_col))).drop("__cl_base", "__cl_spans")
 
 
 def op7_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,10 @@ repeated rows and null ids give a row each; columns other than those named are n
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -229,6 +231,21 @@ def judge(docs: DataFrame, field: LineField | None, share: float = CONTENT_SHARE
     return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col)), schema, run)
 
 
+def keep_good(docs: DataFrame, field: LineField | None, share: float = CONTENT_SHARE, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, that ``judge`` keeps; a map without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for t in batch.column(text_col):
+                text = t.as_py() or ""
+                words = text.encode().split()
+                kept.append(not base_failed(len(words), repeated_words(words)) and content_share(field, text) >= share)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label_lines(docs: DataFrame, field: LineField | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, labels array<int>``: the label of each line with a word, 0 content, 1 boilerplate."""
 
