@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import op3_sharding, op4_records, op5_packing, op6_lengths, op7_secrets, op8_quality, op9_minhash, op10_bpe
+from . import op1_warc, op2_search, op3_sharding, op4_records, op5_packing, op6_lengths, op7_secrets, op8_quality, op9_minhash, op10_bpe
 
 QUERIES = {
+    "op1_warc_derivatives": op1_warc.op1_warc_derivatives,
+    "op2_block_max_wand": op2_search.op2_block_max_wand,
     "op3_minimax_shards": op3_sharding.op3_minimax_shards,
     "op4_token_records": op4_records.op4_token_records,
     "op5_pack_sequences": op5_packing.op5_pack_sequences,
