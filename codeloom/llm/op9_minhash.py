@@ -12,7 +12,10 @@ members that are not yet linked with it, directly or not, are verified against i
 several rounds with other centres link nearly all. What is still apart inside a bucket is then
 verified pair by pair, so no link that joins two groups is left out. Two necessary conditions thin
 the pairs before: set sizes (exact), and the Hamming distance of one-bit sketches of the signature
-(at a similarity of 0.8 a pair is beyond the limit with a probability under 1e-9).
+(at a similarity of 0.8 a pair is beyond the limit with a probability under 1e-9). Pair by pair, a
+third one applies: the parity sketches of two sets differ in no more places than the sets have
+elements that are not shared, so a pair whose sketches differ in too many places has too little in
+common (exact, and nearly as sharp as the full sets while these are small).
 
 Buckets and groups are joined on their keys, never gathered: a hot bucket is split by the adaptive
 skew join, and counts are combined before the shuffle. Intermediate tables are written to the shared
@@ -38,6 +41,8 @@ from .common import discard, map_rows, stash
 BANDS, ROWS_PER_BAND = 32, 4
 #: Signature coordinates whose lowest bits may differ in a candidate pair; 12.8 +- 3.4 do at 0.8.
 SKETCH_BITS, SKETCH_LIMIT = 128, 36
+#: Places of the parity sketch: whether an odd number of a set's hashes fall there.
+PARITY_BITS = 2048
 STAR_ROUNDS = 3
 _M = 0xFFFFFFFFFFFFFFFF
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -123,19 +128,22 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``rep, items``: the full sets of the representatives ``wanted (rep, d1, d2)``."""
+    """``rep, items, parity``: the full sets of the representatives ``wanted (rep, d1, d2)``, and their
+    parity sketches."""
     import xxhash
 
     def run(ids, texts, firsts, seconds):
-        reps, items = [], []
+        reps, items, parity = [], [], []
         for i, text, d1, d2 in zip(ids, texts, firsts, seconds, strict=True):
-            raw = shingle_set(text, words).tobytes()
+            found = shingle_set(text, words)
+            raw = found.tobytes()
             if tuple(np.frombuffer(xxhash.xxh128_digest(raw), dtype=np.int64)) == (d1, d2):
-                reps.append(i), items.append(raw)
-        return {"rep": reps, "items": items}
+                odd = np.bincount((found % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+                reps.append(i), items.append(raw), parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        return {"rep": reps, "items": items, "parity": pa.array(parity, pa.list_(pa.int64()))}
 
     texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("doc_id", "text", "d1", "d2")
-    return map_rows(texts, "rep long, items binary", run, rows=200).dropDuplicates(["rep"])
+    return map_rows(texts, "rep long, items binary, parity array<long>", run, rows=200).dropDuplicates(["rep"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -199,11 +207,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         if turn < star_rounds:
             other = apart.select("key", "c.*")
         else:
-            other = now.join(apart.select("key"), "key", "left_semi")
-        other = other.select("key", *(F.col(x).alias(f"{x}_c") for x in ("rep", "comp", "n", "s1", "s2")))
+            now = now.join(apart.select("key"), "key", "left_semi").join(sets.select("rep", "parity"), "rep")
+            other = now
+        other = other.select("key", *(F.col(x).alias(f"{x}_c") for x in other.columns if x != "key"))
         differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_c"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_c")))
         fits = (100 * F.least("n", "n_c") >= percent * F.greatest("n", "n_c")) & (differ <= SKETCH_LIMIT)
         order = F.col("comp") != F.col("comp_c") if turn < star_rounds else F.col("comp_c") < F.col("comp")
+        if turn == star_rounds:
+            apart_in = F.aggregate(F.zip_with("parity", "parity_c", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+            fits = fits & (apart_in * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_c")))
         pairs = now.join(other, (now["key"] == other["key"]) & order & fits).select(F.least("rep", "rep_c").alias("a"), F.greatest("rep", "rep_c").alias("b")).distinct()
         new = stash(_verified(pairs, sets, percent), "edges")
         if not new.isEmpty():
