@@ -1,0 +1 @@
+"""codeloom: a PySpark-native analytics engine for code-intelligence tables."""
