@@ -4,9 +4,9 @@ Documents are encoded in one pass that keeps only lengths and checksums; longer
 pieces of the capacity. Pieces are dealt evenly, in turn, to groups of bounded size. Each group is
 packed best-fit decreasing; then pieces are moved, or exchanged one-for-one or two-for-one, between
 underfull bins whenever that raises the sum of squared fills, until the emptiest bins are empty, no
-exchange helps, or the number of bins is the least possible. No two bins filled to at most half
-can remain in a group, so at most one such bin per group is left; these are packed again together in
-groups of groups.
+exchange helps, or the number of bins is the least possible. What room a group leaves is gathered in its
+emptiest bin, so the pieces of these bins, one bin per group, are packed again together in groups of
+groups.
 
 Edge cases: null text counts as empty (its end id alone is one piece); repeated rows and null ids
 are pieces of their own; an empty table gives no rows; pieces of the full capacity take a sequence
@@ -29,6 +29,8 @@ from .common import stash
 
 #: Pieces in a group that one task packs.
 GROUP = 16384
+#: Groups whose emptiest bins are packed again by one task.
+MERGED = 256
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -144,7 +146,8 @@ def pack(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pack_groups(pieces: DataFrame, capacity: int, first_id: int) -> DataFrame:
-    """Packs each ``grp`` by itself; adds ``sequence_id, offset, fill``."""
+    """Packs each ``grp`` by itself; adds ``sequence_id, offset`` and ``open``, which marks the emptiest
+    bin if it is not full."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32", "start")])
@@ -155,13 +158,15 @@ def _pack_groups(pieces: DataFrame, capacity: int, first_id: int) -> DataFrame:
         heads = np.searchsorted(bins[order], bins[order], side="left")
         offset = np.empty_like(lengths)
         offset[order] = before - before[heads]
-        fill = np.bincount(bins, weights=lengths).astype(np.int64)[bins]
+        fill = np.bincount(bins, weights=lengths)
+        fill[fill == 0] = capacity  # bins that the search has emptied
+        emptiest = int(np.argmin(fill))
         group = table["grp"][0].as_py()
-        for name, col in (("sequence_id", first_id + (group << 32) + bins), ("offset", offset), ("fill", fill)):
-            table = table.append_column(name, pa.array(col, pa.int64()))
+        for name, col in (("sequence_id", first_id + (group << 32) + bins), ("offset", offset), ("open", (bins == emptiest) & (fill[emptiest] < capacity))):
+            table = table.append_column(name, pa.array(col))
         return table
 
-    return pieces.groupBy("grp").applyInArrow(run, f"{_PIECE}, grp long, sequence_id long, offset long, fill long")
+    return pieces.groupBy("grp").applyInArrow(run, f"{_PIECE}, grp long, sequence_id long, offset long, open boolean")
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,10 +175,10 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int =
     pieces = cut_pieces(docs, path, end_id, capacity, groups, id_col, text_col)
     packed = stash(_pack_groups(pieces, capacity, 0), "packed")
     if groups > 1:
-        left = packed.filter(F.col("fill") <= capacity // 2).drop("sequence_id", "offset", "fill")
-        again = left.withColumn("grp", F.expr(f"grp div {max(1, group // 64)}"))
-        packed = packed.filter(F.col("fill") > capacity // 2).unionByName(_pack_groups(again, capacity, 1 << 61))
-    return packed.drop("grp", "fill")
+        left = packed.filter("open").drop("sequence_id", "offset", "open")
+        again = left.withColumn("grp", F.expr(f"grp div {MERGED}"))
+        packed = packed.filter("not open").unionByName(_pack_groups(again, capacity, 1 << 61))
+    return packed.drop("grp", "open")
 
 
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
