@@ -73,7 +73,7 @@ def camel_words(name: Column) -> Column:
 
 def first_sentence(doc: Column) -> Column:
     one_line = F.trim(F.regexp_replace(doc, r"\s+", " "))
-    return F.regexp_extract(one_line, r"^(.*?[.!?])(?: |$)|^(.*)$", 0)
+    return F.rtrim(F.regexp_extract(one_line, r"^.*?[.!?](?: |$)|^.*$", 0))
 
 
 def truncated(doc: Column, limit: int) -> Column:
