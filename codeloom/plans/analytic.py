@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import exprs as E
+from codeloom.literals import literal_rows
 from codeloom.operators import classify as K
 from codeloom.operators import graph as G
 from codeloom.operators import lookup as L
@@ -122,7 +123,7 @@ def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
 select node, min(depth)::int depth from w group by 1 having min(depth) > 0""")
 def bfs_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callers upward to a depth, the first depth of each."""
-    return G.walk_callers(supplier_edges(Tables(spark, sf_dir)), spark.createDataFrame([(3,)], "node long"), 3)
+    return G.walk_callers(supplier_edges(Tables(spark, sf_dir)), literal_rows(spark, [(3,)], "node long"), 3)
 
 
 @query(f"""with recursive {EDGES}, b as materialized (select src, dst from (select *, row_number() over (partition by src order by dst) n from edges) where n <= 2),
@@ -130,7 +131,7 @@ w(node, depth) as (select 3::bigint, 0 union select b.dst, depth + 1 from w join
 select b.src, b.dst, (d + 1)::int depth from f join b on b.src = f.node where d < 3""")
 def bfs_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callees downward with a fan-out cap, edges kept."""
-    return G.walk_callees(supplier_edges(Tables(spark, sf_dir)), spark.createDataFrame([(3,)], "node long"), 3, 2)
+    return G.walk_callees(supplier_edges(Tables(spark, sf_dir)), literal_rows(spark, [(3,)], "node long"), 3, 2)
 
 
 @query(f"""with recursive {EDGES}, d as (select src, dst from edges where src < dst), n as (select src node from d union select dst from d), w(node, level) as (select node, 0 from n where node not in (select dst from d) union select d.dst, level + 1 from w join d on d.src = w.node)
@@ -167,7 +168,7 @@ select start, array_to_string(path, '>') path from w qualify row_number() over (
 def primary_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy path of best-scored callees."""
     t = Tables(spark, sf_dir)
-    x = G.primary_flow(supplier_edges(t), spark.createDataFrame([(1,), (3,), (7,)], "node long"), t.supplier.select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("score")))
+    x = G.primary_flow(supplier_edges(t), literal_rows(spark, [(1,), (3,), (7,)], "node long"), t.supplier.select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("score")))
     return x.select("start", F.array_join("path", ">").alias("path"))
 
 
@@ -213,7 +214,7 @@ r as (select *, row_number() over (partition by query order by d, length(p_name)
 select query, p_name, d::int distance, rank::int rank from r where rank <= 5""")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names within an edit distance."""
-    inputs = spark.createDataFrame([(n,) for n in ("red widgt", "smal rign", "hot rods", "blue bolt")], "query string")
+    inputs = literal_rows(spark, [(n,) for n in ("red widgt", "smal rign", "hot rods", "blue bolt")], "query string")
     return L.fuzzy(inputs, Tables(spark, sf_dir).part.select("p_name"), "p_name").select("query", "p_name", F.col("distance").cast("int").alias("distance"), F.col("rank").cast("int").alias("rank"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import exprs as E
+from codeloom.literals import literal_rows
 from codeloom.operators import aggregates as A
 from codeloom.operators import classify as K
 from codeloom.operators import graph as G
@@ -41,7 +42,7 @@ class Index:
         return G.call_edges(self.call_graph, self.symbols)
 
     def _ids(self, ids: list[str], name: str) -> DataFrame:
-        return self.spark.createDataFrame([(i,) for i in ids], f"{name} string")
+        return literal_rows(self.spark, [(i,) for i in ids], f"{name} string")
 
     # navigation
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import exprs as E
+from codeloom.literals import literal_rows
 from codeloom.operators import aggregates as A
 from codeloom.operators import graph as G
 from codeloom.operators import lookup as L
@@ -38,7 +39,7 @@ select query, p_name, tier::int tier from b where tier = best""")
 def lookup_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact name, else equal but for case, else containing."""
     t = Tables(spark, sf_dir)
-    inputs = spark.createDataFrame([(n,) for n in NAMES], "query string")
+    inputs = literal_rows(spark, [(n,) for n in NAMES], "query string")
     names = t.part.select("p_name").distinct()
     return L.by_name(inputs, names, name="p_name").select("query", "p_name", F.col("tier").cast("int").alias("tier"))
 
@@ -52,7 +53,7 @@ select query_pkg, query_name, p_partkey, tier::int tier from b where tier = best
 def qualified_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact package, else its suffix after a slash."""
     t = Tables(spark, sf_dir)
-    inputs = spark.createDataFrame([("pkg/Brand#2", "small ring"), ("Brand#17", "red widget"), ("rand#17", "red widget")], "query_pkg string, query_name string")
+    inputs = literal_rows(spark, [("pkg/Brand#2", "small ring"), ("Brand#17", "red widget"), ("rand#17", "red widget")], "query_pkg string, query_name string")
     parts = t.part.select("p_partkey", F.col("p_name").alias("name"), F.concat(F.lit("pkg/"), "p_brand").alias("pkg_path"))
     return L.qualified(inputs, parts).select("query_pkg", "query_name", "p_partkey", F.col("tier").cast("int").alias("tier"))
 
@@ -87,7 +88,7 @@ with i(id) as (values (1), (5), (5), (77), (999999999))
 select p_partkey, p_name, p_brand from part where p_partkey in (select id from i)""")
 def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows for a list of ids, repeated and unknown ones included."""
-    ids = spark.createDataFrame([(i,) for i in (1, 5, 5, 77, 999999999)], "p_partkey long")
+    ids = literal_rows(spark, [(i,) for i in (1, 5, 5, 77, 999999999)], "p_partkey long")
     return L.batch_lookup(ids, Tables(spark, sf_dir).part.select("p_partkey", "p_name", "p_brand"), "p_partkey")
 
 
@@ -253,7 +254,7 @@ two as (select distinct o.seed, e.src node from one o join edges e on e.dst = o.
 @query(_HOPS + " select seed::bigint seed, node, 1 as hop from one union all select seed::bigint, node, 2 from two")
 def impact_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J6, J6m, J16, U1, U2: callers in one hop, and in two if not in one."""
-    seeds = spark.createDataFrame([(1,), (2,), (3,), (5,)], "seed long")
+    seeds = literal_rows(spark, [(1,), (2,), (3,), (5,)], "seed long")
     return R.two_hops(supplier_edges(Tables(spark, sf_dir)), seeds)
 
 
@@ -262,7 +263,7 @@ select k node, min(p)::int first_phase, array_to_string(list(h order by p), ',')
 def impact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phases merged by id; the first fixes the place, all leave hints."""
     t = Tables(spark, sf_dir)
-    hops = R.two_hops(supplier_edges(t), spark.createDataFrame([(1,), (2,), (3,), (5,)], "seed long"))
+    hops = R.two_hops(supplier_edges(t), literal_rows(spark, [(1,), (2,), (3,), (5,)], "seed long"))
     peers = t.supplier.filter("s_nationkey = 3").select(F.col("s_suppkey").alias("node"))
     x = R.merge_phases([("caller", hops.filter("hop = 1")), ("transitive", hops.filter("hop = 2")), ("peer", peers)], "node")
     return x.select("node", "first_phase", F.array_join("hints", ",").alias("hints"))
@@ -295,8 +296,8 @@ def guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule violations, with allowed suffixes."""
     t = Tables(spark, sf_dir)
     x = _crossings(t).join(t.supplier.select(F.col("s_suppkey").alias("src"), F.col("s_name").alias("src_name")), "src")
-    rules = spark.createDataFrame([("no-up", "layer0", "layer3"), ("no-side", "layer1", "layer2")], "rule string, from_grp string, to_grp string")
-    return R.violations(x, rules, spark.createDataFrame([("no-up", "1")], "rule string, suffix string")).select("rule", "src", "dst")
+    rules = literal_rows(spark, [("no-up", "layer0", "layer3"), ("no-side", "layer1", "layer2")], "rule string, from_grp string, to_grp string")
+    return R.violations(x, rules, literal_rows(spark, [("no-up", "1")], "rule string, suffix string")).select("rule", "src", "dst")
 
 
 @query("""

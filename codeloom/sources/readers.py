@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.literals import literal_rows
 from codeloom.schemas import schema
 
 
@@ -93,4 +94,4 @@ def literals(lines: DataFrame) -> DataFrame:
 
 def rules(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
     """Boundary rules ``rule, from_grp, to_grp`` from a parsed manifest, a short list."""
-    return spark.createDataFrame(rows, "rule string, from_grp string, to_grp string")
+    return literal_rows(spark, rows, "rule string, from_grp string, to_grp string")
