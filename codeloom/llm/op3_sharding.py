@@ -112,19 +112,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     n_rows = rows.count()
     blocks = max(1, min(BLOCKS, n_rows // 4000))
     placed = stash(groups.repartitionByRange(blocks, *order).withColumn("block", F.spark_partition_id()), "groups")
-    sums = sorted(placed.groupBy("block").agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest")).collect())  # a row for each range
-    if not sums:
+    sums = placed.groupBy("block").agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest"))  # a row for each range
+    so_far = F.sum("bytes").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("block", "largest", "bytes", F.coalesce(so_far, F.lit(0)).alias("before"))
+    found = offsets.collect()
+    if not found:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    starts, total = {}, 0
-    for s in sums:
-        starts[s.block] = total
-        total += s.bytes
-    spark = docs.sparkSession
-    offsets = F.broadcast(spark.createDataFrame(list(starts.items()), "block int, before long"))  # a row for each range
+    starts, total = [r.before for r in found], sum(r.bytes for r in found)
     cum = F.col("before") + F.sum("bytes").over(Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    summed = stash(placed.join(offsets, "block").select("g1", "g2", "bytes", cum.alias("cum")), "summed")
+    summed = stash(placed.join(F.broadcast(offsets.select("block", "before")), "block").select("g1", "g2", "bytes", cum.alias("cum")), "summed")
     discard(placed)
-    ends = minimax_cuts(summed, list(starts.values()), shards, max(s.largest for s in sums), total)
+    ends = minimax_cuts(summed, starts, shards, max(r.largest for r in found), total)
     shard = sum((F.when(F.col("cum") > e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
     chunks = max(1, min(1024, n_rows // 50_000))
     chunk = F.pmod(F.xxhash64("doc_id", "g1"), F.lit(chunks)).cast("int")
