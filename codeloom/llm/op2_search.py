@@ -6,10 +6,11 @@ neighbouring documents that are the same for all terms. Document frequencies, th
 and their mean length are summed over all shards before any score is computed, so scores do not
 depend on how documents are dealt.
 
-A query's terms are looked up in a shard; the sum of the block maxima of its terms bounds every score
-in a block. Blocks are taken by falling bound; once k scores are known, blocks whose bound is below
-the k-th are never decoded. The k best of each shard are merged by score, then by id, so ties have one
-order. Queries travel in blocks: one task searches one shard for one block of queries, and index
+A query's terms are looked up in a shard. Its short lists are read; its long ones, which hold most
+postings, are bounded in each block of documents by their maxima there. The likeliest documents are
+scored in full, and their k-th score is the pivot: a document is scored only if what was read and the
+maxima of its block reach it, all others are skipped with the long lists undecoded. The k best of each
+shard are merged by score, then by id, so ties have one order. Queries travel in blocks: one task searches one shard for one block of queries, and index
 and queries are files in the shared folder, so nothing grows with the corpus in a task or on the driver.
 
 BM25 with k1 = 1.2, b = 0.75 and idf = ln(1 + (N - df + 0.5) / (df + 0.5)), over the distinct terms of
@@ -38,7 +39,9 @@ from .common import fresh_path, map_rows, stash
 from .op4_records import filesystem
 
 #: Documents in a shard, documents in a block, queries in a block, at most.
-SHARD, BLOCK, QUERIES = 16384, 64, 256
+SHARD, BLOCK, QUERIES = 16384, 16, 256
+#: A list is long if it holds at least this part of a shard's documents (1 / LONG).
+LONG = 3
 K1, B = 1.2, 0.75
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -109,14 +112,28 @@ class Shard:
         self.docs = arrays["docs"].astype(np.int64)
         tf = arrays["freqs"].astype(np.float64)
         self.part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * arrays["lengths"][self.docs] / mean_length))
-        # postings of one term and block of documents are neighbours: their ranges and maxima
-        term_of = np.repeat(np.arange(len(self.terms)), np.diff(self.begins))
-        block = self.docs // BLOCK
-        first = np.flatnonzero(np.r_[True, (term_of[1:] != term_of[:-1]) | (block[1:] != block[:-1])]) if len(block) else np.empty(0, np.int64)
-        self.block, self.first = block[first], np.r_[first, len(block)]
-        self.peak = np.maximum.reduceat(self.part, first) if len(first) else np.empty(0)
-        self.runs = np.searchsorted(first, self.begins)  # where each term's blocks begin
+        # the same postings by document, terms rising
+        term_of = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.begins))
+        by_doc = np.argsort(self.docs, kind="stable")
+        self.doc_terms, self.doc_parts = term_of[by_doc], self.part[by_doc]
+        self.doc_begins = np.searchsorted(self.docs[by_doc], np.arange(len(self.ids) + 1))
+        # long lists: maxima of their blocks, a row for each list
         self.n_blocks = -(-len(self.ids) // BLOCK)
+        long = np.flatnonzero(np.diff(self.begins) * LONG >= max(len(self.ids), 1))
+        self.row_of = np.full(len(self.terms), -1, dtype=np.int32)
+        self.row_of[long] = np.arange(len(long))
+        self.peaks = np.zeros((len(long), self.n_blocks))
+        posts = _ranges(self.begins[long], self.begins[long + 1])
+        np.maximum.at(self.peaks, (self.row_of[term_of[posts]], self.docs[posts] // BLOCK), self.part[posts])
+
+    def _scores(self, docs: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Scores of documents, each summed over its terms in one order."""
+        first, last = self.doc_begins[docs], self.doc_begins[docs + 1]
+        posts = _ranges(first, last)
+        terms = self.doc_terms[posts]
+        k = np.minimum(np.searchsorted(at, terms), len(at) - 1)
+        value = np.where(at[k] == terms, idf[k] * self.doc_parts[posts], 0.0)
+        return np.bincount(np.repeat(np.arange(len(docs)), last - first), weights=value, minlength=len(docs))
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best, by falling score, then by rising id; ``terms`` are sorted."""
@@ -125,27 +142,29 @@ class Shard:
         if not len(here):
             return np.empty(0, np.int64), np.empty(0)
         at, idf = at[here], idf[here]
-        runs = _ranges(self.runs[at], self.runs[at + 1])
-        weight = np.repeat(idf, self.runs[at + 1] - self.runs[at])
-        bound = np.bincount(self.block[runs], weights=weight * self.peak[runs], minlength=self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores = np.zeros(self.n_blocks * BLOCK)
-        done, step, floor = 0, max(1, -(-k // BLOCK)) + 3, 0.0
-        while done < len(order) and bound[order[done]] * (1 + 1e-9) >= floor:
-            chosen = np.zeros(self.n_blocks, dtype=bool)
-            now = order[done : done + step]
-            chosen[now[bound[now] * (1 + 1e-9) >= floor]] = True
-            pick = chosen[self.block[runs]]
-            r, w = runs[pick], weight[pick]
-            posts = _ranges(self.first[r], self.first[r + 1])
-            scores += np.bincount(self.docs[posts], weights=np.repeat(w, self.first[r + 1] - self.first[r]) * self.part[posts], minlength=len(scores))
-            done, step = done + step, step * 8
-            if (scores > 0).sum() >= k:
-                floor = float(np.partition(scores, -k)[-k])
-        found = np.flatnonzero((scores > 0) & (scores >= floor))
-        best = found[np.lexsort((self.ids[found], -scores[found]))][:k]
-        return self.ids[best], scores[best]
+        row = self.row_of[at]
+        short, long = row < 0, row >= 0
+        # short lists are read; what the long ones can add is bounded by their maxima, block by block
+        first, last = self.begins[at[short]], self.begins[at[short] + 1]
+        posts = _ranges(first, last)
+        read = np.bincount(self.docs[posts], weights=np.repeat(idf[short], last - first) * self.part[posts], minlength=len(self.ids))
+        peak = idf[long] @ self.peaks[row[long]] if long.any() else np.zeros(self.n_blocks)
+        bound = (read + np.repeat(peak, BLOCK)[: len(read)]) * (1 + 1e-9)
+        size, known = min(len(bound), 2 * k + 6), np.empty(0, np.int64)
+        scores = np.empty(0)
+        rest = np.argpartition(-bound, size - 1)[:size]
+        while len(rest):  # the likeliest first; then all whose bound reaches the k-th score
+            known, scores = np.concatenate([known, rest]), np.concatenate([scores, self._scores(rest, at, idf)])
+            floor = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+            left = bound >= floor
+            left[known] = False
+            rest = np.flatnonzero(left & (bound > 0))
+            if len(rest) > 8 * size:  # a better k-th score first
+                size *= 8
+                rest = rest[np.argpartition(-bound[rest], size - 1)[:size]]
+        best = np.flatnonzero(scores > 0)
+        best = best[np.lexsort((self.ids[known[best]], -scores[best]))][:k]
+        return self.ids[known[best]], scores[best]
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
