@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: Rows that a mapped function sees at once; bounds the memory of a Python worker.
 ROWS = 500
+#: Folders that this application has made.
+_PATHS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/codeloom/{uuid.uuid4().hex}/{name}"
+    _PATHS.append(f"{shared_dir(spark)}/codeloom/{uuid.uuid4().hex}")
+    return f"{_PATHS[-1]}/{name}"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -43,6 +46,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes everything that this application has put into the shared folder through here. For the
+    end of a job, when no DataFrame of an operator will be read again."""
+    while _PATHS:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*stashed: DataFrame) -> None:
     """Deletes stashed tables that nothing will read again."""
     for df in stashed:

@@ -44,7 +44,6 @@ SKETCH_BITS, SKETCH_LIMIT = 128, 36
 #: Places of the parity sketch: whether an odd number of a set's hashes fall there.
 PARITY_BITS = 2048
 STAR_ROUNDS = 2
-_M = 0xFFFFFFFFFFFFFFFF
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
