@@ -31,7 +31,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct fragments kept per worker and encoder; beyond it the dictionary starts anew. It bounds
 #: memory alone: results do not depend on it.
-MAX_FRAGMENTS = 800_000
+MAX_FRAGMENTS = 400_000
 
 _LATIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([^A-Za-zÀ-ÖØ-öø-ÿ]*)")
 _PLAIN_TAIL = re.compile(r"[.,!?;:#$%&*]*")
