@@ -3,8 +3,11 @@
 DataFrame operations alone. Matches are found with ``regexp_extract_all`` and placed by the lengths
 of the pieces that ``split`` leaves between them, so starts and ends count code points and are exact.
 
-Candidates of the battery are the runs of 20 or more characters of the encodings below. The encoding is
-the smallest alphabet that holds a run, padding aside: hex, base32, lower-case letters and digits,
+Candidates of the battery are the runs of 20 or more characters of the encodings below. What a pattern's
+span covers is taken out of a run, and the rest is cut at each ``=`` that is not padding at its end; a
+piece that no alphabet holds ('+' or '/' beside '-' or '_') gives its longest sub-runs in each alphabet,
+which may overlap. The encoding is
+the smallest alphabet that holds a piece, padding aside: hex, base32, lower-case letters and digits,
 letters and digits, base64, base64url. Letters alone and digits alone are no encoding. Tests against
 random characters of the alphabet: chi-squared uniformity over its characters, and over digits, lower
 and upper case; the number of runs above and below the middle of the alphabet; the serial
@@ -13,11 +16,11 @@ dependence. A run whose randomness is rejected is no secret. Rejections are cont
 corpus with the Benjamini-Hochberg rule, apart in each class of length, since short runs give weak
 tests; p-values are counted in steps of a tenth of a power of two, rounded up, so the counts
 that reach the driver are bounded (classes times steps) and exact. What is left is marked ``random``
-unless a pattern's span covers part of it.
+unless it lies inside another such span.
 
 Everything is a projection of rows, but for the bounded counts: no key is shuffled.
 
-Edge cases: null text counts as empty and has no spans; overlapping spans of different kinds all
+Edge cases: null text counts as empty and has no spans; overlapping spans all
 stay; an empty table gives no rows; repeated rows count as often as they occur; columns other than
 those named are not read, and names like theirs do not clash as all work is done on renamed columns.
 """
@@ -53,7 +56,11 @@ ENCODINGS = (
     ("base64", "^[A-Za-z0-9+/]+$", _UP + _LOW + _DIGIT + "+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", _UP + _LOW + _DIGIT + "-_"),
 )
+#: What a run is cut into, and a piece that no alphabet holds.
+PIECE = "[A-Za-z0-9+/_-]{20,}(=+$)?"
+SUB_RUNS = tuple(f"[{c}]{{20,}}(=+$)?" for c in ("0-9a-f", "0-9A-F", "A-Z2-7", "a-z0-9", "A-Za-z0-9", "A-Za-z0-9+/", "A-Za-z0-9_-"))
 _SPANS = "array<struct<s:int,k:int,e:int>>"
+_PLACES = "array<struct<s:int,e:int>>"
 
 
 def _hits(text: Column, pattern: str, group: int) -> Column:
@@ -127,6 +134,29 @@ def _p_value(run: str, name: str, alphabet: str) -> str:
     )
 
 
+def _rest(run: str) -> str:
+    """SQL for what the patterns' spans leave of a run: an array of (s, e)."""
+    return f"""aggregate(filter(__cl_base, b -> b.s < {run}.e and {run}.s < b.e), named_struct('at', {run}.s, 'out', cast(array() as {_PLACES})), (a, b) -> named_struct(
+        'at', greatest(a.at, b.e), 'out', if(b.s > a.at, concat(a.out, array(named_struct('s', a.at, 'e', b.s))), a.out)),
+        a -> if(a.at < {run}.e, concat(a.out, array(named_struct('s', a.at, 'e', {run}.e))), a.out))"""
+
+
+def _cut(text: str, place: str, pattern: str) -> str:
+    """SQL for the matches of a pattern inside the (s, e) of a text: an array of (s, e)."""
+    part = f"substring({text}, {place}.s + 1, {place}.e - {place}.s)"
+    return f"""aggregate(zip_with(split({part}, '{pattern}', -1), regexp_extract_all({part}, '{pattern}', 0), (g, h) -> named_struct('gap', char_length(g), 'hit', char_length(h))),
+        named_struct('at', {place}.s, 'out', cast(array() as {_PLACES})), (a, x) -> named_struct('at', a.at + x.gap + coalesce(x.hit, 0),
+        'out', if(x.hit is null, a.out, concat(a.out, array(named_struct('s', a.at + x.gap, 'e', a.at + x.gap + x.hit))))), a -> a.out)"""
+
+
+def _pieces(text: str, found: str) -> str:
+    """SQL for the candidates in runs: an array of (s, e)."""
+    part = f"substring({text}, p.s + 1, p.e - p.s)"
+    pieces = f"flatten(transform(filter(flatten(transform({found}, r -> {_rest('r')})), q -> q.e - q.s >= 20), q -> {_cut(text, 'q', PIECE)}))"
+    sub_runs = ", ".join(_cut(text, "p", c) for c in SUB_RUNS)
+    return f"flatten(transform({pieces}, p -> if({part} rlike '[+/]' and {part} rlike '[_-]', array_distinct(concat({sub_runs})), array(p))))"
+
+
 def _bare(run: str) -> str:
     return f"regexp_replace({run}, '=+$', '')"
 
@@ -150,7 +180,8 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = docs.withColumns({f"__cl_h{k}": _hits(text, p, g) for k, (p, g, _) in enumerate(KINDS.values())} | {"__cl_h9": _hits(text, CANDIDATE, 0)})
     base = "concat({})".format(", ".join(_placed(f"__cl_h{k}", k, least) for k, (_, _, least) in enumerate(KINDS.values())))
     out = out.withColumns({"__cl_base": F.expr(f"array_sort({base})"), "__cl_found": F.expr(_placed("__cl_h9", 9, 20))})
-    place = f"transform(__cl_found, r -> named_struct('s', r.s, 'e', r.e, 'b', {_bare(f'substring(coalesce({text_col}, {chr(39) * 2}), r.s + 1, r.e - r.s)')}))"
+    raw = f"coalesce({text_col}, '')"
+    place = f"transform({_pieces(raw, '__cl_found')}, r -> named_struct('s', r.s, 'e', r.e, 'b', {_bare(f'substring({raw}, r.s + 1, r.e - r.s)')}))"
     named = out.withColumn("__cl_found", F.expr(place)).withColumn("__cl_found", F.expr(f"filter(transform(__cl_found, r -> named_struct('s', r.s, 'e', r.e, 'b', r.b, 'n', {_encoding('r.b')})), r -> r.n is not null and char_length(r.b) >= 20)"))
     cls = "case " + " ".join(f"when char_length(r.b) <= {n} then {k}" for k, n in enumerate(LENGTH_CLASSES)) + f" else {len(LENGTH_CLASSES)} end"
     runs = F.expr(f"transform(__cl_found, r -> named_struct('s', r.s, 'e', r.e, 'c', {cls}, 'p', {_step('r.b', 'r.n')}))")
@@ -176,8 +207,10 @@ def thresholds(found: DataFrame, rate: float = FALSE_DISCOVERY) -> dict[int, int
 def with_spans(found: DataFrame, limits: dict[int, int]) -> DataFrame:
     """``found`` with ``__cl_spans``: the patterns' spans and the ``random`` ones, by start and kind."""
     limit = "case r.c " + " ".join(f"when {c} then {p}" for c, p in sorted(limits.items())) + " else 1000000 end" if limits else "1000000"
-    kept = f"filter(__cl_runs, r -> r.p < {limit} and not exists(__cl_base, b -> b.s < r.e and r.s < b.e))"
-    spans = f"array_sort(concat(__cl_base, transform({kept}, r -> named_struct('s', r.s, 'k', {len(KINDS)}, 'e', r.e))))"
+    left = f"array_sort(transform(filter(__cl_runs, r -> r.p < {limit}), r -> named_struct('s', r.s, 'b', -r.e)))"
+    kept = f"""aggregate({left}, named_struct('to', -1, 'out', cast(array() as {_SPANS})), (a, r) -> named_struct('to', greatest(a.to, -r.b),
+        'out', if(-r.b > a.to, concat(a.out, array(named_struct('s', r.s, 'k', {len(KINDS)}, 'e', -r.b))), a.out)), a -> a.out)"""
+    spans = f"array_sort(concat(__cl_base, {kept}))"
     return found.withColumn("__cl_spans", F.expr(spans)).drop("__cl_runs")
 
 

@@ -186,6 +186,27 @@ def test_randomness_battery(spark):
     assert not found - random_ids
 
 
+def test_keys_beside_names_paths_and_patterns(spark):
+    import base64
+
+    rng = random.Random(5)
+    keys = [base64.b64encode(rng.randbytes(30)).decode().replace("+", "A").replace("/", "b") for _ in range(40)]
+    forms = ["signing_key={}", "AWS_SECRET_ACCESS_KEY={}", "a/b-{}", "dir/sub-dir/{}-suffix/x", "{}==&x", "x=y={}=", "{}/token=abcdef123456", "long_name_of_a_parameter_1={}", "a/b_c/d-e={}"]
+    rows = [(k, f"é {forms[k % len(forms)].format(x)} end", x) for k, x in enumerate(keys)]
+    plain = ["aaaa1111bbbb2222cccc3333=abcabcabcabc123abcabcabcabc123", "src/some-path_to/a/page1/with-some_long/names_in/it2", "=" * 30, "/" * 20 + "-" * 20, "a=" * 20]
+    rows += [(1000 + k, f"see {p} here", None) for k, p in enumerate(plain)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = {r.doc_id: [(s.s, s.e) for s in r.spans if s.k == 3] for r in op7_secrets.scan(frame).collect()}
+    hit = {i for i, t, x in rows if x and any(s <= t.index(x) and t.index(x) + len(x) <= e for s, e in got[i])}
+    assert len(hit) >= 36 and not any(got[i] for i, _, x in rows if not x)
+    assert {forms[i % len(forms)] for i in hit} == set(forms)
+    found = op7_secrets.find_spans(frame).select("doc_id", "__cl_runs").collect()
+    at = {r.doc_id: {(x.s, x.e) for x in r["__cl_runs"]} for r in found}
+    assert at[0] == {(14, 54)} and at[2] == {(4, 46), (6, 46)} and (2, 44) in at[4]
+    text = {r.doc_id: r.text for r in op7_secrets.redact(frame).collect()}
+    assert all(x not in text[i] for i, _, x in rows if i in hit)
+
+
 def test_p_values_are_even_for_random_runs(spark):
     """Under randomness the rejected share stays near the rate."""
     rng = random.Random(2)
