@@ -4,12 +4,12 @@ Each response gives two records. The metadata record (``application/warc-fields`
 language, description, the source's content type and its links; the conversion record holds the
 page's text, one block element per line. Both name the response they derive from (WARC-Refers-To, with
 its target URI and date), the metadata record names the conversion record, and both keep the source's
-payload digest and HTTP headers. Record ids are derived from the source's id and the kind, so a
+payload digest and HTTP headers, the conversion record as header fields ``WARC-Source-HTTP-...``. Record ids are derived from the source's id and the kind, so a
 retried task gives the same records. A map over rows without any shuffle.
 
 Edge cases: a null or empty payload gives records with an empty text and no links; a null address
 is left out of the headers, and links stay as they are; a null id or date likewise leaves out its
-header; markup that never ends is read to the end of the page once, so time is linear in the page;
+header; a head without its end ends at the first text or start tag that cannot stand in one; markup that never ends is read to the end of the page once, so time is linear in the page;
 repeated rows give repeated records; an empty table gives none. Columns other than those named
 are not read.
 """
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 #: Elements whose content is no text.
-HIDDEN = {"script", "style", "noscript", "template", "iframe", "svg", "head", "textarea", "select"}
+HIDDEN = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select"}
+#: Elements that do not end a head.
+HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 #: Elements that begin or end a line.
 BLOCKS = {
     "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
@@ -53,11 +55,15 @@ def read_page(page: str) -> dict:
     parts: list[str] = []
     title: list[str] | None = None
     hidden, at = "", 0
+    head, past_head = False, False
 
     def say(raw: str) -> None:
+        nonlocal head, past_head
         if title is not None:
             title.append(raw)
         elif not hidden:
+            if head and raw.strip():
+                head, past_head = False, True
             parts.append(html.unescape(raw.replace("\n", " ")))
 
     while m := _OPEN.search(page, at):
@@ -87,13 +93,17 @@ def read_page(page: str) -> dict:
             end = _CLOSE[name].search(page, at)
             at = end.start() if end else len(page)
             continue
-        if name in HIDDEN:
-            if closing and hidden == name or name == "body":
+        if name == "body" or name == "head" and closing and head:
+            hidden, head, past_head = "", False, True
+        elif name == "head":
+            head = head or not closing and not hidden and not past_head
+        elif head and not hidden and not closing and name not in HEAD:
+            head, past_head = False, True
+        if name in HIDDEN or name == "noframes" and (head or hidden == name):
+            if closing and hidden == name:
                 hidden = ""
             elif not closing and not hidden and not attrs.endswith("/"):
                 hidden = name
-        elif name == "body":
-            hidden = ""
         if name in BLOCKS and title is None:
             parts.append("\n")
     say(page[at:])
@@ -121,8 +131,8 @@ def derive_page(source: dict, payload: str | None) -> list[dict]:
     name = source["id"] or f"{source['url']} {digest(raw)}"
     ids = {k: record_id(name, k) for k in ("metadata", "conversion")}
     fields = [("title", page["title"]), ("language", page["lang"]), ("description", page["description"])]
-    for k, v in re.findall(r"(?m)^([A-Za-z0-9-]+):[ \t]*(.*?)\r?$", source["http_headers"] or ""):
-        fields.append((f"http-{k.lower()}", v))
+    http = re.findall(r"(?m)^([A-Za-z0-9-]+):[ \t]*(.*?)\r?$", source["http_headers"] or "")
+    fields += [(f"http-{k.lower()}", v) for k, v in http]
     fields += [("conversion", ids["conversion"]), ("payload-digest", digest(raw))]
     for place, link in page["links"]:
         try:
@@ -139,6 +149,8 @@ def derive_page(source: dict, payload: str | None) -> list[dict]:
         extra = [("WARC-Source-Payload-Digest", digest(raw))]
         if kind == "metadata":
             extra.append(("WARC-Concurrent-To", ids["conversion"]))
+        else:
+            extra += [(f"WARC-Source-HTTP-{k}", v) for k, v in http]
         content = "application/warc-fields" if kind == "metadata" else "text/plain; charset=utf-8"
         head = _headers(kind, ids[kind], content, block.encode(), source, extra)
         out.append({"warc_type": kind, "record_id": ids[kind], "refers_to": source["id"], "source_digest": digest(raw), "block_digest": digest(block.encode()), "content_length": len(block.encode()), "headers": head, "block": block})

@@ -27,6 +27,27 @@ def test_page_text_and_links():
     assert got["links"] == [("A@/href", "/q?a=1&b=2")]
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<html><head><title>T</title><p>Text <b>bold</b><p>More", "Text bold\nMore"),
+    ("<html><head><title>T</title>Bare text<p>More", "Bare text\nMore"),
+    ("<head><meta name=a><link href=b><style>p{}</style><script>x<p></script><noscript><p>no</noscript>\n<!-- c --><a href=/q>link</a> end", "link end"),
+    ("<head><title>T</title><svg><p>no</svg><h1>Head</h1>", "Head"),
+    ("<head><noframes>no</noframes><template><p>no</template></head>after<head><p>still", "after\nstill"),
+    ("<head><noscript>open</head><div>body</div>", "body"),
+])
+def test_head_without_end(page, text):
+    got = op1_warc.read_page(page)
+    assert got["text"] == text and got["title"] in ("T", "")
+
+
+def test_both_records_keep_http_headers():
+    source = {"id": "<urn:x>", "url": "http://h/", "date": "d", "http_headers": "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-A: b  c\r\n"}
+    meta, conv = op1_warc.derive_page(source, PAGE)
+    assert "http-content-type: text/html\r\nhttp-x-a: b c\r\n" in meta["block"]
+    assert "WARC-Source-HTTP-Content-Type: text/html\r\nWARC-Source-HTTP-X-A: b c\r\n" in conv["headers"]
+    assert conv["block"] == op1_warc.read_page(PAGE)["text"]
+
+
 @pytest.mark.parametrize("page", ["", "<", "<!--", "<script>", "<p", "a < b", "<a href='", "<title>", "</", "<" * 500])
 def test_broken_pages_end(page):
     op1_warc.read_page(page)
