@@ -289,21 +289,24 @@ def topological_levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (done if done is not None else nodes.withColumn("level", F.lit(0)).limit(0)), rest
 
 
-def cycles(edges: DataFrame, length: int = 4, limit: int = 10) -> DataFrame:
-    """Up to ``limit`` simple cycles of at most so many nodes, each from its smallest node: ``path``.
+def cycles(edges: DataFrame, length: int | None = None, limit: int = 10) -> DataFrame:
+    """Up to ``limit`` simple cycles, the shortest first, each from its smallest node: ``path``. Lengths
+    grow until so many are found or no path can grow; ``length`` bounds the nodes of a cycle if given.
     Only edges inside strongly connected components are walked."""
     part = strong_components(edges).select("node", "scc")
     a, b = part.select(F.col("node").alias("src"), F.col("scc").alias("sa")), part.select(F.col("node").alias("dst"), F.col("scc").alias("sb"))
     inner = cut(edges.join(a, "src").join(b, "dst").filter("sa = sb").select("src", "dst"))
     paths = inner.filter("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
-    found = None
-    for n in range(2, length + 1):
+    found, n, left = None, 2, limit
+    while True:
         paths = cut(paths)
-        closed = paths.join(inner, (F.col("last") == F.col("src")) & (F.col("first") == F.col("dst"))).select("path")
+        closed = cut(paths.join(inner, (F.col("last") == F.col("src")) & (F.col("first") == F.col("dst"))).select("path"))
         found = closed if found is None else found.unionByName(closed)
-        if n < length:
-            grown = paths.join(inner, F.col("last") == F.col("src")).filter((F.col("dst") > F.col("first")) & ~F.array_contains("path", F.col("dst")))
-            paths = grown.select("first", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path"))
+        left -= closed.count()
+        if left <= 0 or n == length or paths.isEmpty():
+            break
+        grown = paths.join(inner, F.col("last") == F.col("src")).filter((F.col("dst") > F.col("first")) & ~F.array_contains("path", F.col("dst")))
+        paths, n = grown.select("first", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path")), n + 1
     return found.orderBy(F.size("path"), "path").limit(limit)
 
 
