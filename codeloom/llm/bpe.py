@@ -1,7 +1,8 @@
 """Cached encoders over public tokenizer files, exact for whole texts.
 
-A text is cut into fragments that encode independently of each other; each distinct fragment is
-encoded once per Python worker and its ids are kept in a dictionary of bounded size.
+A text is cut into fragments that encode independently of each other; the ids of fragments are kept in
+each Python worker, in stores of bounded size in bytes (``common.Store``), so that a fragment that is
+seen again is not encoded again.
 
 ``WordEncoder``: for word-end BPE files (white space dropped). White space can never be inside a
 token, so the fragments are the runs between spaces and line feeds.
@@ -27,11 +28,13 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import Store, claim
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct fragments kept per worker and encoder; beyond it the dictionary starts anew. It bounds
-#: memory alone: results do not depend on it.
-MAX_FRAGMENTS = 400_000
+#: Bytes that a generation of a store may take, two of which are kept: fragments as they stand, the
+#: words in them, and byte-level fragments.
+FRAGMENT_BYTES, WORD_BYTES, BYTE_FRAGMENT_BYTES = 44 << 20, 20 << 20, 44 << 20
 
 _LATIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([^A-Za-zÀ-ÖØ-öø-ÿ]*)")
 _PLAIN_TAIL = re.compile(r"[.,!?;:#$%&*]*")
@@ -102,30 +105,19 @@ def safe_cuts(table: np.ndarray, wide_space: bool) -> np.ndarray:
     return table & ~ends_space & ~inside_char & (b != 0x27)
 
 
-class _Fragments(dict):
-    """fragment -> what ``make`` gives for it."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, key):
-        self[key] = out = self.make(key)
-        return out
-
-    def trim(self) -> None:
-        if len(self) > MAX_FRAGMENTS:
-            self.clear()
-
-
 class WordEncoder:
     """Ids of whole texts under a word-end BPE file, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         self.tok = load(path)
         self.model = self.tok.model
-        self.words = _Fragments(self._word)
-        self.tails = _Fragments(self._any)
-        self.whole = _Fragments(self._fragment)
+        self.words = Store(self._word, WORD_BYTES)
+        self.tails = Store(self._any, WORD_BYTES // 8)
+        self.whole = Store(self._fragment, FRAGMENT_BYTES)
+
+    def drop(self) -> None:
+        for store in (self.words, self.tails, self.whole):
+            store.drop()
 
     def _any(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if text else b""
@@ -146,8 +138,7 @@ class WordEncoder:
         """Ids of the text; null counts as empty."""
         if not text:
             return b""
-        for d in (self.words, self.tails, self.whole):
-            d.trim()
+        claim(self)
         return b"".join(map(self.whole.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -161,7 +152,10 @@ class ForcedBoundaryEncoder:
         pairs = forced_pairs(self.bytes_of.values())
         self.cuts = {wide: safe_cuts(pairs, wide) for wide in (False, True)}
         self.names = {i: b"%d" % i for i in self.bytes_of}
-        self.known = _Fragments(self._fragment)
+        self.known = Store(self._fragment, BYTE_FRAGMENT_BYTES)
+
+    def drop(self) -> None:
+        self.known.drop()
 
     def _fragment(self, frag: bytes) -> bytes:
         if _SPACED_WORD.fullmatch(text := frag.decode()):
@@ -179,7 +173,7 @@ class ForcedBoundaryEncoder:
         """Ids of the text as little-endian unsigned 32-bit bytes; null counts as empty."""
         if not text:
             return b""
-        self.known.trim()
+        claim(self)
         return b"".join(map(self.known.__getitem__, self.split(text.encode())))
 
     def decimals(self, ids: bytes) -> bytes:

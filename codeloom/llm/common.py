@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -33,40 +36,112 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
+    """A new path in the shared folder; what is put there goes at the end of the application."""
     _PATHS.append(f"{shared_dir(spark)}/codeloom/{uuid.uuid4().hex}")
+    fs, p = _folder(spark, _PATHS[-1])
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
     return f"{_PATHS[-1]}/{name}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, Arrow batches hold at most so many rows: it bounds what a task's JVM and Python sides
+    hold beside each other where rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stash(df: DataFrame, name: str, rows: int = ROWS) -> DataFrame:
     """``df`` written to the shared folder and read again: it cuts the lineage and survives lost
-    executors. ``df`` is computed once, now."""
+    executors. ``df`` is computed once, now, with at most ``rows`` rows in an Arrow batch."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with arrow_rows(spark, rows):
+        df.write.parquet(path)
+    return _placed(spark.read.schema(df.schema).parquet(path), path)
+
+
+def _placed(df: DataFrame, path: str) -> DataFrame:
+    df.__dict__["_stashed_at"] = path
+    return df
+
+
+def columns_of(stashed: DataFrame, *names: str) -> DataFrame:
+    """Some columns of a stashed table, which can still be discarded."""
+    return _placed(stashed.select(*names), stashed.__dict__["_stashed_at"])
 
 
 def release(spark: SparkSession) -> None:
     """Deletes everything that this application has put into the shared folder through here. For the
-    end of a job, when no DataFrame of an operator will be read again."""
+    end of a job, when no DataFrame of an operator will be read again; else it goes at the end of the
+    application."""
     while _PATHS:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = _folder(spark, _PATHS.pop())
+        fs.delete(p, True)
 
 
 def discard(*stashed: DataFrame) -> None:
     """Deletes stashed tables that nothing will read again."""
     for df in stashed:
-        spark = df.sparkSession
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def parts_for(df: DataFrame, mb: int, least: int = 1) -> int:
-    """Partitions of about ``mb`` MB for ``df``, by the planner's estimate of its size."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(max(least, min(-(-size // (mb << 20)), 1_000_000)))
+        fs, p = _folder(df.sparkSession, df.__dict__["_stashed_at"])
+        fs.delete(p, True)
+
+
+def parts_for(rows: DataFrame, col: str, mb: int, most: int = 50_000) -> int:
+    """Partitions of about ``mb`` MB of a string column, by its counted bytes, however ``rows`` came about;
+    beyond ``most`` they get larger."""
+    size = rows.agg(F.sum(F.octet_length(col))).first()[0] or 0
+    return int(max(1, min(-(-size // (mb << 20)), most)))
+
+
+class Store(dict):
+    """What ``make`` gives for each key, kept in two generations of at most ``limit`` bytes each. When the
+    young one is full it becomes the old one, and what is asked for again moves over. It bounds memory
+    alone: results do not depend on it. What is large beside the limit is not kept."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.held, self.old = make, limit, 0, {}
+
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        size = sys.getsizeof(key) + sys.getsizeof(out) + 100
+        if 16 * size > self.limit:
+            return out
+        if self.held + size > self.limit:
+            self.old, self.held = self.copy(), 0
+            self.clear()
+        self.held += size
+        self[key] = out
+        return out
+
+    def drop(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0
+
+
+_HOLDER: list = [None]
+
+
+def claim(holder) -> None:
+    """Only one holder of stores keeps them in a Python worker: the one before lets go of its own, so the
+    stages of a job, which share their workers, do not add up."""
+    if _HOLDER[0] is not holder:
+        if _HOLDER[0] is not None:
+            _HOLDER[0].drop()
+        _HOLDER[0] = holder
 
 
 def map_rows(df: DataFrame, schema: str, fn: Callable[..., dict], rows: int = ROWS) -> DataFrame:

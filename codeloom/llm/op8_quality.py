@@ -4,15 +4,21 @@ Each line of a text is a position of a chain, described by indicator features. V
 marks each line as content or boilerplate; the share of words in content lines decides whether a
 document that passes the base rules is kept. The field is fitted here, by gradient ascent on the
 conditional likelihood, to lines of labelled documents: those of documents of quality 1 count as
-content, those of quality 0 as boilerplate. The labelled sample is bounded (``SAMPLE`` documents, taken
-in the order of a hash of their id); all else covers every row and whole texts.
+content, those of quality 0 as boilerplate. Labels are of documents, so all lines of a chain have one
+label and the moves between labels learn to stay; it is the features that tell where a text changes.
+The labelled sample is bounded (``SAMPLE`` documents, taken in the order of a hash of their id, and the
+first ``SAMPLE_LINES`` lines of each); all else covers every row and whole texts.
 
 Rules and labels are a map over rows without any shuffle: hot keys do not matter, and a lost executor
-costs its running tasks alone.
+costs its running tasks alone. Texts pass in small batches, so a very long text is held alone, with
+some 200 bytes for each of its lines.
 
 Edge cases: null text counts as having no words and fails the base rules; a text of blank lines
-likewise; without labelled rows of both kinds every document that passes the base rules is kept;
-repeated rows and null ids give a row each; columns other than those named are not read.
+likewise; without labelled rows of both kinds every document that passes the base rules is kept; an
+empty table gives no rows; lines that either label fits as well count as content; a document of just
+the content share that is asked for stays; repeated rows and null ids give a row each; of contradicting
+labels of one id the lower quality counts, and of its texts the one with the smallest hash is fitted
+to; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import ROWS, map_rows
 
-#: Labelled documents that the field is fitted to, at most.
-SAMPLE = 1500
+#: Labelled documents that the field is fitted to, and lines of each, at most.
+SAMPLE, SAMPLE_LINES = 1500, 512
 #: A document stays if at least this share of its words is in content lines.
 CONTENT_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -201,14 +207,15 @@ def content_share(field: LineField | None, text: str) -> float:
 
 def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> LineField | None:
     """A field fitted to at most ``sample`` labelled documents; None unless both kinds are there."""
-    ids = labels.select(F.col("doc_id").alias("id"), "quality").filter("id is not null and quality in (0, 1)").dropDuplicates(["id"])
-    chosen = F.broadcast(ids.orderBy(F.xxhash64("id"), "id").limit(sample))  # bounded by ``sample``
+    known = labels.select(F.col("doc_id").alias("id"), "quality").filter("id is not null and quality in (0, 1)").groupBy("id").agg(F.min("quality").alias("quality"))
+    chosen = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))  # bounded by ``sample``
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
 
-    def run(ids, texts, quality):
-        return {"id": ids, "quality": quality, "x": [line_features(t or "")[0].tobytes() for t in texts]}
+    def run(ids, texts, hashes, quality):
+        return {"id": ids, "h": hashes, "quality": quality, "x": [line_features(t or "")[0][:SAMPLE_LINES].tobytes() for t in texts]}
 
-    rows = map_rows(texts.select("id", "text", "quality"), "id long, quality int, x binary", run).dropDuplicates(["id"]).orderBy("id").limit(sample).collect()
+    lines = map_rows(texts.select("id", "text", F.xxhash64("text"), "quality"), "id long, h long, quality int, x binary", run)
+    rows = lines.groupBy("id").agg(F.min(F.struct("h", "quality", "x")).alias("m")).select("id", "m.quality", "m.x").orderBy("id").limit(sample).collect()
     chains = [(np.frombuffer(r.x, dtype=np.int8).reshape(-1, len(FEATURES)), 1 - r.quality) for r in rows if r.x]
     if len({y for _, y in chains}) < 2:
         return None
@@ -216,8 +223,8 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
 
 
 def judge(docs: DataFrame, field: LineField | None, share: float = CONTENT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    content_share, kept`` of every row."""
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` and
+    ``content_share`` of every row."""
 
     def run(ids, texts):
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -227,7 +234,7 @@ def judge(docs: DataFrame, field: LineField | None, share: float = CONTENT_SHARE
         out = {"doc_id": ids, "base_failed": failed, "content_share": shares, "kept": [not f and s >= share for f, s in zip(failed, shares, strict=True)]}
         return out | {n: [c[k] for c in counts] for k, n in enumerate(names)}
 
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
     return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col)), schema, run)
 
 
@@ -235,13 +242,14 @@ def keep_good(docs: DataFrame, field: LineField | None, share: float = CONTENT_S
     """The rows of ``docs``, unchanged, that ``judge`` keeps; a map without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for t in batch.column(text_col):
-                text = t.as_py() or ""
-                words = text.encode().split()
-                kept.append(not base_failed(len(words), repeated_words(words)) and content_share(field, text) >= share)
-            yield batch.filter(pa.array(kept, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch, kept = whole.slice(at, ROWS), []
+                for t in batch.column(text_col):
+                    text = t.as_py() or ""
+                    words = text.encode().split()
+                    kept.append(not base_failed(len(words), repeated_words(words)) and content_share(field, text) >= share)
+                yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

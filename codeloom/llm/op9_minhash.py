@@ -29,14 +29,12 @@ empty table gives no rows. Columns other than the two named are not read.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, stash
+from .common import Store, claim, columns_of, discard, map_rows, stash
 
 BANDS, ROWS_PER_BAND = 32, 4
 #: Signature coordinates whose lowest bits may differ in a candidate pair; 12.8 +- 3.4 do at 0.8.
@@ -54,25 +52,24 @@ def _mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _permute32(x: np.ndarray) -> np.ndarray:
-    """The second permutation of the 2^32 places."""
-    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return x ^ (x >> np.uint32(16))
-
+    """The second permutation of the 2^32 places, in place."""
+    y = x >> np.uint32(16)
+    x ^= y
+    x *= np.uint32(0x85EBCA6B)
+    np.right_shift(x, np.uint32(13), out=y)
+    x ^= y
+    x *= np.uint32(0xC2B2AE35)
+    return x
 
-class _WordHashes(dict):
-    LIMIT = 500_000
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _word_hash(word: bytes) -> int:
+    import xxhash
 
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+    return xxhash.xxh64_intdigest(word)
 
 
-@lru_cache(maxsize=1)
-def _word_hashes() -> _WordHashes:
-    return _WordHashes()
+#: Hashes of words, in each Python worker.
+_WORDS = Store(_word_hash, 12 << 20)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -80,10 +77,8 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     parts = (text or "").encode().lower().split()  # bytes: just A-Z, and just the white space of ASCII
     if not parts:
         return np.empty(0, dtype=np.uint64)
-    known = _word_hashes()
-    if len(known) > known.LIMIT:
-        known.clear()
-    h = np.fromiter(map(known.__getitem__, parts), dtype=np.uint64, count=len(parts))
+    claim(_WORDS)
+    h = np.fromiter(map(_WORDS.__getitem__, parts), dtype=np.uint64, count=len(parts))
     size = min(words, len(h))
     acc = np.full(len(h) - size + 1, size, dtype=np.uint64)
     for j in range(size):
@@ -96,16 +91,17 @@ def signature(shingles: np.ndarray, n: int) -> np.ndarray:
     places = (shingles >> np.uint64(32)).astype(np.uint32)  # the first permutation: mixed hashes
     shifts = np.arange(1, n + 1, dtype=np.uint32)
     out = np.full(n, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(places), 2048):
-        out = np.minimum(out, _permute32(places[at : at + 2048, None] + shifts).min(axis=0))
+    for at in range(0, len(places), 512):
+        np.minimum(out, _permute32(places[at : at + 512, None] + shifts).min(axis=0), out=out)
     return out
 
 
 def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles``, the set's digest ``d1, d2``, the sketch ``s1, s2`` and the band keys."""
+    """``doc_id``, the hash ``th`` of the text, ``n_shingles``, the set's digest ``d1, d2``, the sketch
+    ``s1, s2`` and the band keys."""
     import xxhash
 
-    def run(ids, texts):
+    def run(ids, texts, hashes):
         n_sh, d1, d2, s1, s2, keys = [], [], [], [], [], []
         for text in texts:
             s = shingle_set(text, words)
@@ -115,20 +111,20 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 continue
             digest = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), dtype=np.int64)
             sig = signature(s, max(bands * rows, SKETCH_BITS))
-            low = np.packbits((sig[:SKETCH_BITS] & 1).astype(np.uint8)).view(np.int64)
+            low = np.packbits((sig[:SKETCH_BITS] >> 9 & 1).astype(np.uint8)).view(np.int64)
             k = np.arange(bands, dtype=np.uint64)
             with np.errstate(over="ignore"):
                 for j in range(rows):
                     k = _mix64(k * _MULT + sig[: bands * rows].reshape(bands, rows)[:, j])
             d1.append(int(digest[0])), d2.append(int(digest[1])), s1.append(int(low[0])), s2.append(int(low[1])), keys.append(k.view(np.int64))
-        return {"doc_id": ids, "n_shingles": n_sh, "d1": d1, "d2": d2, "s1": s1, "s2": s2, "keys": pa.array(keys, pa.list_(pa.int64()))}
+        return {"doc_id": ids, "th": hashes, "n_shingles": n_sh, "d1": d1, "d2": d2, "s1": s1, "s2": s2, "keys": pa.array(keys, pa.list_(pa.int64()))}
 
-    return map_rows(docs, "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, keys array<long>", run)
+    return map_rows(docs.select("doc_id", "text", F.xxhash64("text")), "doc_id long, th long, n_shingles long, d1 long, d2 long, s1 long, s2 long, keys array<long>", run)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``rep, items, parity``: the full sets of the representatives ``wanted (rep, d1, d2)``, and their
-    parity sketches."""
+    """``rep, items, parity``: the full sets of the representatives ``wanted (rep, th, d1, d2)``, and their
+    parity sketches. One text is chosen for each before anything is made of it."""
     import xxhash
 
     def run(ids, texts, firsts, seconds):
@@ -141,8 +137,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 reps.append(i), items.append(raw), parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
         return {"rep": reps, "items": items, "parity": pa.array(parity, pa.list_(pa.int64()))}
 
-    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("doc_id", "text", "d1", "d2")
-    return map_rows(texts, "rep long, items binary, parity array<long>", run, rows=200).dropDuplicates(["rep"])
+    own = docs.select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("th"))
+    texts = own.join(wanted, ["rep", "th"]).dropDuplicates(["rep", "th"])
+    return map_rows(texts.select("rep", "text", "d1", "d2"), "rep long, items binary, parity array<long>", run, rows=200)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,29 +173,47 @@ def components(edges: DataFrame, prefix: str = "labels") -> DataFrame:
         new = stash(lower.join(jump, "now", "left").select("rep", F.col("comp").alias("was"), F.least("now", F.coalesce("next", "now")).alias("comp")), prefix)
         done = new.filter("was <> comp").isEmpty()
         discard(labels)
-        labels = new.drop("was")
+        labels = columns_of(new, "rep", "comp")
         if done:
             discard(both)
             return labels
 
 
+def with_links(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels (rep, comp)`` after the links ``(a, b)``: only the components that the links join are
+    worked on, not the links of rounds before."""
+    if labels is None:
+        return components(links)
+    ends = links
+    for end in ("a", "b"):
+        known = labels.select(F.col("rep").alias(end), F.col("comp").alias(f"c{end}"))
+        ends = ends.join(known, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    ends = stash(ends, "ends")
+    merged = components(ends.filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+    every = labels.union(ends.select("a", "ca")).union(ends.select("b", "cb")).distinct()
+    now = merged.select(F.col("rep").alias("comp"), F.col("comp").alias("now"))
+    out = stash(every.join(now, "comp", "left").select("rep", F.coalesce("now", "comp").alias("comp")), "labels")
+    discard(ends, labels, merged)
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS_PER_BAND, star_rounds: int = STAR_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row. Rows are linked from a Jaccard
     similarity of ``percent`` / 100 of their sets of shingles of ``words`` words on."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stash(_signed(docs, words, bands, rows), "signed")
     usable = signed.filter("doc_id is not null and n_shingles > 0")
-    meta = F.struct("n_shingles", "s1", "s2", "keys")
-    classes = stash(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by(meta, "doc_id").alias("m")), "classes")
+    meta = F.struct("th", "n_shingles", "s1", "s2", "keys")
+    classes = stash(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by(meta, F.struct("doc_id", "th")).alias("m")), "classes")
 
     spread = classes.select("rep", F.explode("m.keys").alias("key"))
     shared = spread.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
     sizes = classes.select("rep", F.col("m.n_shingles").alias("n"), F.col("m.s1").alias("s1"), F.col("m.s2").alias("s2"))
     buckets = stash(spread.join(shared, "key").join(sizes, "rep"), "buckets")
-    wanted = classes.select("rep", "d1", "d2").join(buckets.select("rep").distinct(), "rep", "left_semi")
+    wanted = classes.select("rep", F.col("m.th").alias("th"), "d1", "d2").join(buckets.select("rep").distinct(), "rep", "left_semi")
     sets = stash(_sets(docs, wanted, words), "sets")
 
-    edges, labels = None, None
+    labels = None
     for turn in range(star_rounds + 1):
         now = buckets.withColumn("comp", F.col("rep")) if labels is None else buckets.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         me = F.struct("rep", "comp", "n", "s1", "s2")
@@ -216,12 +231,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
             apart_in = F.aggregate(F.zip_with("parity", "parity_c", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
             fits = fits & (apart_in * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_c")))
         pairs = now.join(other, (now["key"] == other["key"]) & order & fits).select(F.least("rep", "rep_c").alias("a"), F.greatest("rep", "rep_c").alias("b")).distinct()
-        new = stash(_verified(pairs, sets, percent), "edges")
+        new = stash(_verified(pairs, sets, percent), "edges", rows=64)
         if not new.isEmpty():
-            edges = new if edges is None else edges.unionByName(new)
-            labels = components(edges)
-        elif turn >= star_rounds:
-            break
+            labels = with_links(labels, new)
+        discard(new)
     discard(buckets, sets)
 
     comp = F.col("rep") if labels is None else F.coalesce("comp", "rep")
