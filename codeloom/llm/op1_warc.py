@@ -4,8 +4,11 @@ Each response gives two records. The metadata record (``application/warc-fields`
 language, description, the source's content type and its links; the conversion record holds the
 page's text, one block element per line. Both name the response they derive from (WARC-Refers-To, with
 its target URI and date), the metadata record names the conversion record, and both keep the source's
-payload digest and HTTP headers, the conversion record as header fields ``WARC-Source-HTTP-...``. Record ids are derived from the source's id and the kind, so a
-retried task gives the same records. A map over rows without any shuffle.
+payload digest and HTTP headers, the conversion record as header fields ``WARC-Source-HTTP-...``. A
+digest that the source brings along is kept as it is; where there is none it is made of the payload's
+UTF-8 bytes. Record ids are derived from the source's id and the kind, so a
+retried task gives the same records; the id of a fetched page without one is made of its number, address,
+date and payload, so captures that differ have ids that differ. A map over rows without any shuffle.
 
 Edge cases: a null or empty payload gives records with an empty text and no links; a null address
 is left out of the headers, and links stay as they are; a null id or date likewise leaves out its
@@ -125,15 +128,16 @@ def _headers(kind: str, rid: str, content_type: str, block: bytes, source: dict,
 
 
 def derive_page(source: dict, payload: str | None) -> list[dict]:
-    """The two records of a response ``{id, url, date, http_headers}``."""
-    raw = (payload or "").encode()
+    """The two records of a response ``{id, url, date, http_headers, payload_digest}``; the digest may
+    be missing."""
+    own = source.get("payload_digest") or digest((payload or "").encode())
     page = read_page(payload or "")
-    name = source["id"] or f"{source['url']} {digest(raw)}"
+    name = source["id"] or f"{source['url']} {source['date']} {own}"
     ids = {k: record_id(name, k) for k in ("metadata", "conversion")}
     fields = [("title", page["title"]), ("language", page["lang"]), ("description", page["description"])]
     http = re.findall(r"(?m)^([A-Za-z0-9-]+):[ \t]*(.*?)\r?$", source["http_headers"] or "")
     fields += [(f"http-{k.lower()}", v) for k, v in http]
-    fields += [("conversion", ids["conversion"]), ("payload-digest", digest(raw))]
+    fields += [("conversion", ids["conversion"]), ("payload-digest", own)]
     for place, link in page["links"]:
         try:
             full = urljoin(source["url"] or "", link)
@@ -146,25 +150,31 @@ def derive_page(source: dict, payload: str | None) -> list[dict]:
     }
     out = []
     for kind, block in blocks.items():
-        extra = [("WARC-Source-Payload-Digest", digest(raw))]
+        extra = [("WARC-Source-Payload-Digest", own)]
         if kind == "metadata":
             extra.append(("WARC-Concurrent-To", ids["conversion"]))
         else:
             extra += [(f"WARC-Source-HTTP-{k}", v) for k, v in http]
         content = "application/warc-fields" if kind == "metadata" else "text/plain; charset=utf-8"
         head = _headers(kind, ids[kind], content, block.encode(), source, extra)
-        out.append({"warc_type": kind, "record_id": ids[kind], "refers_to": source["id"], "source_digest": digest(raw), "block_digest": digest(block.encode()), "content_length": len(block.encode()), "headers": head, "block": block})
+        out.append({"warc_type": kind, "record_id": ids[kind], "refers_to": source["id"], "source_digest": own, "block_digest": digest(block.encode()), "content_length": len(block.encode()), "headers": head, "block": block})
     return out
 
 
-def responses(pages: DataFrame, date: str, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Response rows of fetched pages: ``page_id, id, url, date, http_headers, payload``."""
-    name = F.sha2(F.concat_ws(" ", F.col(page_col).cast("string"), F.col(url_col)), 256)
-    part = [F.substring(name, at, n) for at, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
+def responses(
+    pages: DataFrame, date: str, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", date_col: str | None = None, http_col: str | None = None, digest_col: str | None = None
+) -> DataFrame:
+    """Response rows of fetched pages: ``page_id, id, url, date, http_headers, payload_digest, payload``.
+    Dates, HTTP headers and digests come from columns where such are named."""
+    at = F.lit(date) if date_col is None else F.coalesce(F.col(date_col).cast("string"), F.lit(date))
+    name = F.sha2(F.concat_ws(" ", F.col(page_col).cast("string"), F.col(url_col), at, F.sha1(F.col(html_col))), 256)
+    part = [F.substring(name, at_, n) for at_, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
     uid = F.concat(part[0], F.lit("-"), part[1], F.lit("-5"), part[2], F.lit("-8"), part[3], F.lit("-"), part[4])
+    own = F.lit(None).cast("string") if digest_col is None else F.col(digest_col)
+    http = F.lit("Content-Type: text/html; charset=utf-8\r\n") if http_col is None else F.col(http_col)
     return pages.select(
-        F.col(page_col).cast("long").alias("page_id"), F.concat(F.lit("<urn:uuid:"), uid, F.lit(">")).alias("id"), F.col(url_col).alias("url"), F.lit(date).alias("date"),
-        F.lit("Content-Type: text/html; charset=utf-8\r\n").alias("http_headers"), F.col(html_col).alias("payload"),
+        F.col(page_col).cast("long").alias("page_id"), F.concat(F.lit("<urn:uuid:"), uid, F.lit(">")).alias("id"), F.col(url_col).alias("url"), at.alias("date"),
+        http.alias("http_headers"), own.alias("payload_digest"), F.col(html_col).alias("payload"),
     )
 
 
@@ -173,12 +183,14 @@ _FIELDS = "warc_type string, record_id string, refers_to string, source_digest s
 
 def derivatives(sources: DataFrame) -> DataFrame:
     """Two rows for each response: ``page_id`` and the record's fields, header and block."""
+    names = ("id", "url", "date", "http_headers", "payload_digest")
 
-    def run(page_ids, ids, urls, dates, http, payloads):
-        rows = [r | {"page_id": p} for p, i, u, d, h, x in zip(page_ids, ids, urls, dates, http, payloads, strict=True) for r in derive_page({"id": i, "url": u, "date": d, "http_headers": h}, x)]
+    def run(page_ids, *cols):
+        *fields, payloads = cols
+        rows = [r | {"page_id": p} for p, x, *f in zip(page_ids, payloads, *fields, strict=True) for r in derive_page(dict(zip(names, f, strict=True)), x)]
         return {n: [r[n] for r in rows] for n in ("page_id", *(f.split()[0] for f in _FIELDS.split(", ")))}
 
-    return map_rows(sources.select("page_id", "id", "url", "date", "http_headers", "payload"), f"page_id long, {_FIELDS}", run, rows=100)
+    return map_rows(sources.select("page_id", *names, "payload"), f"page_id long, {_FIELDS}", run, rows=100)
 
 
 def serialized(records: DataFrame) -> DataFrame:
