@@ -8,25 +8,38 @@ span covers is taken out of a run, and the rest is cut at each ``=`` that is not
 piece that no alphabet holds ('+' or '/' beside '-' or '_') gives its longest sub-runs in each alphabet,
 which may overlap. The encoding is
 the smallest alphabet that holds a piece, padding aside: hex, base32, lower-case letters and digits,
-letters and digits, base64, base64url. Letters alone and digits alone are no encoding. Tests against
-random characters of the alphabet: chi-squared uniformity over its characters, and over digits, lower
-and upper case; the number of runs above and below the middle of the alphabet; the serial
-correlation of neighbours. The smallest p-value, times the number of tests, rejects under any
-dependence. A run whose randomness is rejected is no secret. Rejections are controlled over the whole
-corpus with the Benjamini-Hochberg rule, apart in each class of length, since short runs give weak
-tests; p-values are counted in steps of a tenth of a power of two, rounded up, so the counts
-that reach the driver are bounded (classes times steps) and exact. What is left is marked ``random``
+letters and digits, base64, base64url. Letters alone and digits alone are no encoding.
+
+Two questions are asked of a run.
+
+* Can it be random? Tests against random characters of the alphabet: chi-squared uniformity over its
+  characters, and over digits, lower and upper case; the number of runs above and below the middle of
+  the alphabet; the serial correlation of neighbours. The smallest p-value, times the number of tests,
+  rejects under any dependence; below ``NOT_RANDOM`` a run is no secret.
+* Can it be ordinary? The null hypothesis of the false-discovery control is that a run is an ordinary
+  name, path or word: its kinds of characters (vowels, consonants, capitals, digits, signs) follow each
+  other as ``ORDINARY`` tells. The likelihood of the kinds under random characters over that under the
+  ordinary chain is at least x with a probability of 1 / x at most, so its inverse is a p-value, whatever
+  the length. The Benjamini-Hochberg rule over the whole corpus, apart in each class of length, since
+  short runs give weak evidence, decides from which p-value on runs are reported: of those that are, at
+  most ``FALSE_DISCOVERY`` are expected to be ordinary.
+
+P-values are counted in steps of a tenth of a power of two, rounded up, so the counts
+that reach the driver are bounded (classes times steps) and exact. What is reported is marked ``random``
 unless it lies inside another such span.
 
 Everything is a projection of rows, but for the bounded counts: no key is shuffled.
 
 Edge cases: null text counts as empty and has no spans; overlapping spans all
-stay; an empty table gives no rows; repeated rows count as often as they occur; columns other than
-those named are not read, and names like theirs do not clash as all work is done on renamed columns.
+stay; an empty table gives no rows; repeated rows count as often as they occur; a very long run is
+looked at whole, in time and memory in proportion to it; columns other than those named are not read,
+and names like those used here do not clash, as all work is done on renamed columns.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +54,19 @@ KINDS = {
 RANDOM = "random"
 #: Runs that the battery looks at.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Expected share of random runs among those set aside as not random, at most.
+#: Expected share of ordinary runs among those reported, at most.
 FALSE_DISCOVERY = 0.05
+#: Step of the battery's p-value (0.001) from which on a run is not random.
+NOT_RANDOM = 100
+#: Kinds of characters, and how they follow each other in ordinary runs: a row for each kind before.
+KINDS_OF_CHARS = "vcuds"
+ORDINARY = (
+    (0.15, 0.70, 0.08, 0.03, 0.04),  # vowel
+    (0.43, 0.42, 0.08, 0.03, 0.04),  # consonant
+    (0.40, 0.43, 0.12, 0.03, 0.02),  # capital
+    (0.04, 0.08, 0.08, 0.70, 0.10),  # digit
+    (0.30, 0.40, 0.10, 0.15, 0.05),  # sign
+)
 #: Upper ends of the classes of length.
 LENGTH_CLASSES = (31, 47, 79)
 TESTS = 4
@@ -173,9 +197,34 @@ def _step(bare: str, enc: str) -> str:
     return f"cast(floor(-10 * log2(greatest(case {enc} {by} end, 1e-30D))) as int)"
 
 
+def _kind(char: str, one_case: bool) -> int:
+    """Place of a character's kind; in runs of one case capitals are letters like others."""
+    char = char.lower() if one_case else char
+    return 3 if char in _DIGIT else 2 if char in _UP else 0 if char in "aeiou" else 1 if char in _LOW else 4
+
+
+def evidence_table(alphabet: str, one_case: bool) -> list[float]:
+    """For each kind before and each kind after (``KINDS_OF_CHARS``): the logarithm of its share among
+    random characters of the alphabet over its share in ordinary runs."""
+    n = [sum(_kind(c, one_case) == k for c in alphabet) for k in range(5)]
+    return [math.log(n[k] / len(alphabet) / after[k]) if n[k] else 0.0 for after in ORDINARY for k in range(5)]
+
+
+def _evidence(bare: str, enc: str) -> str:
+    """SQL for the p-value under ordinary runs in tenths of a power of two, rounded up."""
+    one_case = f"not ({bare} rlike '[a-z]' and {bare} rlike '[A-Z]')"
+    array = lambda alphabet, fold: "array({})".format(", ".join(f"{x!r}D" for x in evidence_table(alphabet, fold)))
+    cases = " ".join(f"when {k} then if({one_case}, {array(a, True)}, {array(a, False)})" for k, (_, _, a) in enumerate(ENCODINGS))
+    every = _LOW + _UP + _DIGIT + "+/-_"
+    kinds = f"translate(if({one_case}, lower({bare}), {bare}), '{every}', '{''.join(KINDS_OF_CHARS[_kind(c, False)] for c in every)}')"
+    total = f"""aggregate(filter(split(v.kinds, ''), c -> c <> ''), named_struct('p', 0, 'x', 0D), (a, c) -> named_struct('p', locate(c, '{KINDS_OF_CHARS}'),
+        'x', a.x + if(a.p = 0, 0D, element_at(v.tab, 5 * (a.p - 1) + locate(c, '{KINDS_OF_CHARS}')))), a -> a.x)"""
+    return _lets("cast(least(1000D, greatest(0D, floor(10 * v.total / ln(2D)))) as int)", tab=f"case {enc} {cases} end", kinds=kinds, total=total)
+
+
 def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``__cl_base`` (spans of the patterns) and ``__cl_runs`` (candidates of the battery: span,
-    class of length ``c``, step of the p-value ``p``)."""
+    class of length ``c``, steps of the p-values under random ``p`` and under ordinary runs ``o``)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumns({f"__cl_h{k}": _hits(text, p, g) for k, (p, g, _) in enumerate(KINDS.values())} | {"__cl_h9": _hits(text, CANDIDATE, 0)})
     base = "concat({})".format(", ".join(_placed(f"__cl_h{k}", k, least) for k, (_, _, least) in enumerate(KINDS.values())))
@@ -184,30 +233,34 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     place = f"transform({_pieces(raw, '__cl_found')}, r -> named_struct('s', r.s, 'e', r.e, 'b', {_bare(f'substring({raw}, r.s + 1, r.e - r.s)')}))"
     named = out.withColumn("__cl_found", F.expr(place)).withColumn("__cl_found", F.expr(f"filter(transform(__cl_found, r -> named_struct('s', r.s, 'e', r.e, 'b', r.b, 'n', {_encoding('r.b')})), r -> r.n is not null and char_length(r.b) >= 20)"))
     cls = "case " + " ".join(f"when char_length(r.b) <= {n} then {k}" for k, n in enumerate(LENGTH_CLASSES)) + f" else {len(LENGTH_CLASSES)} end"
-    runs = F.expr(f"transform(__cl_found, r -> named_struct('s', r.s, 'e', r.e, 'c', {cls}, 'p', {_step('r.b', 'r.n')}))")
+    runs = F.expr(f"transform(__cl_found, r -> named_struct('s', r.s, 'e', r.e, 'c', {cls}, 'p', {_step('r.b', 'r.n')}, 'o', {_evidence('r.b', 'r.n')}))")
     return named.withColumn("__cl_runs", runs).drop("__cl_found", "__cl_h9", *(f"__cl_h{k}" for k in range(len(KINDS))))
 
 
+def accepted(counts: list[tuple[int, int]], rate: float) -> int | None:
+    """The least step from which on runs are reported, by the Benjamini-Hochberg rule over (step, number of
+    runs); None if none are."""
+    total, above, least = sum(n for _, n in counts), 0, None
+    for step, n in sorted(counts, reverse=True):
+        above += n
+        if step > 0 and 2.0 ** (-step / 10) <= rate * above / total:
+            least = step
+    return least
+
+
 def thresholds(found: DataFrame, rate: float = FALSE_DISCOVERY) -> dict[int, int]:
-    """Per class of length the step of the p-value from which on randomness is rejected, by the
-    Benjamini-Hochberg rule; classes without a rejection are missing."""
-    runs = found.select(F.explode("__cl_runs").alias("r")).groupBy("r.c", "r.p").agg(F.count(F.lit(1)).alias("n"))
-    rows = runs.collect()  # classes times steps at most
-    out: dict[int, int] = {}
-    for c in {r.c for r in rows}:
-        own = sorted(((r.p, r.n) for r in rows if r.c == c), reverse=True)
-        total, below = sum(n for _, n in own), 0
-        for step, n in own:
-            below += n
-            if 2.0 ** (-step / 10) <= rate * below / total:
-                out[c] = step
-    return out
+    """Per class of length the step of the p-value under ordinary runs from which on they are reported;
+    classes without any are missing. Runs that cannot be random count as ordinary."""
+    step = F.when(F.col("r.p") < NOT_RANDOM, F.col("r.o")).otherwise(0).alias("o")
+    rows = found.select(F.explode("__cl_runs").alias("r")).groupBy("r.c", step).agg(F.count(F.lit(1)).alias("n")).collect()  # classes times steps at most
+    limits = {c: accepted([(r.o, r.n) for r in rows if r.c == c], rate) for c in {r.c for r in rows}}
+    return {c: x for c, x in limits.items() if x is not None}
 
 
 def with_spans(found: DataFrame, limits: dict[int, int]) -> DataFrame:
     """``found`` with ``__cl_spans``: the patterns' spans and the ``random`` ones, by start and kind."""
-    limit = "case r.c " + " ".join(f"when {c} then {p}" for c, p in sorted(limits.items())) + " else 1000000 end" if limits else "1000000"
-    left = f"array_sort(transform(filter(__cl_runs, r -> r.p < {limit}), r -> named_struct('s', r.s, 'b', -r.e)))"
+    limit = "case r.c " + " ".join(f"when {c} then {o}" for c, o in sorted(limits.items())) + " else 1000000 end" if limits else "1000000"
+    left = f"array_sort(transform(filter(__cl_runs, r -> r.p < {NOT_RANDOM} and r.o >= {limit}), r -> named_struct('s', r.s, 'b', -r.e)))"
     kept = f"""aggregate({left}, named_struct('to', -1, 'out', cast(array() as {_SPANS})), (a, r) -> named_struct('to', greatest(a.to, -r.b),
         'out', if(-r.b > a.to, concat(a.out, array(named_struct('s', r.s, 'k', {len(KINDS)}, 'e', -r.b))), a.out)), a -> a.out)"""
     spans = f"array_sort(concat(__cl_base, {kept}))"
@@ -228,14 +281,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mask``; spans that overlap or touch become one."""
-    found = stash(find_spans(docs.select(F.col(text_col).alias("text"))).select("__cl_runs"), "runs")
+    quoted = lambda c: F.col("`{}`".format(c.replace("`", "``")))
+    found = stash(find_spans(docs.select(quoted(text_col).alias("text"))).select("__cl_runs"), "runs")
     limits = thresholds(found)
     discard(found)
-    marked = with_spans(find_spans(docs, text_col), limits)
+    # the caller's columns travel as they are, under names of their own
+    own = docs.select(quoted(text_col).alias("text"), *(quoted(c).alias(f"__cl_own{k}") for k, c in enumerate(docs.columns) if c != text_col))
+    marked = with_spans(find_spans(own), limits)
     cut = f"""aggregate(__cl_spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', greatest(a.at, x.e), 'out',
-        if(x.s > a.at or a.at = 0, concat(a.out, substring({text_col}, a.at + 1, x.s - a.at), '{mask}'), a.out)),
-        a -> concat(a.out, substring({text_col}, a.at + 1)))"""
-    return marked.withColumn(text_col, F.when(F.size("__cl_spans") > 0, F.expr(cut)).otherwise(F.col(text_col))).drop("__cl_base", "__cl_spans")
+        if(x.s > a.at or a.at = 0, concat(a.out, substring(text, a.at + 1, x.s - a.at), '{mask}'), a.out)),
+        a -> concat(a.out, substring(text, a.at + 1)))"""
+    clean = F.when(F.size("__cl_spans") > 0, F.expr(cut)).otherwise(F.col("text"))
+    return marked.select(*(clean.alias(c) if c == text_col else F.col(f"__cl_own{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op7_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
