@@ -1,7 +1,9 @@
 """Best-fit packing of token pieces into sequences, improved by swap-based local search.
 
 Documents are encoded in one pass that keeps only lengths and checksums; longer ones are cut into
-pieces of the capacity. Pieces are dealt evenly, in turn, to groups of bounded size. Each group is
+pieces of the capacity. The pieces are written to the shared folder, each with a running number, and
+then, when they are counted and fixed, dealt in turn to groups of bounded size: a long document's pieces
+and rows that are alike spread over all groups, and a task that is run again deals as before. Each group is
 packed best-fit decreasing; then pieces are moved, or exchanged one-for-one or two-for-one, between
 underfull bins whenever that raises the sum of squared fills, until the emptiest bins are empty, no
 exchange helps, or the number of bins is the least possible. What room a group leaves is gathered in its
@@ -10,8 +12,8 @@ groups.
 
 Edge cases: null text counts as empty (its end id alone is one piece); repeated rows and null ids
 are pieces of their own; an empty table gives no rows; pieces of the full capacity take a sequence
-each; ties in length are packed in the order of id, piece and checksum. Columns other than the two
-named are not read.
+each; ties in length are packed in the order of id, piece and checksum; of a very long text its ids are
+held once. Columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_path, word_encoder
-from .common import stash
+from .common import discard, stash
 
 #: Pieces in a group that one task packs.
 GROUP = 16384
@@ -34,9 +36,9 @@ MERGED = 256
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, groups: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, grp``: the pieces of every whole text. ``grp``
-    deals pieces to ``groups`` groups in turn, whatever their keys."""
+def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, turn``: the pieces of every whole text, numbered in
+    turn within a task, from the task's own number on."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,12 +51,12 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, groups: i
                 ids = enc.encode(text.as_py()) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    out.append((doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part), turn % groups))
+                    out.append((doc_id.as_py(), k, at // 4, len(part) // 4, zlib.crc32(part), turn))
                     turn += 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], ["doc_id", "piece", "start", "length", "ids_crc32", "grp"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], ["doc_id", "piece", "start", "length", "ids_crc32", "turn"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"{_PIECE}, grp long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"{_PIECE}, turn long")
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[int]:
@@ -171,9 +173,10 @@ def _pack_groups(pieces: DataFrame, capacity: int, first_id: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
-    groups = max(1, -(-docs.count() // group))
-    pieces = cut_pieces(docs, path, end_id, capacity, groups, id_col, text_col)
-    packed = stash(_pack_groups(pieces, capacity, 0), "packed")
+    pieces = stash(cut_pieces(docs, path, end_id, capacity, id_col, text_col), "pieces")
+    groups = max(1, -(-pieces.count() // group))
+    packed = stash(_pack_groups(pieces.withColumn("grp", F.expr(f"turn % {groups}")).drop("turn"), capacity, 0), "packed")
+    discard(pieces)
     if groups > 1:
         left = packed.filter("open").drop("sequence_id", "offset", "open")
         again = left.withColumn("grp", F.expr(f"grp div {MERGED}"))
