@@ -7,14 +7,18 @@ for its own. A payload is one byte that says whether the document has an id, one
 with the bytes of a token id (2 where the vocabulary allows it, else 4), the document's id (i64), and the token ids. The index file of a data file holds offset and length (u64 each) of each
 frame's payload, so that any record is read with one seek, in any order.
 
-Rows are range-partitioned and sorted by document id, each partition is encoded as it streams by and
-becomes one file: neither a partition nor a file is ever held in memory. A file gets its final
-name only when it is whole, and its content depends on the data alone, so a retried or speculative
-task leaves the same file. Only the manifest, one row per file, reaches the driver.
+Rows are range-partitioned and sorted by document id, into partitions of ``PART_MB`` MB by the counted
+bytes of the texts; each is encoded as it streams by and becomes one file: neither a partition nor a
+file is ever held in memory, of a text that is very long only the text itself with its ids. A file gets
+its final name only when it is whole, and its content depends on the data alone, so a retried or
+speculative task leaves the same file. The manifest, one row per file, is a table as well: its running
+sums go over blocks of ``NEAR`` files and then over the blocks, and readers get its rows by a shuffle;
+the driver learns the number of files alone.
 
 Edge cases: null text counts as empty (its record holds the end id alone); null document ids come
-first; rows of one document id are ordered by a hash of their text, then by the text; an empty table
-gives no files and no records; columns other than the two named are not read.
+first; rows of one document id are ordered by a hash of their text, then by the text; rows repeated
+under one id and text give a record each, all in one file; an empty table gives no files and no
+records; columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 from .bpe import default_path, word_encoder
 from .common import fresh_path, parts_for, stash
 
+#: MB of text in a partition; files whose running sums one task makes.
+PART_MB, NEAR = 24, 1024
 #: Added to the turned checksum.
 MASK_DELTA = 0xA282EAD8
 _HEAD, _CRC, _INDEX = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<QQ")
@@ -132,7 +138,7 @@ def write_records(docs: DataFrame, dest: str, path: str, end_id: int, partitions
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keys = ["doc_id", F.xxhash64("text"), "text"]
-    n = partitions or parts_for(rows, 32)
+    n = partitions or parts_for(rows, "text", PART_MB)
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,17 +158,18 @@ def write_records(docs: DataFrame, dest: str, path: str, end_id: int, partitions
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [file], "n_records": [made], "n_tokens": [tokens]})
 
     made = rows.repartitionByRange(n, *keys[:2]).sortWithinPartitions(*keys).mapInArrow(run, "shard int, file string, n_records long, n_tokens long")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return stash(made, "manifest").withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    made = stash(made, "manifest").withColumn("_far", F.expr(f"shard div {NEAR}"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = made.groupBy("_far").agg(F.sum("n_tokens").alias("t")).withColumn("_base", F.sum("t").over(before(Window.orderBy("_far")))).drop("t")
+    inside = F.sum("n_tokens").over(before(Window.partitionBy("_far").orderBy("shard")))
+    start = F.coalesce("_base", F.lit(0)) + F.coalesce("_inside", F.lit(0))
+    return made.withColumn("_inside", inside).join(blocks, "_far").select("shard", "file", "n_records", "n_tokens", start.alias("start"))
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, ids binary`` (little-endian u32) of all records of a manifest, one file per
     task, checksums verified; ``start`` counts the tokens of all records before."""
-    spark = manifest.sparkSession
-    files = [(r.shard, r.file, r.start) for r in manifest.filter("n_records > 0").collect()]
-    if not files:
-        return spark.createDataFrame([], "doc_id long, start long, ids binary")
+    places = manifest.filter("n_records > 0").select("shard", "file", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,8 +189,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(i, pa.binary())], ["doc_id", "start", "ids"])
 
     # a file per task, dealt by the files' own numbers
-    places = spark.createDataFrame(files, "shard int, file string, start long")
-    return places.repartitionByRange(len(files), "shard").mapInArrow(run, "doc_id long, start long, ids binary")
+    return places.repartitionByRange(max(1, places.count()), "shard").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codeloom.llm import bpe, op4_records, op5_packing, op6_lengths, op10_bpe
+from codeloom.llm import bpe, common, op4_records, op5_packing, op6_lengths, op10_bpe
 from codeloom.llm.common import fresh_path
 
 WORD, BYTE = bpe.default_path("word_bpe_49k.json"), bpe.default_path("byte_bpe_50k.json")
@@ -38,11 +38,37 @@ def test_forced_pairs_are_inside_no_token():
 
 
 def test_fragment_store_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_FRAGMENTS", 3)
+    monkeypatch.setattr(bpe, "FRAGMENT_BYTES", 5000)
     enc = bpe.WordEncoder(WORD)
-    for k in range(20):
-        assert enc.encode(f"word{k} more{k}") == np.asarray(library(WORD, f"word{k} more{k}"), dtype="<u4").tobytes()
-    assert len(enc.whole) < 10
+    for k in range(200):
+        assert enc.encode(f"word{k} more{k} again") == np.asarray(library(WORD, f"word{k} more{k} again") if k % 50 == 0 else enc.tok.encode(f"word{k} more{k} again", add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert enc.whole.held <= 5000 and len(enc.whole) + len(enc.whole.old) < 70
+    assert "again" in enc.whole or "again" in enc.whole.old
+
+
+def test_stores_keep_two_generations_and_one_holder():
+    made = []
+    store = common.Store(lambda k: made.append(k) or k * 2, 3000)
+    for k in range(100):
+        assert store[b"x%d" % k] == b"x%d" % k * 2 and store.held <= 3000
+        assert store[b"often"] == b"oftenoften"
+    assert made.count(b"often") == 1  # it moves from generation to generation
+    assert store[b"y" * 4000] == b"y" * 8000 and b"y" * 4000 not in store  # too large to keep
+    other = common.Store(lambda k: k, 3000)
+    common.claim(store)
+    common.claim(other)
+    assert not store and not store.old and store.held == 0
+
+
+def test_partitions_follow_counted_bytes(spark):
+    """However the rows came about: from a list, or from joins."""
+    rows = spark.createDataFrame([(1, "a" * 3_000_000), (2, None)], "doc_id long, text string")
+    assert common.parts_for(rows, "text", 1) == 3 and common.parts_for(rows.limit(0), "text", 1) == 1
+    joined = rows.join(rows.select("doc_id"), "doc_id").join(rows.select("doc_id"), "doc_id")
+    assert common.parts_for(joined, "text", 1) == 3 and common.parts_for(joined, "text", 1, most=2) == 2
+    with common.arrow_rows(spark, 7):
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
 
 
 def test_round_trip(spark, docs, empty, rows):
@@ -59,7 +85,8 @@ def test_round_trip(spark, docs, empty, rows):
     assert back == {i: t or "" for i, t in rows if i is not None}
 
 
-def test_records(spark, docs, empty, rows):
+def test_records(spark, docs, empty, rows, monkeypatch):
+    monkeypatch.setattr(op4_records, "NEAR", 2)
     manifest = op4_records.write_records(docs, fresh_path(spark, "records"), WORD, end_id=2, partitions=3)
     got = [(r.doc_id, r.start, bytes(r.ids)) for r in op4_records.read_records(manifest).collect()]
     want, at = [], 0
@@ -77,6 +104,9 @@ def test_records(spark, docs, empty, rows):
         assert start == at
         at += len(ids) // 4
     assert len(by_id[None]) == 2
+    joined = docs.select("doc_id", "text").join(docs.select("doc_id").distinct(), "doc_id")  # not a bare scan
+    again = op4_records.write_records(joined, fresh_path(spark, "records"), WORD, end_id=2)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in op4_records.read_records(again).collect()) == Counter((i, ids) for i, _, ids in got if i is not None)
     none = op4_records.write_records(empty, fresh_path(spark, "records"), WORD, end_id=2)
     assert op4_records.read_records(none).count() == 0
 
@@ -121,6 +151,15 @@ def test_packing_of_documents(spark, docs, empty, rows):
     assert op5_packing.pack_documents(empty, WORD).count() == 0
 
 
+def test_long_and_equal_rows_spread_over_groups(spark):
+    """Pieces, not rows, are dealt: a document of many pieces and rows that are alike."""
+    rows = [(1, "the " * 30_000)] + [(2, "the same words")] * 60
+    pieces = op5_packing.cut_pieces(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), WORD, 1, 256).collect()
+    assert len(pieces) == 118 + 60 and sorted(p.turn for p in pieces) == list(range(178))
+    got = op5_packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORD, capacity=256, group=32).collect()
+    assert len(got) == 178 and len({r.sequence_id for r in got}) <= -(-sum(r.length for r in got) // 256) + 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=24))
 def test_packing_never_exceeds_and_search_never_hurts(sizes):
