@@ -34,7 +34,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes that a generation of a store may take, two of which are kept: fragments as they stand, the
 #: words in them, and byte-level fragments.
-FRAGMENT_BYTES, WORD_BYTES, BYTE_FRAGMENT_BYTES = 44 << 20, 20 << 20, 44 << 20
+FRAGMENT_BYTES, WORD_BYTES, BYTE_FRAGMENT_BYTES = 60 << 20, 28 << 20, 60 << 20
 
 _LATIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([^A-Za-zÀ-ÖØ-öø-ÿ]*)")
 _PLAIN_TAIL = re.compile(r"[.,!?;:#$%&*]*")
