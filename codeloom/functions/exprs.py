@@ -218,15 +218,35 @@ def hints(doc: Column, receiver: Column, name: Column, refs: Column) -> Column:
     ))
 
 
-#: Verb of a callee by the beginning of its name.
-VERBS = {"get": "reads", "find": "reads", "load": "reads", "read": "reads", "set": "writes", "write": "writes", "save": "writes", "new": "creates", "create": "creates", "delete": "removes", "remove": "removes", "is": "checks", "has": "checks", "validate": "checks"}
+#: Verbs of callees by their whole name, then by how it begins, in this order.
+VERBS = {
+    "Open": "opens", "Close": "closes", "Read": "reads", "Write": "writes", "Get": "retrieves", "Set": "updates", "Save": "persists", "Store": "persists", "Load": "loads",
+    "Parse": "parses", "Format": "formats", "Validate": "validates", "Check": "validates", "Execute": "executes", "Run": "executes", "Start": "starts", "Stop": "stops",
+    "Init": "initializes", "Create": "creates", "Delete": "deletes", "Remove": "removes", "Add": "adds", "Append": "appends", "Insert": "inserts", "Update": "updates",
+    "Find": "finds", "Search": "searches", "Query": "queries", "Fetch": "fetches", "Send": "sends", "Receive": "receives", "Encode": "encodes", "Decode": "decodes",
+    "Marshal": "serializes", "Unmarshal": "deserializes",
+}
+VERB_PREFIXES = {
+    "Is": "validates", "Has": "validates", "Check": "validates", "New": "creates", "Make": "creates", "Get": "retrieves", "Set": "updates", "Save": "persists", "Load": "loads",
+    "Parse": "parses", "Format": "formats",
+}
 
 
 def action_verb(name: Column) -> Column:
+    """The verb of a whole name, else of its beginning, else ``calls``."""
     out = F.lit("calls")
-    for prefix, verb in reversed(VERBS.items()):
-        out = F.when(F.lower(name).startswith(prefix), verb).otherwise(out)
-    return out
+    for prefix, verb in reversed(VERB_PREFIXES.items()):
+        out = F.when(name.startswith(prefix), verb).otherwise(out)
+    known = F.create_map(*(F.lit(x) for pair in VERBS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, name), out)
+
+
+def significance(name: Column, terminal: Column) -> Column:
+    """Rank of a callee in a flow: 5, less 4 if it calls nothing, 3 more for a dotted and 2 more for an
+    exported name, less 2 for names that begin with Is or Has."""
+    bare = F.element_at(F.split(name, r"\."), -1)
+    part = lambda c, n: F.when(c, n).otherwise(0)
+    return F.lit(5) - part(terminal, 4) + part(name.contains("."), 3) + part(is_exported(bare), 2) - part(bare.rlike("^(Is|Has|is|has)"), 2)
 
 
 def verdict(change: Column, threshold: float = 15.0, lower_is_better: bool = True) -> Column:

@@ -37,9 +37,31 @@ def fan_in(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return edges.filter(F.col(src) != F.col(dst)).groupBy(dst).agg(F.countDistinct(src).alias("fan_in"))
 
 
+def values_at_ranks(rows: DataFrame, group: list[str], value: str, ranks: DataFrame, buckets: int = 1024) -> DataFrame:
+    """``group..., rank, value``: the values at places ``ranks (group..., rank)``, from 0, of each group's
+    values in rising order; nulls do not count. No task holds a group: rows are counted in equal stretches
+    of the group's span, then those of the stretches with a wanted place, by value."""
+    rows = rows.filter(F.col(value).isNotNull())
+    span = rows.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets
+    placed = rows.join(span, group).select(*group, value, F.when(F.col("_hi") > F.col("_lo"), F.floor(share)).otherwise(0).cast("int").alias("_b"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before(Window.partitionBy(*group).orderBy("_b"))), F.lit(0)))
+    hit = ranks.join(counts, group).filter("rank >= _before and rank < _before + _n").select(*group, "rank", "_b", (F.col("rank") - F.col("_before")).alias("_k"))
+    inside = placed.join(hit.select(*group, "_b").distinct(), [*group, "_b"]).groupBy(*group, "_b", value).agg(F.count(F.lit(1)).alias("_c"))
+    inside = inside.withColumn("_below", F.coalesce(F.sum("_c").over(before(Window.partitionBy(*group, "_b").orderBy(value))), F.lit(0)))
+    return hit.join(inside, [*group, "_b"]).filter("_k >= _below and _k < _below + _c").select(*group, "rank", value)
+
+
 def rollup(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """Sum, 95th percentile (linear interpolation) and maximum."""
-    return rows.groupBy(*group).agg(F.sum(value).alias("total"), F.percentile(value, 0.95).alias("p95"), F.max(value).alias("largest"), F.count(F.lit(1)).alias("n"))
+    x = rows.groupBy(*group).agg(F.sum(value).alias("total"), F.max(value).alias("largest"), F.count(F.lit(1)).alias("n"), F.count(value).alias("_v"))
+    at = 0.95 * (F.col("_v") - 1)
+    ranks = x.filter("_v > 0").select(*group, F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("rank"))
+    found = values_at_ranks(rows, group, value, ranks).groupBy(*group).agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
+    p95 = F.col("_a") + (F.col("_b") - F.col("_a")) * (at - F.floor(at))
+    return x.join(found, group, "left").select(*group, "total", p95.alias("p95"), "largest", "n")
 
 
 def abstractness(rows: DataFrame, group: list[str], abstract: Column, counted: Column) -> DataFrame:
@@ -65,31 +87,34 @@ def churn(rows: DataFrame, path: str, at: str, author: str, kind: str, half_life
     )
 
 
-def p50(value: str) -> Column:
-    """Upper median: the element at half the count, not interpolated."""
-    return F.element_at(F.sort_array(F.collect_list(value)), (F.count(value) / 2).cast("int") + 1)
-
-
 def usage_report(log: DataFrame) -> DataFrame:
-    """Per command: calls, errors, share of errors in percent, median latency."""
+    """Per command: calls, errors, share of errors in percent, median latency (the upper one: the value at
+    half the count, not interpolated)."""
     errors = F.sum(F.when(F.col("outcome") == "error", 1).otherwise(0))
-    return log.groupBy("cmd").agg(F.count(F.lit(1)).alias("calls"), errors.alias("errors"), (errors * 100.0 / F.count(F.lit(1))).alias("error_percent"), p50("ms").alias("p50_ms"))
+    x = log.groupBy("cmd").agg(F.count(F.lit(1)).alias("calls"), errors.alias("errors"), (errors * 100.0 / F.count(F.lit(1))).alias("error_percent"), F.count("ms").alias("_v"))
+    middle = values_at_ranks(log.select("cmd", "ms"), ["cmd"], "ms", x.filter("_v > 0").select("cmd", F.expr("_v div 2").alias("rank")))
+    return x.join(middle.select("cmd", F.col("ms").alias("p50_ms")), "cmd", "left").drop("_v")
 
 
-def convention(rows: DataFrame, follows: Column, counted: Column, name: str) -> DataFrame:
-    """One row: how many of the counted rows follow the majority form, the ratio and the confidence."""
-    x = rows.agg(F.sum(F.when(counted & follows, 1).otherwise(0)).alias("yes"), F.sum(F.when(counted & ~follows, 1).otherwise(0)).alias("no"))
-    n = F.col("yes") + F.col("no")
-    ratio = F.when(n > 0, F.greatest("yes", "no") / n).otherwise(0.0)
-    return x.select(F.lit(name).alias("convention"), F.col("yes").cast("long").alias("n_yes"), F.col("no").cast("long").alias("n_no"), ratio.alias("ratio"), confidence(ratio, n).alias("confidence"))
+def conventions(rows: DataFrame, name: str, follows: Column) -> DataFrame:
+    """For each convention: how many of its rows follow it and do not, the share of the majority form and
+    the confidence; all conventions in one pass."""
+    x = rows.groupBy(name).agg(F.sum(F.when(follows, 1).otherwise(0)).cast("long").alias("n_yes"), F.sum(F.when(~follows, 1).otherwise(0)).cast("long").alias("n_no"))
+    n = F.col("n_yes") + F.col("n_no")
+    ratio = F.when(n > 0, F.greatest("n_yes", "n_no") / n).otherwise(0.0)
+    return x.select(name, "n_yes", "n_no", ratio.alias("ratio"), confidence(ratio, n).alias("confidence"))
 
 
 def hotspots(complexity: DataFrame, churned: DataFrame, key: str) -> DataFrame:
     """Score of items with both: complexity over its largest, times ln(1 + churn) over its largest."""
-    x = complexity.join(churned, key)
-    top = x.agg(F.max("complexity").alias("_x"), F.max("churn").alias("_n"))  # one row
+    return scored_hotspots(complexity.join(churned, key))
+
+
+def scored_hotspots(items: DataFrame) -> DataFrame:
+    """``items`` with ``complexity`` and ``churn``, scored; the maxima are one row that is broadcast."""
+    top = items.agg(F.max("complexity").alias("_x"), F.max("churn").alias("_n"))
     score = F.when(F.col("_x") > 0, F.col("complexity") / F.col("_x")).otherwise(0.0) * log_share(F.col("churn"), F.col("_n"))
-    return x.crossJoin(F.broadcast(top)).withColumn("score", score).drop("_x", "_n")
+    return items.crossJoin(F.broadcast(top)).withColumn("score", score).drop("_x", "_n")
 
 
 def ranked_metric(values: DataFrame, kind: str, metric: str) -> DataFrame:
@@ -127,3 +152,19 @@ def digest(metrics: DataFrame, symbols: DataFrame) -> DataFrame:
     exports = symbols.filter(F.col("name").rlike("^[A-Z]")).groupBy("pkg_path").agg(F.count(F.lit(1)).alias("exports"))
     names = ["ca", "ce", "instability", "lcom4", "cyclo_max"]
     return exports.join(pivoted(metrics, names).withColumnRenamed("node_id", "pkg_path"), "pkg_path", "left")
+
+
+def reach(calls: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
+    """For each of ``files (file_path, pkg_path)``: distinct callers of what it declares, their files, and the
+    most importers that a package of it has. ``calls`` is (caller_id, _from, file_path of the callee)."""
+    called = calls.groupBy("file_path").agg(F.countDistinct("caller_id").alias("n_callers"), F.countDistinct("_from").alias("n_caller_files"))
+    used = imports.groupBy("pkg_path").agg(F.countDistinct("importer_pkg").alias("_n"))
+    most = files.join(used, "pkg_path", "left").groupBy("file_path").agg(F.coalesce(F.max("_n"), F.lit(0)).cast("long").alias("n_importers"))
+    return most.join(called, "file_path", "left").fillna(0, ["n_callers", "n_caller_files"]).select("file_path", "n_callers", "n_caller_files", "n_importers")
+
+
+def summary(rows: DataFrame, kind: str, path: str) -> DataFrame:
+    """One row: ``total, n_files, kinds`` with the count of each kind, by kind."""
+    each = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
+    kinds = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(kind, "n"))), lambda x: F.concat_ws("=", x[kind], x["n"].cast("string"))), ",")
+    return each.agg(F.sum("n").alias("total"), kinds.alias("kinds")).crossJoin(rows.agg(F.countDistinct(path).alias("n_files"))).select("total", "n_files", "kinds")

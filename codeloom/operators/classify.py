@@ -91,11 +91,11 @@ def type_lifecycle(refs: DataFrame, symbols: DataFrame, type_name: str) -> DataF
 
 #: Zones and the words in a path that mark them.
 ZONES = {
-    "auth": ("auth", "login", "session", "oauth", "jwt", "password"),
-    "crypto": ("crypto", "cipher", "encrypt", "secret", "keyring"),
-    "payments": ("payment", "billing", "invoice", "checkout"),
-    "data": ("migration", "schema", "database", "backup"),
-    "infra": ("deploy", "terraform", "docker", "kubernetes", "secrets"),
+    "auth": ("auth", "login", "session", "oauth", "jwt", "credential"),
+    "crypto": ("crypto", "cipher", "encrypt", "decrypt", "x509", "tls"),
+    "migration": ("migration", "migrate", "schema"),
+    "secret": ("secret", "password", "apikey", "vault", "token"),
+    "payment": ("payment", "billing", "invoice", "charge"),
 }
 
 

@@ -39,6 +39,14 @@ def call_edges(calls: DataFrame, symbols: DataFrame, include_tests: bool = False
     return e
 
 
+def fan_out(sites: DataFrame, methods: DataFrame, implementers: DataFrame, caller: str = "caller_id") -> DataFrame:
+    """``caller, interface_id, type_id, name``: each distinct call ``(caller, interface_id, name)`` of an
+    interface's method reaches that method of every type that implements the interface. ``methods`` is
+    (interface_id, name), ``implementers`` (interface_id, type_id)."""
+    calls = sites.select(caller, "interface_id", "name").distinct().join(methods.select("interface_id", "name").distinct(), ["interface_id", "name"], "left_semi")
+    return calls.join(implementers.select("interface_id", "type_id").distinct(), "interface_id").select(caller, "interface_id", "type_id", "name")
+
+
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
 
@@ -79,13 +87,14 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     weighed = cut(edges.join(out, "src"))
     rank = cut(nodes.join(out.withColumnRenamed("src", "node"), "node", "left").withColumn("value", F.lit(1.0 / n)))
+    loose = rank.filter("out is null").count() / n
     for _ in range(rounds):
-        loose = rank.filter("out is null").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("s")).first()["s"]
         got = weighed.join(rank.select(F.col("node").alias("src"), "value"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("value") / F.col("out")).alias("got"))
         new = rank.join(got, "node", "left").select("node", "out", F.col("value").alias("was"), ((1 - damping) / n + damping * loose / n + damping * F.coalesce("got", F.lit(0.0))).alias("value"))
-        rank = cut(new)
-        change = rank.agg(F.sum(F.abs(F.col("value") - F.col("was"))).alias("d")).first()["d"]
-        rank = rank.drop("was")
+        new = cut(new)
+        # the change and the mass for the next round in one pass
+        change, loose = new.agg(F.sum(F.abs(F.col("value") - F.col("was"))), F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("value"))), F.lit(0.0))).first()
+        rank = new.drop("was")
         if change < tolerance:
             break
     return rank.select("node", "value")
@@ -276,16 +285,18 @@ def topological_levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``node, level``, edges left). A level holds the nodes whose sources are all in levels before; edges
     are left over if and only if there is a cycle, and each of them is on or behind one. The order within
     a level is by node."""
-    rest, nodes, level, done = cut(edges), cut(nodes_of(edges)), 0, None
+    rest, nodes, found = cut(edges), cut(nodes_of(edges)), []
+    done = None
     while True:
-        free = cut(nodes.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+        free = cut(nodes.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(len(found))))
         if free.isEmpty():
             break
-        got = free.withColumn("level", F.lit(level))
-        done = got if done is None else cut(done.unionByName(got))
-        nodes = cut(nodes.join(free, "node", "left_anti"))
+        found.append(free)
+        done = free if done is None else done.unionByName(free)
+        if len(found) % 16 == 0:
+            done = cut(done)
+        nodes = cut(nodes.join(free.select("node"), "node", "left_anti"))
         rest = cut(rest.join(free.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"))
-        level += 1
     return (done if done is not None else nodes.withColumn("level", F.lit(0)).limit(0)), rest
 
 

@@ -25,16 +25,52 @@ def by_name(inputs: DataFrame, symbols: DataFrame, name: str = "name", query: st
     """Symbols for each input name: equal, else equal but for case, else containing it.
 
     Equal names are found with equality joins on the folded name; containment is tried only for
-    inputs that found nothing.
+    inputs that found nothing, by a join on their first three characters (fewer, if they are shorter), which
+    a name that contains them has somewhere. An empty input finds nothing.
     """
     folded = symbols.withColumn("_low", F.lower(F.col(name)))
     equal = inputs.join(folded, F.lower(F.col(query)) == F.col("_low"))
     hit = cascade(equal, [F.col(name) == F.col(query), F.lit(True)], [query])
-    missed = inputs.join(hit.select(query).distinct(), query, "left_anti")
-    inside = missed.join(folded, F.col("_low").contains(F.lower(F.col(query)))).withColumn("tier", F.lit(3))
+    missed = inputs.join(hit.select(query).distinct(), query, "left_anti").withColumn("_gram", F.substring(F.lower(F.col(query)), 1, 3)).filter("_gram <> ''")
+    grams = F.expr("array_distinct(flatten(transform(sequence(1, 3), n -> transform(sequence(1, greatest(char_length(_low), 1)), i -> substring(_low, i, n)))))")
+    inside = missed.join(folded.withColumn("_gram", F.explode(grams)), "_gram").filter(F.col("_low").contains(F.lower(F.col(query)))).drop("_gram").withColumn("tier", F.lit(3))
     return hit.unionByName(inside).drop("_low")
 
 
+def routed(inputs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Symbols for inputs ``query``, by the form of each: ``T.M`` with a capital before the last dot is a
+    method by its receiver, ``p.N`` a name in a package (exact, else after a slash), all else a name
+    (equal, else equal but for case). One plan: each row's tier is that of its form."""
+    q = inputs.withColumn("_left", F.regexp_extract("query", r"^\(?\*?(.*?)\)?\.([^.]*)$", 1)).withColumn("_right", F.regexp_extract("query", r"\.([^.]*)$", 1))
+    q = q.withColumn("_form", F.when(F.col("_left") == "", "name").when(F.col("_left").rlike("^[A-Z]"), "method").otherwise("package")).withColumn("_key", F.lower(F.when(F.col("_form") == "name", F.col("query")).otherwise(F.col("_right"))))
+    both = q.join(symbols.withColumn("_key", F.lower("name")), "_key")
+    exact = F.col("name") == F.when(F.col("_form") == "name", F.col("query")).otherwise(F.col("_right"))
+    held = F.concat(F.lit("("), "_left", F.lit(")")), F.concat(F.lit("(*"), "_left", F.lit(")"))
+    method = (F.col("_form") == "method") & exact & ((F.col("receiver") == held[0]) | (F.col("receiver") == held[1]))
+    package = (F.col("_form") == "package") & exact
+    tiers = [method | (package & (F.col("pkg_path") == F.col("_left"))) | ((F.col("_form") == "name") & exact), (package & suffix_match(F.col("pkg_path"), F.col("_left"))) | (F.col("_form") == "name")]
+    return cascade(both, tiers, ["query"]).withColumnRenamed("_form", "form").drop("_left", "_right", "_key")
+
+
+def selected(rows: DataFrame, key: list[str], score: str, order: list[str], n: int) -> DataFrame:
+    """The n best of each key, and whether the choice is ambiguous: another row has the best score too."""
+    w = Window.partitionBy(*key)
+    marked = rows.withColumn("_best", F.max(score).over(w)).withColumn("ambiguous", F.sum(F.when(F.col(score) == F.col("_best"), 1).otherwise(0)).over(w) > 1).drop("_best")
+    return top_per_group(marked, key, [F.col(score).desc(), *order], n)
+
+
+def package_matches(packages: DataFrame, patterns: list[str], package: str = "pkg_path") -> DataFrame:
+    """Distinct packages that meet a pattern: equal to it or ending in it after a slash; one that ends in
+    ``/...`` also takes everything below."""
+    hit = F.lit(False)
+    for p in patterns:
+        base = p.removesuffix("/...")
+        hit = hit | suffix_match(F.col(package), F.lit(base))
+        if p.endswith("/..."):
+            hit = hit | F.col(package).contains(f"/{base}/")
+    return packages.filter(hit).select(package).distinct()
+
+
 def qualified(inputs: DataFrame, symbols: DataFrame, name: str = "name", package: str = "pkg_path") -> DataFrame:
     """Symbols for inputs (``query_pkg, query_name``): the exact package, else one that ends in it."""
     joined = inputs.join(symbols, F.col(name) == F.col("query_name"))

@@ -59,7 +59,7 @@ def budgeted_groups(rows: DataFrame, group: str, order: list[Column | str], cap:
     """At most ``cap`` rows: those from the tail of the largest group go first. A row's place in its group
     is its cost, so equal places of all groups stay or go together, the smaller group first on ties."""
     placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return placed.orderBy("_place", group).limit(cap).drop("_place")
+    return placed.filter(F.col("_place") <= cap).orderBy("_place", group).limit(cap).drop("_place")
 
 
 def envelope(rows: DataFrame, columns: list[str], order: list[Column | str], limit: int) -> DataFrame:

@@ -177,6 +177,15 @@ def cooccurring_types(symbols: DataFrame, refs: DataFrame, interface_id: str) ->
     return symbols.filter(F.col("kind").isin("struct", "type") & (F.col("id") != interface_id)).join(files, "file_path", "left_semi")
 
 
+def seam_scores(implementers: DataFrame, refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``interface_id, score`` of interfaces with an implementer and references from two files or more:
+    twice the packages that refer to them plus their implementers ``(interface_id, ...)``."""
+    impl = implementers.groupBy("interface_id").agg(F.count(F.lit(1)).alias("n_impl"))
+    pkg = symbols.select(F.col("id").alias("enclosing_id"), "pkg_path")
+    use = refs.join(pkg, "enclosing_id", "left").groupBy(F.col("symbol_id").alias("interface_id")).agg(F.countDistinct("pkg_path").alias("n_pkgs"), F.countDistinct("file_path").alias("n_files"))
+    return impl.join(use, "interface_id").filter("n_impl >= 1 and n_files >= 2").withColumn("score", 2 * F.col("n_pkgs") + F.col("n_impl"))
+
+
 def dead(items: DataFrame, uses: DataFrame, item_key: str, use_key: str, qualifies: Column) -> DataFrame:
     """Items without any qualifying use, with the count of all their uses as ``n_uses``."""
     none = items.join(uses.filter(qualifies).select(F.col(use_key).alias(item_key)).distinct(), item_key, "left_anti")

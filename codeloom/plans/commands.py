@@ -190,10 +190,7 @@ class Index:
     def seams(self, interface_methods: DataFrame) -> DataFrame:
         """Interfaces by twice the packages that refer to them plus their implementers; those with an
         implementer and references from two files or more."""
-        impl = R.implementers(self.symbols, interface_methods).groupBy("interface_id").agg(F.count(F.lit(1)).alias("n_impl"))
-        pkg = self.symbols.select(F.col("id").alias("enclosing_id"), "pkg_path")
-        use = self.refs.join(pkg, "enclosing_id", "left").groupBy(F.col("symbol_id").alias("interface_id")).agg(F.countDistinct("pkg_path").alias("n_pkgs"), F.countDistinct("file_path").alias("n_files"))
-        x = impl.join(use, "interface_id").filter("n_impl >= 1 and n_files >= 2").withColumn("score", 2 * F.col("n_pkgs") + F.col("n_impl"))
+        x = R.seam_scores(R.implementers(self.symbols, interface_methods), self.refs, self.symbols)
         return x.orderBy(F.col("score").desc(), "interface_id")
 
     def datastores(self, drivers: list[tuple[str, str]]) -> DataFrame:

@@ -38,7 +38,7 @@ def event_log(spark: SparkSession, path: str, table: str = "usage") -> DataFrame
     return spark.read.schema(schema(table)).option("mode", "DROPMALFORMED").json(path)
 
 
-def commit_files(log: DataFrame) -> DataFrame:
+def commit_files(log: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``commit, author, at, types, path`` from log lines ``(n, line)``: headers ``commit|author|time|types``
     begin with ``@``, each other line is a path of the commit before it. The commit is carried along
     within each log ``log_id``, so logs are independent."""
@@ -47,10 +47,10 @@ def commit_files(log: DataFrame) -> DataFrame:
     x = log.withColumn("_head", F.last(head, ignorenulls=True).over(w)).filter((F.trim("line") != "") & ~F.col("line").startswith("@") & F.col("_head").isNotNull())
     part = F.split(F.substring("_head", 2, 1 << 20), r"\|")
     types = F.filter(F.split(F.coalesce(F.get(part, 3), F.lit("")), ","), lambda t: t != "")
-    return x.select(part[0].alias("commit"), part[1].alias("author"), F.get(part, 2).try_cast("timestamp").alias("at"), types.alias("types"), F.col("line").alias("path"))
+    return x.select(*(keep or []), part[0].alias("commit"), part[1].alias("author"), F.get(part, 2).try_cast("timestamp").alias("at"), types.alias("types"), F.col("line").alias("path"))
 
 
-def diff_ranges(diff: DataFrame) -> DataFrame:
+def diff_ranges(diff: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``path, line_start, line_end`` of the head side from lines ``(diff_id, n, line)`` of a diff
     without context; pure deletions give nothing."""
     w = Window.partitionBy("diff_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
@@ -59,7 +59,8 @@ def diff_ranges(diff: DataFrame) -> DataFrame:
     x = diff.withColumn("path", F.last(named, ignorenulls=True).over(w)).filter(F.col("line").rlike(hunk) & (F.col("path") != "/dev/null"))
     start, size = F.regexp_extract("line", hunk, 1).cast("int"), F.regexp_extract("line", hunk, 2)
     n = F.when(size == "", 1).otherwise(size.try_cast("int"))
-    return x.select("path", start.alias("line_start"), n.alias("n")).filter("n > 0").select("path", "line_start", (F.col("line_start") + F.col("n") - 1).cast("int").alias("line_end"))
+    own = keep or []
+    return x.select(*own, "path", start.alias("line_start"), n.alias("n")).filter("n > 0").select(*own, "path", "line_start", (F.col("line_start") + F.col("n") - 1).cast("int").alias("line_end"))
 
 
 def working_tree_changes(ranges: DataFrame, untracked: DataFrame) -> DataFrame:
@@ -76,9 +77,11 @@ def changed_lines(numstat: DataFrame) -> DataFrame:
 
 
 def ddl_statements(files: DataFrame) -> DataFrame:
-    """``path, table_name`` of CREATE TABLE statements in texts ``(path, text)``."""
-    found = F.regexp_extract_all("text", F.lit(r"(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?[\"`\[]?([A-Za-z_][A-Za-z0-9_.]*)"), F.lit(1))
-    return files.select("path", F.explode(found).alias("table_name")).distinct()
+    """``path, kind, name`` of the tables, indexes, views and triggers that texts ``(path, text)`` create."""
+    pattern = r"(?i)\bcreate\s+(table|index|unique\s+index|view|trigger)\s+(?:if\s+not\s+exists\s+)?[\"`\[]?([A-Za-z_][A-Za-z0-9_.]*)"
+    part = lambda k: F.regexp_extract_all("text", F.lit(pattern), F.lit(k))
+    x = files.select("path", F.explode(F.arrays_zip(part(1).alias("kind"), part(2).alias("name"))).alias("s"))
+    return x.select("path", F.regexp_replace(F.lower("s.kind"), r"\s+", " ").alias("kind"), "s.name").distinct()
 
 
 def literals(lines: DataFrame) -> DataFrame:

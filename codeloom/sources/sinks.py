@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def known_refs(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """References whose target is known and whose enclosing symbol is known or missing; empty enclosing ids
-    and contexts become null."""
+def known_refs(refs: DataFrame, symbols: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
+    """References whose target is known and whose enclosing symbol (one of ``scopes``, if given) is known or
+    missing; empty enclosing ids and contexts become null."""
     ids = symbols.select("id")
+    inside = ids if scopes is None else scopes.select("id")
     x = refs.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("enclosing_id", "ast_ctx")})
     x = x.join(ids.withColumnRenamed("id", "symbol_id"), "symbol_id", "left_semi")
     bare = x.filter("enclosing_id is null")
-    held = x.filter("enclosing_id is not null").join(ids.withColumnRenamed("id", "enclosing_id"), "enclosing_id", "left_semi")
+    held = x.filter("enclosing_id is not null").join(inside.withColumnRenamed("id", "enclosing_id"), "enclosing_id", "left_semi")
     return held.select(refs.columns).unionByName(bare.select(refs.columns))
 
 

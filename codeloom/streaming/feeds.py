@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -53,6 +53,11 @@ def refresh_mode(stored: str | None, now: str, n_changed: int, full_from: int =
     return "skip" if n_changed == 0 else "full" if n_changed >= full_from else "incremental"
 
 
+def refresh_mode_of(same: Column, n_changed: Column, full_from: int = 1000) -> Column:
+    """``refresh_mode`` over columns: whether fingerprints are the same, and the number of changed files."""
+    return F.when(~same, "full").when(n_changed == 0, "skip").when(n_changed >= full_from, "full").otherwise("incremental")
+
+
 def needs_embedding(before: DataFrame, after: DataFrame, key: str = "symbol_id", text: str = "text") -> DataFrame:
     """Symbols that are new or whose composed text differs."""
     old = before.select(key, F.col(text).alias("_old"), F.lit(True).alias("_known"))

@@ -137,7 +137,9 @@ def test_file_sources(spark, tmp_path):
     rep = A.usage_report(readers.event_log(spark, str(tmp_path / "log.json"))).first()
     assert (rep.calls, rep.errors, rep.p50_ms) == (2, 1, 9)
     ddl = spark.createDataFrame([("m.sql", "CREATE TABLE IF NOT EXISTS users (id int); create table `orders` (x int)")], "path string, text string")
-    assert sorted(x.table_name for x in readers.ddl_statements(ddl).collect()) == ["orders", "users"]
+    assert sorted(x.name for x in readers.ddl_statements(ddl).collect()) == ["orders", "users"]
+    more = spark.createDataFrame([("m.sql", "create UNIQUE  index i1 on t(x); CREATE VIEW v as select 1; create trigger if not exists t1; recreate table no")], "path string, text string")
+    assert sorted((x.kind, x.name) for x in readers.ddl_statements(more).collect()) == [("trigger", "t1"), ("unique index", "i1"), ("view", "v")]
 
 
 def test_expressions(spark):
@@ -149,4 +151,4 @@ def test_expressions(spark):
         E.mean_of_present(F.lit(None).cast("double"), F.lit(0.5), F.lit(0.25)).alias("m"), E.truncated(F.lit("abcdef"), 3).alias("tr"),
     ).first()
     assert tuple(got.p) == ("pkg/x.go", 12, 3) and got.params == ["a int", "b ...Opt"] and got.v and got.t == ["F", "Opt", "Result"]
-    assert (got.c, got.s, got.stem, got.r, got.l, got.verb, got.m, got.tr) == ("parse http request", "First one.", "runn", "T", "internal/store", "reads", 0.375, "abc...")
+    assert (got.c, got.s, got.stem, got.r, got.l, got.verb, got.m, got.tr) == ("parse http request", "First one.", "runn", "T", "internal/store", "loads", 0.375, "abc...")
