@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import exprs as E
 from codeloom.literals import literal_rows
 from codeloom.operators import aggregates as A
 from codeloom.operators import classify as K
+from codeloom.operators import facts as X
 from codeloom.operators import graph as G
 from codeloom.operators import lookup as L
 from codeloom.operators import relations as R
@@ -194,13 +195,9 @@ class Index:
         return x.orderBy(F.col("score").desc(), "interface_id")
 
     def datastores(self, drivers: list[tuple[str, str]]) -> DataFrame:
-        """Technologies by imports of their drivers ``(prefix, technology)``, the first prefix of the list that
-        matches on segments: sorted importers and the earliest place."""
-        tech: Column = F.lit(None).cast("string")
-        for prefix, name in reversed(drivers):
-            tech = F.when((F.col("pkg_path") == prefix) | F.col("pkg_path").startswith(prefix + "/"), name).otherwise(tech)
-        x = self.imports.withColumn("technology", tech).filter("technology is not null and not endswith(importer_pkg, '_test')")
-        return x.groupBy("technology").agg(F.array_sort(F.collect_set("importer_pkg")).alias("importers"), F.min(F.struct("file_path", "line")).alias("evidence"))
+        """Technologies by imports of their drivers ``(path, technology)``, the first of the list that matches on
+        segments: sorted importers and the earliest place."""
+        return X.datastores(self.imports, drivers)
 
     def external_systems(self) -> DataFrame:
         """Systems by environment variables with a telling suffix, grouped by what is before it."""

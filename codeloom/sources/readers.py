@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +20,23 @@ def file_snapshot(spark: SparkSession, root: str, glob: str = "*.go", exclude: t
     """``path, mtime, hash, lines, header`` of the files of a tree; hidden and excluded directories are
     skipped. An unterminated last line counts; the header is the leading comment, at most 200 characters."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    skip = "/(" + "|".join([r"\.[^/]*", *exclude]) + ")/"
     text = F.decode("content", "UTF-8")
     n = F.regexp_count(text, F.lit("\n")) + F.when((text != "") & ~text.endswith("\n"), 1).otherwise(0)
     header = F.regexp_replace(F.regexp_extract(text, r"\A((?://[^\n]*\n?)+)", 1), r"(?m)^//\s?", "")
-    return raw.filter(~F.substring_index("path", root.rstrip("/"), -1).rlike(skip)).select(
+    return raw.filter(~F.substring_index("path", root.rstrip("/"), -1).rlike(_skipped(exclude))).select(
         "path", F.unix_timestamp("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"), n.cast("int").alias("lines"), F.substring(F.trim(F.regexp_replace(header, r"\s+", " ")), 1, 200).alias("header"),
     )
 
 
+def _skipped(exclude: tuple[str, ...]) -> str:
+    return "/(" + "|".join([r"\.[^/]*", *(re.escape(e) for e in exclude)]) + ")/"
+
+
+def walked(paths: DataFrame, exclude: tuple[str, ...]) -> DataFrame:
+    """Rows whose ``path``, relative to its root, is in no hidden and no excluded directory."""
+    return paths.filter(~F.concat(F.lit("/"), "path").rlike(_skipped(exclude)))
+
+
 def text_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """``path, line_no, line`` of text files."""
     raw = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
@@ -38,6 +48,12 @@ def event_log(spark: SparkSession, path: str, table: str = "usage") -> DataFrame
     return spark.read.schema(schema(table)).option("mode", "DROPMALFORMED").json(path)
 
 
+def log_rows(lines: DataFrame, line: str, ddl: str) -> DataFrame:
+    """``lines`` with the fields of the JSON object of each; malformed lines are skipped."""
+    x = lines.withColumn("_row", F.from_json(line, f"{ddl}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    return x.filter("_row is not null and _row._bad is null").select(*lines.columns, "_row.*").drop("_bad")
+
+
 def commit_files(log: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``commit, author, at, types, path`` from log lines ``(n, line)``: headers ``commit|author|time|types``
     begin with ``@``, each other line is a path of the commit before it. The commit is carried along
