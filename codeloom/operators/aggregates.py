@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.exprs import age_days, confidence, decay, log_share, saturating
+from codeloom.operators.ranks import numbered
 
 
 def use_counts(items: DataFrame, uses: DataFrame, item_key: str, use_key: str, name: str = "n_uses") -> DataFrame:
@@ -119,8 +120,8 @@ def scored_hotspots(items: DataFrame) -> DataFrame:
 
 def ranked_metric(values: DataFrame, kind: str, metric: str) -> DataFrame:
     """Long-format rows with rank 1..N by falling value, then node."""
-    w = Window.partitionBy("graph_kind", "metric").orderBy(F.col("value").desc(), "node_id")
-    return values.select(F.lit(kind).alias("graph_kind"), F.col("node").cast("string").alias("node_id"), F.lit(metric).alias("metric"), F.col("value").cast("double").alias("value")).withColumn("rank", F.row_number().over(w))
+    x = values.select(F.lit(kind).alias("graph_kind"), F.col("node").cast("string").alias("node_id"), F.lit(metric).alias("metric"), F.col("value").cast("double").alias("value"))
+    return numbered(x, [F.col("value").desc(), "node_id"]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def pivoted(metrics: DataFrame, names: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.lineage import cut
+from codeloom.operators.ranks import numbered
 
 # loading
 
@@ -244,8 +245,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
     if found is None:
         return edges.select(F.col("src").alias("node"), F.lit(0).alias("scc"), F.lit(0).cast("long").alias("scc_size")).limit(0)
     sizes = found.groupBy("color").agg(F.count(F.lit(1)).alias("scc_size"), F.min("node").alias("low")).filter("scc_size > 1")
-    numbered = sizes.withColumn("scc", F.row_number().over(Window.orderBy(F.col("scc_size").desc(), "low")))
-    return found.join(numbered, "color").select("node", "scc", "scc_size")
+    ids = numbered(sizes, [F.col("scc_size").desc(), "low"], "scc").withColumn("scc", F.col("scc").cast("int"))
+    return found.join(ids, "color").select("node", "scc", "scc_size")
 
 
 # walks

@@ -18,6 +18,7 @@ from codeloom.operators import graph as G
 from codeloom.operators import lookup as L
 from codeloom.operators import relations as R
 from codeloom.operators import vectors as V
+from codeloom.operators.ranks import numbered
 from codeloom.plans.registry import Tables, query
 from codeloom.sources import readers, sinks
 
@@ -435,8 +436,9 @@ def worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 def churn_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same churn in several orders."""
     d = Tables(spark, sf_dir).events.groupBy(F.col("user_id").alias("path")).agg(F.count(F.lit(1)).alias("commits"), F.count_if(F.col("event_type") == "error").alias("bug"), F.round(F.sum("value"), 4).alias("score"))
-    place = lambda c: F.row_number().over(Window.orderBy(F.col(c).desc(), "path"))
-    return d.select("path", "score", *(place(c).alias(f"by_{c}") for c in ("commits", "bug", "score"))).orderBy(F.col("score").desc(), "path").limit(50).drop("score")
+    for c in ("commits", "bug", "score"):
+        d = numbered(d, [F.col(c).desc(), "path"], f"by_{c}").withColumn(f"by_{c}", F.col(f"by_{c}").cast("int"))
+    return d.orderBy("by_score").limit(50).select("path", "by_commits", "by_bug", "by_score")
 
 
 @query("""with t as (select user_id, list(distinct case event_type when 'error' then 'bug' when 'signup' then 'feature' when 'purchase' then 'chore' else event_type end) l from events where event_type <> 'click' group by 1)

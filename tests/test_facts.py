@@ -44,3 +44,14 @@ def test_a_broken_off_job_goes_on_where_it_was(spark):
     assert first.count() == 3
     assert {r.symbol_id for r in X.pending(texts, first.filter("symbol_id = 'a'"), "v").collect()} == {"b", "c"}
     assert X.pending(texts, first, "v").count() == 0 and X.pending(texts, first, "w").count() == 3
+
+
+def test_places_over_several_ranges(spark):
+    from codeloom.operators.ranks import numbered
+
+    x = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 3).alias("v"))
+    got = numbered(x, [F.col("v").desc(), "k"]).collect()
+    assert [r["rank"] for r in sorted(got, key=lambda r: (-r.v, r.k))] == list(range(1, 5001))
+    ties = numbered(x.withColumn("v", F.lit(None).cast("long")), ["v", "k"]).collect()
+    assert [r["rank"] for r in sorted(ties, key=lambda r: r.k)] == list(range(1, 5001))
+    assert numbered(x.limit(0), ["k"]).count() == 0
