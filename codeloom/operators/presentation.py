@@ -77,6 +77,12 @@ def follow_ups(command: str, n: int) -> list[str]:
     return {"refs": ["show callers"], "impact": ["run the covering tests", "plan the change"]}.get(command, [])
 
 
+def follow_ups_of(command: str, n: Column) -> Column:
+    """``follow_ups`` for each row, by its number of results; a missing number is none."""
+    said = lambda k: F.array(*map(F.lit, follow_ups(command, k))).cast("array<string>")
+    return F.when(F.coalesce(n, F.lit(0)) == 0, said(0)).otherwise(said(1))
+
+
 def lerp_colour(low: tuple[int, int, int], high: tuple[int, int, int], share: Column) -> Column:
     """Hex colour between two."""
     s = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))

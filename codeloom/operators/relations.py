@@ -266,3 +266,12 @@ def traced_literals(literals: DataFrame, symbols: DataFrame, edges: DataFrame, n
     top = named.withColumn("_n", F.row_number().over(Window.partitionBy("enclosing_id").orderBy("caller"))).filter(F.col("_n") <= n)
     lists = top.groupBy("enclosing_id").agg(F.array_sort(F.collect_list("caller")).alias("callers"))
     return literals.join(inside, "enclosing_id", "left").join(lists, "enclosing_id", "left")
+
+
+def complexity_inside(symbols: DataFrame, measured: DataFrame) -> DataFrame:
+    """``id, complexity`` of symbols ``(id, file_path, name, line_start, line_end)`` from ``measured (file_path,
+    name, line, complexity)``: the row of the same file and name whose line is inside the symbol, the first
+    line, then the least value, where several are; null without one."""
+    rows = measured.select(F.col("file_path").alias("_file"), F.col("name").alias("_name"), "line", "complexity")
+    inside = symbols.join(rows, (F.col("file_path") == F.col("_file")) & (F.col("name") == F.col("_name")) & F.col("line").between(F.col("line_start"), F.col("line_end")), "left")
+    return inside.groupBy("id").agg(F.min(F.when(F.col("line").isNotNull(), F.struct("line", "complexity"))).alias("_first")).select("id", F.col("_first.complexity").alias("complexity"))

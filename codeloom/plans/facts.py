@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import exprs as E
 from codeloom.literals import literal_rows
+from codeloom.operators import aggregates as A
 from codeloom.operators import facts as X
+from codeloom.operators import presentation as P
 from codeloom.operators import relations as R
-from codeloom.plans.indexed import CG, IMP, RF, SYM, Code, _values
+from codeloom.plans.indexed import CG, FL, IMP, RF, SYM, Code, _values
 from codeloom.plans.registry import Tables, query
 from codeloom.sources import readers, sinks
 
@@ -303,3 +305,26 @@ def manifest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = Code(spark, sf_dir).imp.select("importer_pkg", "pkg_path").distinct()
     found = edges.join(F.broadcast(readers.rules(spark, RULES)), F.col("importer_pkg").startswith(F.col("from_grp")) & F.col("pkg_path").startswith(F.col("to_grp")))
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@query(f"""with {SYM}, cx as (select file_path, name, line_start + (k % 40)::int line, p_size complexity from sym), j as (select s.id, c.line, c.complexity from sym s left join cx c on c.file_path = s.file_path and c.name = s.name and c.line between s.line_start and s.line_end)
+select id, complexity from j qualify row_number() over (partition by id order by line nulls last, complexity) = 1""")
+def complexity_of_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured complexity of each symbol, by file, name and a line inside it."""
+    s = Code(spark, sf_dir).sym
+    measured = s.select("file_path", "name", (F.col("line_start") + (F.col("k") % 40).cast("int")).alias("line"), F.col("p_size").alias("complexity"))
+    return R.complexity_inside(s.select("id", "file_path", "name", "line_start", "line_end"), measured)
+
+
+@query(f"""with {SYM}, {RF}, n as (select symbol_id id, count(*) n from rf group by 1) select id, case when n is null then 'search for the name; check the index state' else 'show callers' end refs, case when n is null then 'list references' else 'run the covering tests; plan the change' end impact from sym left join n using (id)""")
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P50: what to do next after a command, by the number of its results for each symbol."""
+    c = Code(spark, sf_dir)
+    x = A.use_counts(c.sym, c.rf, "id", "symbol_id", "n")
+    return x.select("id", *(F.array_join(P.follow_ups_of(k, F.col("n")), "; ").alias(k) for k in ("refs", "impact")))
+
+
+@query(f"""with {SYM}, {FL}, h as (select sha256(path || ':' || hash) h from fl), w as (select {", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 8 * k}, 8))::bigint), 0)::varchar w{k}" for k in range(8))} from h) select sha256(concat_ws(':', {", ".join(f"w{k}" for k in range(8))})) bundle from w""")
+def file_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK18: one hash over the paths and hashes of all files, in no order."""
+    return sinks.bundle_hash(Code(spark, sf_dir).fl.select("path", "hash"))
