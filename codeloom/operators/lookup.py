@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.exprs import edit_distance, max_distance, suffix_match
+from codeloom.lineage import cut
 
 
 def cascade(candidates: DataFrame, tiers: list[Column], key: list[str]) -> DataFrame:
@@ -112,10 +113,22 @@ def fuzzy(inputs: DataFrame, names: DataFrame, name: str = "name", query: str =
 
 
 def token_budget(rows: DataFrame, tokens: Column, budget: int, order: list[Column | str], group: list[str]) -> DataFrame:
-    """The longest prefix of each group whose tokens fit the budget; the first row always stays."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    x = rows.withColumn("tokens", tokens).withColumn("running", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
-    return x.filter((F.col("running") <= budget) | (F.col("_n") == 1)).drop("_n")
+    """The longest prefix of each group whose tokens fit the budget, with ``tokens`` and their sum so far
+    (``running``); the first row always stays. Tokens are not negative, missing ones count as none; the order
+    ends in a unique key; null groups are a group.
+
+    Rows are dealt to ranges of group and order, so a hot group spreads over tasks. The sums of a group's
+    ranges, a row for each, tell which of them the budget can reach; only those are read on."""
+    dealt = cut(rows.withColumn("tokens", tokens).repartitionByRange(*group, *order).withColumn("_block", F.spark_partition_id()))
+    blocks = Window.partitionBy(*group).orderBy("_block")
+    sums = dealt.groupBy(*group, "_block").agg(F.sum("tokens").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = sums.select(*(F.col(g).alias(f"_group{k}") for k, g in enumerate(group)), F.col("_block").alias("_at"), before.alias("_before"), (F.row_number().over(blocks) == 1).alias("_head"))
+    same = [F.col("_block") == F.col("_at"), *(F.col(g).eqNullSafe(F.col(f"_group{k}")) for k, g in enumerate(group))]
+    x = dealt.join(reached.filter((F.col("_before") <= budget) | F.col("_head")), same)
+    w = Window.partitionBy(*group, "_block").orderBy(*order)
+    x = x.withColumn("running", F.col("_before") + F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).withColumn("_n", F.row_number().over(w))
+    return x.filter((F.col("running") <= budget) | (F.col("_head") & (F.col("_n") == 1))).select(*(c for c in dealt.columns if c != "_block"), "running")
 
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column | str], n: int) -> DataFrame:
@@ -124,10 +137,10 @@ def top_per_group(rows: DataFrame, group: list[str], order: list[Column | str],
 
 
 def capped_with_exempt(rows: DataFrame, group: list[str], order: list[Column | str], exempt: Column, n: int) -> DataFrame:
-    """At most n rows of each group, and all exempt ones."""
-    flagged = rows.withColumn("_exempt", exempt)
-    turn = F.sum(F.when(F.col("_exempt"), 0).otherwise(1)).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return flagged.withColumn("_turn", turn).filter(F.col("_exempt") | (F.col("_turn") <= n)).drop("_exempt", "_turn")
+    """The first n rows of each group that are not exempt, and all exempt ones, which are not shuffled; a null
+    ``exempt`` is none. The rank's limit is taken before the shuffle too, so a hot group sends few rows."""
+    free = F.coalesce(exempt, F.lit(False))
+    return top_per_group(rows.filter(~free), group, order, n).drop("rank").unionByName(rows.filter(free))
 
 
 def first_per_key(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
