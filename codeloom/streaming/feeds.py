@@ -104,15 +104,25 @@ def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> D
 
 
 def upsert_each(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str):
-    """Keeps a folder of versions: each batch puts its newest row of each key in place of the old one.
-    A batch that is run again writes the same version again."""
+    """Keeps a folder of versions ``v0, v1, ...``: after each batch the newest one holds, for each key, the row
+    that is last by ``order``, also if it came earlier; of equal ones that of the later batch. Rows without an
+    order value are older than all. A batch that is run again writes the same version again, from the one
+    before, which therefore stays; older ones are deleted. Keys are not null. A version is the whole table,
+    written anew in each batch: for tables that are small beside the stream."""
     from codeloom.sources.sinks import first_wins, upsert
 
+    last = [F.col(order).desc_nulls_last(), F.col("_old")]
+
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = first_wins(batch.withColumn("_o", -F.col(order).cast("double")), key, ["_o"]).drop("_o")
+        new = batch.withColumn("_old", F.lit(False))
         if number:
-            new = upsert(spark.read.parquet(f"{path}/v{number - 1}"), new, key)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+            old = spark.read.parquet(f"{path}/v{number - 1}")
+            new = new.unionByName(old.join(batch.select(*key).distinct(), key, "left_semi").withColumn("_old", F.lit(True)))
+        new = first_wins(new, key, last).drop("_old")
+        (upsert(old, new, key) if number else new).write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number > 1:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

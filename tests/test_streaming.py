@@ -1,6 +1,7 @@
 """Streams give what their batch forms give."""
 
 import datetime as dt
+import os
 
 import pytest
 
@@ -37,12 +38,26 @@ def test_debounced(spark, events, tmp_path):
 def test_upserts(spark, events, tmp_path):
     q = S.upsert_each(S.event_stream(spark, events, 1), str(tmp_path / "table"), ["user"], "ts", str(tmp_path / "cp"))
     q.awaitTermination()
-    last = max(p.name for p in (tmp_path / "table").iterdir())
+    last = max((p.name for p in (tmp_path / "table").iterdir()), key=lambda v: int(v[1:]))
     got = {r.user: r.ts for r in spark.read.parquet(str(tmp_path / "table" / last)).collect()}
     want = {r[0]: r[1] for r in spark.read.parquet(events).groupBy("user").agg({"ts": "max"}).collect()}
     assert got == want
 
 
+def test_late_rows_and_old_versions(spark, tmp_path):
+    rows = [("a", 5, 0), ("b", None, 1), ("a", 3, 2), ("b", 1, 3), ("a", 5, 4), ("b", None, 5)]
+    for k, row in enumerate(rows):
+        at = tmp_path / "in" / f"{k}.parquet"
+        at.parent.mkdir(exist_ok=True)
+        spark.createDataFrame([row], "name string, ts long, n long").toPandas().astype({"ts": "Int64"}).to_parquet(at)
+        os.utime(at, (1_000_000 + k, 1_000_000 + k))
+    stream = spark.readStream.schema("name string, ts long, n long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    S.upsert_each(stream, str(tmp_path / "table"), ["name"], "ts", str(tmp_path / "cp")).awaitTermination()
+    left = sorted(p.name for p in (tmp_path / "table").iterdir())
+    assert left == ["v4", "v5"]
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "table" / "v5")).collect()} == {("a", 5, 4), ("b", 1, 3)}
+
+
 def test_decayed_scores(spark, events, tmp_path):
     half = 3600.0
     stream = S.decayed_scores(S.event_stream(spark, events), "user", "ts", half)
