@@ -41,6 +41,20 @@ cap as materialized (select min(hi) cap from s), w(pos, n) as (select 0::bigint,
 h as (select t, (select count(*) from w where n > 0 and pos < cum) shard from c)
 select d.doc_id, size::bigint size, crc::bigint text_crc32, 'bytes' law, shard::int shard, (row_number() over (partition by shard order by d.doc_id) - 1)::bigint slot, null::int grown_shard from d join h using (t) join crc using (doc_id)"""
 
+# shares of all kept terms, also of those that a group lacks
+OP11 = """
+with d as materialized (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{80}-\\x{10FFFF}]+') w from documents),
+t as materialized (select r, lang, source, unnest(w) term from d),
+k as materialized (select lang, term, count(*)::hugeint ln from t group by 1, 2 having count(distinct r) >= 10),
+l as materialized (select lang, count(*)::hugeint v, sum(ln)::hugeint n from k group by 1),
+c as materialized (select t.lang, source, term, count(*)::hugeint n from t join k using (lang, term) group by 1, 2, 3),
+g as materialized (select x.lang, x.source, coalesce(l.v, 0) v, coalesce(l.n, 0) ln, coalesce(s.n, 0) n from (select distinct lang, source from d) x left join l using (lang) left join (select lang, source, sum(n)::hugeint n from c group by 1, 2) s using (lang, source)),
+p as materialized (select g.lang, g.source, k.term, coalesce(c.n, 0) n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v) p, 1 + (1000000000 * (k.ln + 2)) // (g.ln + 2 * g.v) q from g join k using (lang) left join c using (lang, source, term)),
+y as (select a.lang, a.source, b.source item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) f from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+o as (select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0) value, 1000000000 top from g a join g b on a.lang = b.lang and a.source <> b.source left join y on y.lang = a.lang and y.source = a.source and y.item = b.source
+ union all select lang, source, 'term', term, ((p - q) * (p - q)) // (p + q), 10 from p where n > 0 and p > q)
+select lang, source, part, item, value::bigint value, (row_number() over w)::int rank from o window w as (partition by lang, source, part order by value desc, item) qualify row_number() over w <= top"""
+
 QUALITY = f"""
 with d as (select doc_id, coalesce(text, '') t from documents), w as materialized (select doc_id, t, regexp_extract_all(t, '{_WORD}') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) l from d),
 g as (select doc_id, i, array_to_string(w[i:i + 4], ' ') g from w, unnest(range(1, len(w) - 3)) t(i)), r as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) c from g) where c > 1), m as (select doc_id, count(distinct i + j) n from r, range(5) t(j) group by 1)
@@ -63,4 +77,4 @@ def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_randomness_secrets(spark, sf_dir).select("doc_id", F.col("n_assign"), F.col("n_access"), F.col("n_hex"))
 
 
-ORACLES = {"op3_minimax_shards": OP3, "op9_circulant_minhash": OP9, "quality_base_counts": QUALITY, "secret_base_counts": SECRETS}
+ORACLES = {"op3_minimax_shards": OP3, "op9_circulant_minhash": OP9, "op11_source_divergence": OP11, "quality_base_counts": QUALITY, "secret_base_counts": SECRETS}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_warc, op2_search, op3_sharding, op4_records, op5_packing, op6_lengths, op7_secrets, op8_quality, op9_minhash, op10_bpe, oracles
+from . import op1_warc, op2_search, op3_sharding, op4_records, op5_packing, op6_lengths, op7_secrets, op8_quality, op9_minhash, op10_bpe, op11_divergence, oracles
 
 QUERIES = {
     "op1_warc_derivatives": op1_warc.op1_warc_derivatives,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_field_quality": op8_quality.op8_line_field_quality,
     "op9_circulant_minhash": op9_minhash.op9_circulant_minhash,
     "op10_forced_boundary_bpe": op10_bpe.op10_forced_boundary_bpe,
+    "op11_source_divergence": op11_divergence.op11_source_divergence,
     "quality_base_counts": oracles.quality_base_counts,
     "secret_base_counts": oracles.secret_base_counts,
 }
