@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_warc, op2_search, op3_sharding, op4_records, op5_packing, op6_lengths, op7_secrets, op8_quality, op9_minhash, op10_bpe, op11_divergence, oracles
+from . import op1_warc, op2_search, op3_sharding, op4_records, op5_packing, op6_lengths, op7_secrets, op8_quality, op9_minhash, op10_bpe, op11_divergence, op12_runs, oracles
 
 QUERIES = {
     "op1_warc_derivatives": op1_warc.op1_warc_derivatives,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_circulant_minhash": op9_minhash.op9_circulant_minhash,
     "op10_forced_boundary_bpe": op10_bpe.op10_forced_boundary_bpe,
     "op11_source_divergence": op11_divergence.op11_source_divergence,
+    "op12_periodic_runs": op12_runs.op12_periodic_runs,
     "quality_base_counts": oracles.quality_base_counts,
     "secret_base_counts": oracles.secret_base_counts,
 }
