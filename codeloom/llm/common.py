@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -81,6 +81,18 @@ def columns_of(stashed: DataFrame, *names: str) -> DataFrame:
     return _placed(stashed.select(*names), stashed.__dict__["_stashed_at"])
 
 
+def numbered(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """``rows`` with their place 1..N (long) in an order. Rows are dealt to ranges of the order and stashed, so
+    that ranges stay as they are if an executor is lost; a row's place is that in its range after the sizes
+    of the ranges before it, of which there is one row each."""
+    dealt = stash(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)).cast("long")
+    return dealt.withColumn("_place", place).join(F.broadcast(sizes), "_range").withColumn(name, F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")
+
+
 def release(spark: SparkSession) -> None:
     """Deletes everything that this application has put into the shared folder through here. For the
     end of a job, when no DataFrame of an operator will be read again; else it goes at the end of the

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_warc, op2_search, op3_sharding, op4_records, op5_packing, op6_lengths, op7_secrets, op8_quality, op9_minhash, op10_bpe, op11_divergence, op12_runs, oracles
+from . import op1_warc, op2_search, op3_sharding, op4_records, op5_packing, op6_lengths, op7_secrets, op8_quality, op9_minhash, op10_bpe, op11_divergence, op12_runs, op13_winnowing, oracles
 
 QUERIES = {
     "op1_warc_derivatives": op1_warc.op1_warc_derivatives,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_forced_boundary_bpe": op10_bpe.op10_forced_boundary_bpe,
     "op11_source_divergence": op11_divergence.op11_source_divergence,
     "op12_periodic_runs": op12_runs.op12_periodic_runs,
+    "op13_winnowing": op13_winnowing.op13_winnowing,
     "quality_base_counts": oracles.quality_base_counts,
     "secret_base_counts": oracles.secret_base_counts,
 }
