@@ -8,8 +8,9 @@ sums of at most ``BLOCKS`` ranges; the few stretches in which a cut may then fal
 further sums, until their groups are at most ``FETCH``, whose prefix sums are read. So the answer is
 exact whatever the number of groups. Shards are cut where the greedy walk with that capacity cuts.
 
-The hot group's rows meet its one row in a join that the adaptive planner splits; slots are numbered
-in chunks by hash within a shard, so no task handles a whole shard.
+The hot group's rows meet its one row in a join that the adaptive planner splits. Slots follow the ids:
+rows are dealt to ranges of (shard, id) and numbered in each after the sizes of the ranges before, at
+every size, so no task handles a whole shard.
 
 Edge cases: null text counts as empty, with size 1 and checksum 0; null ids order first; repeated
 rows are rows of one group; a group larger than the even share sets the capacity; fewer groups than
@@ -23,7 +24,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import discard, numbered, stash
 
 BLOCKS, FETCH = 2048, 200_000
 
@@ -124,16 +125,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     discard(placed)
     ends = minimax_cuts(summed, starts, shards, max(r.largest for r in found), total)
     shard = sum((F.when(F.col("cum") > e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
-    chunks = max(1, min(1024, n_rows // 50_000))
-    chunk = F.pmod(F.xxhash64("doc_id", "g1"), F.lit(chunks)).cast("int")
-    dealt = rows.join(summed.select("g1", "g2", shard.alias("shard")), ["g1", "g2"]).withColumn("chunk", chunk)
-    dealt = stash(dealt.drop("g2"), "dealt")
-    counts = dealt.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = F.broadcast(counts.select("shard", "chunk", F.coalesce(before, F.lit(0)).alias("before")))  # shards times chunks at most
-    turn = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "g1"))
-    numbered = dealt.withColumn("turn", turn).join(firsts, ["shard", "chunk"])
-    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("turn") - 1).cast("long").alias("slot"))
+    dealt = stash(rows.join(summed.select("g1", "g2", shard.alias("shard")), ["g1", "g2"]).drop("g2"), "dealt")
+    sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))  # a row for each shard
+    firsts = sizes.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_place"))
+    placed = numbered(dealt, ["shard", "doc_id", "g1"], "place").join(F.broadcast(firsts), "shard")
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("place") - F.col("first_place") - 1).cast("long").alias("slot"))
 
 
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,15 +23,17 @@ folder, so an executor that is lost costs a stage, not the run.
 
 Edge cases: null or blank text has an empty set, is linked with nothing and kept; with fewer words
 than a shingle has, the whole sequence is the one shingle; rows with a null id are linked with
-nothing: their component is null and they are kept; rows repeated under one id share its group; an
-empty table gives no rows. Columns other than the two named are not read.
+nothing: their component is null and they are kept; a document is an id with a text, so texts under one
+id are linked by what they share alone, each with its own component, the smallest id it reaches; of
+equal members a bucket's centre is the one whose id hashes lowest; an empty table gives no rows; a very
+long text is held alone, with its set. Columns other than the two named are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Store, claim, columns_of, discard, map_rows, stash
@@ -123,7 +125,7 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``rep, items, parity``: the full sets of the representatives ``wanted (rep, th, d1, d2)``, and their
+    """``rep, items, parity``: the full sets of the classes ``wanted (rep, doc_id, th, d1, d2)``, and their
     parity sketches. One text is chosen for each before anything is made of it."""
     import xxhash
 
@@ -137,8 +139,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 reps.append(i), items.append(raw), parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
         return {"rep": reps, "items": items, "parity": pa.array(parity, pa.list_(pa.int64()))}
 
-    own = docs.select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("th"))
-    texts = own.join(wanted, ["rep", "th"]).dropDuplicates(["rep", "th"])
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    texts = own.join(wanted, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     return map_rows(texts.select("rep", "text", "d1", "d2"), "rep long, items binary, parity array<long>", run, rows=200)
 
 
@@ -197,20 +199,29 @@ def with_links(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS_PER_BAND, star_rounds: int = STAR_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row. Rows are linked from a Jaccard
-    similarity of ``percent`` / 100 of their sets of shingles of ``words`` words on."""
+def _members(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS_PER_BAND, star_rounds: int = STAR_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, th, n_shingles, comp, component_id`` of every row: ``th`` is the hash of its text, ``comp`` its
+    component and ``component_id`` the smallest id in it, which components of one id's texts may share. Both
+    are null for rows without an id, and may be for those that are linked with nothing."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stash(_signed(docs, words, bands, rows), "signed")
     usable = signed.filter("doc_id is not null and n_shingles > 0")
     meta = F.struct("th", "n_shingles", "s1", "s2", "keys")
-    classes = stash(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by(meta, F.struct("doc_id", "th")).alias("m")), "classes")
+    classes = stash(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("own"), F.count(F.lit(1)).alias("copies"), F.min_by(meta, F.struct("doc_id", "th")).alias("m")), "classes")
+    # a class goes by its smallest id; where texts under one id are the first of several classes, the others go by their digest
+    several = stash(classes.groupBy("own").agg(F.count(F.lit(1)).alias("classes"), F.min(F.struct("d1", "d2")).alias("head")).filter("classes > 1").drop("classes"), "several")
+    unique = several.isEmpty()
+    if unique:
+        classes = classes.withColumn("rep", F.col("own"))
+    else:
+        other = F.col("head").isNotNull() & (F.col("head") != F.struct("d1", "d2"))
+        classes = stash(classes.join(several, "own", "left").withColumn("rep", F.when(other, -1 - F.shiftrightunsigned(F.xxhash64("d1", "d2"), 1)).otherwise(F.col("own"))).drop("head"), "classes")
 
     spread = classes.select("rep", F.explode("m.keys").alias("key"))
     shared = spread.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
     sizes = classes.select("rep", F.col("m.n_shingles").alias("n"), F.col("m.s1").alias("s1"), F.col("m.s2").alias("s2"))
     buckets = stash(spread.join(shared, "key").join(sizes, "rep"), "buckets")
-    wanted = classes.select("rep", F.col("m.th").alias("th"), "d1", "d2").join(buckets.select("rep").distinct(), "rep", "left_semi")
+    wanted = classes.select("rep", F.col("own").alias("doc_id"), F.col("m.th").alias("th"), "d1", "d2").join(buckets.select("rep").distinct(), "rep", "left_semi")
     sets = stash(_sets(docs, wanted, words), "sets")
 
     labels = None
@@ -237,13 +248,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         discard(new)
     discard(buckets, sets)
 
-    comp = F.col("rep") if labels is None else F.coalesce("comp", "rep")
-    grouped = classes if labels is None else classes.join(labels, "rep", "left")
-    grouped = grouped.select("d1", "d2", comp.alias("component_id"), "rep", "copies").filter("copies > 1 or component_id <> rep").select("d1", "d2", "component_id")
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(grouped, ["d1", "d2"], "left")
-    whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    grouped = classes.withColumn("comp", F.lit(None).cast("long")) if labels is None else classes.join(labels, "rep", "left")
+    grouped = grouped.filter("copies > 1 or comp is not null").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"), F.coalesce("comp", "rep").alias("component_id"), "own")
+    if not unique:
+        smallest = grouped.groupBy("comp").agg(F.min("own").alias("least"))
+        grouped = grouped.drop("component_id").join(smallest.withColumnRenamed("least", "component_id"), "comp")
+    grouped = grouped.select("d1", "d2", "comp", "component_id")
+    out = signed.select("doc_id", "th", "n_shingles", "d1", "d2").join(grouped, ["d1", "d2"], "left")
+    return out.select("doc_id", "th", "n_shingles", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("comp", "component_id")))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS_PER_BAND, star_rounds: int = STAR_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row. Rows are linked from a Jaccard
+    similarity of ``percent`` / 100 of their sets of shingles of ``words`` words on."""
+    whole = F.coalesce("component_id", "doc_id")
+    out = _members(docs, words, percent, bands, rows, star_rounds, id_col, text_col)
     return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(True)).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS_PER_BAND, star_rounds: int = STAR_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each group of linked documents the one row
+    with the smallest id (then text by hash; of rows equal in both, any one), and all rows linked with
+    nothing. Rows go by id and text together, so a text never goes with another one's id."""
+    members = stash(_members(docs, words, percent, bands, rows, star_rounds, id_col, text_col).filter("component_id is not null"), "members")
+    keys = members.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "comp").agg(F.count(F.lit(1)).alias("copies"))
+    heads = members.groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("head"))
+    stays = F.struct(F.col("_id").alias("doc_id"), F.col("_th").alias("th")) == F.col("head")
+    marks = stash(keys.join(heads, "comp").select("_id", "_th", stays.alias("_stays"), "copies").filter("not _stays or copies > 1").drop("copies"), "marks")
+    same = (docs[id_col].cast("long") == marks["_id"]) & (F.xxhash64(docs[text_col]) == marks["_th"])
+    again = docs.join(marks.filter("_stays"), same).withColumn("_turn", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id")))
+    return docs.join(marks, same, "left_anti").unionByName(again.filter("_turn = 1").select(*docs.columns))
+
+
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2, percent=80)

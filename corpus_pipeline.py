@@ -6,7 +6,8 @@ result as Parquet in the shared folder and rereads it, so a lost executor costs
 
 * quality: documents that the base rules or the line field reject go.
 * near_duplicates: of each group of documents that share 0.8 or more of their five-word shingles,
-  directly or over others, the one with the smallest id stays; rows without an id stay.
+  directly or over others, the one with the smallest id stays; rows without an id stay. A document is
+  an id with a text: two texts under one id stay or go on their own.
 * secrets: every span of a secret is replaced by a mask; ``n_chars`` follows.
 * packing: the pieces of all documents, packed into sequences of 4096 tokens.
 
@@ -24,7 +25,7 @@ from codeloom.llm.common import discard, stash
 from codeloom.llm.op5_packing import pack_documents
 from codeloom.llm.op7_secrets import redact
 from codeloom.llm.op8_quality import fit_field, keep_good
-from codeloom.llm.op9_minhash import near_duplicates
+from codeloom.llm.op9_minhash import without_near_duplicates as first_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return first_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -261,6 +261,18 @@ def test_shards(spark, docs, empty, rows):
     assert op3_sharding.shard_by_bytes(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [40_000, 120_000])
+def test_slots_follow_ids_at_every_size(spark, n):
+    """Also beyond 100,000 rows, over many ranges, with a hot text."""
+    rows = spark.range(n).selectExpr("id * 7 % 1000003 doc_id", "case when id % 3 = 0 then 'hot' else repeat('x', cast(id % 19 as int)) || id end text").repartition(11)
+    got = op3_sharding.shard_by_bytes(rows, 16).orderBy("shard", "doc_id").collect()
+    turn = Counter()
+    for r in got:
+        assert r.slot == turn[r.shard]
+        turn[r.shard] += 1
+    assert sum(turn.values()) == n and len(turn) > 2
+
+
 # 7: secrets
 
 _ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -526,11 +538,13 @@ def test_judge_edge_cases(spark, docs, rows):
 # 9: near duplicates
 
 
+def shingles(text, words):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+
+
 def slow_groups(rows, words, percent):
-    sets = {}
-    for i, t in rows:
-        w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+    sets = {i: shingles(t, words) for i, t in rows}
     parent = {i: i for i in sets}
 
     def find(x):
@@ -584,6 +598,37 @@ def test_signature_estimates_similarity():
     assert abs((x == y).mean() - 900 / 1100) < 0.06
 
 
+def test_texts_under_one_id(spark):
+    """Ids that repeat with other texts: each text is a document of its own, and goes with none of its id's other texts."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    near = lambda t, k: t + f" end{k}"
+    cases = [
+        [(5, a), (7, a), (7, b), (9, b)],
+        [(5, a), (5, b), (5, c), (6, near(a, 1)), (7, near(b, 1)), (8, near(c, 1)), (9, "alone here")],
+        [(1, a), (1, a), (1, near(a, 1)), (2, near(a, 2)), (2, b), (None, a), (None, a), (3, None), (3, "")],
+    ]
+    for rows in cases:
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        for words in (2, 5):
+            sets = [shingles(t, words) if i is not None else set() for i, t in rows]
+            comp = list(range(len(rows)))
+            for _ in rows:
+                for x in range(len(rows)):
+                    for y in range(len(rows)):
+                        if sets[x] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                            comp[x] = comp[y] = min(comp[x], comp[y])
+            least = [min(rows[y][0] for y in range(len(rows)) if comp[y] == comp[x]) if sets[x] else rows[x][0] for x in range(len(rows))]
+            got = op9_minhash.near_duplicates(df, words=words).collect()
+            assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((i, len(shingles(t, words)), least[x]) for x, (i, t) in enumerate(rows))
+            stay = [tuple(r) for r in op9_minhash.without_near_duplicates(df, words=words).collect()]
+            linked = [x for x in range(len(rows)) if sets[x]]
+            assert len(stay) == len({comp[x] for x in linked}) + len(rows) - len(linked)
+            assert {comp[rows.index(r)] for r in stay if sets[rows.index(r)]} == {comp[x] for x in linked}
+            assert all(r[0] == least[rows.index(r)] for r in stay)
+    stay = op9_minhash.without_near_duplicates(spark.createDataFrame(cases[0], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, stay)) == [(5, a), (7, b)]
+
+
 # the pipeline
 
 
@@ -636,11 +681,11 @@ def test_all_queries_are_named_and_run(spark, docs, tmp_path):
     from codeloom.llm import registry
 
     at = str(tmp_path / "sf")
-    docs.filter("doc_id is not null").select("doc_id", "text").write.parquet(f"{at}/documents.parquet")
+    docs.filter("doc_id is not null").selectExpr("doc_id", "text", "'en' lang", "'s' || doc_id % 3 source").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(1, "http://h/x", PAGE)], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
     n = docs.filter("doc_id is not null").count()
-    want = {"op1_warc_derivatives": 2, "op3_minimax_shards": n, "op7_randomness_secrets": n, "op8_line_field_quality": n, "op9_circulant_minhash": n, "op10_forced_boundary_bpe": n}
+    want = {"op1_warc_derivatives": 2, "op3_minimax_shards": n, "op7_randomness_secrets": n, "op8_line_field_quality": n, "op9_circulant_minhash": n, "op10_forced_boundary_bpe": n, "op12_periodic_runs": n, "op13_winnowing": n}
     for name, query in registry.QUERIES.items():
         if name.startswith("op") and name not in ("op4_token_records", "op5_pack_sequences"):
             got = query(spark, at).count()
