@@ -7,7 +7,8 @@ code points that two texts share gives them a common fingerprint, wherever it st
 shorter than a k-gram does.
 
 A text is cut into pieces by one pass of a pattern; each piece is hashed with the code points that
-its last window needs of the next piece. So the work is linear in the text's length, and the arrays
+its last window needs of the next piece. Where a text is put together from parts of two others, only
+the windows over the seam are hashed, as all others are windows of the parts. So the work is linear in the text's length, and the arrays
 of a row in hand are those of a piece; a row holds its text and its fingerprint, about one value for
 25 code points. Hashes have 40 bits; two texts are compared by the Jaccard similarity of their hashes.
 
@@ -37,7 +38,7 @@ K, WINDOW = 16, 49
 #: Values are below this prime; the hash is a polynomial in ``BASE``.
 PRIME, BASE = 1_099_511_627_689, 1_000_003
 #: Code points of a piece, grams that roll on from one polynomial, bits of a place within a piece beside its value.
-PIECE, BLOCK, PLACE_BITS = 256, 32, 10
+PIECE, BLOCK, PLACE_BITS = 1024, 16, 11
 #: Ids in a bucket.
 BUCKET = 256
 
@@ -110,16 +111,48 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-def _edited(text: Column, after: Column) -> Column:
-    """The text with its last half (of the code points, rounded down) replaced by the first as many of another."""
-    half = F.floor(F.char_length(text) / 2).cast("int")
-    return F.concat(F.substring(text, F.lit(1), F.char_length(text) - half), F.substring(after, F.lit(1), half))
+def _within(prints: Column, windows: Column, window: int) -> Column:
+    """The part of a fingerprint that comes from its text's first so many windows. A print is first chosen by the
+    window that it enters last, if no greater than the one before it, else by the window that the latter has left."""
 
+    def first(x: Column, i: Column) -> Column:
+        before = F.get(prints, i - 1)
+        return F.when(i == 0, F.lit(0).cast("long")).when(x["hash"] <= before["hash"], x["place"] - (window - 1)).otherwise(before["place"] + 1)
 
-def successive(docs: DataFrame, edit: Callable[[Column, Column], Column] = _edited, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_chars, fingerprint, edited_sha256, edited_fingerprint, near_edited, near_next`` of every
-    row: its fingerprint beside that of the text that ``edit`` makes of it and of the next one, and beside
-    the next document's, in descending order of ids; after the last the first follows."""
+    return F.filter(prints, lambda x, i: first(x, i) < windows)
+
+
+def _moved(prints: Column, by: Column) -> Column:
+    return F.transform(prints, lambda x: F.struct(x["hash"].alias("hash"), (x["place"] + by).alias("place")))
+
+
+def spliced(text: Column, prints: Column, after: Column, after_prints: Column, cut: Column, head: Column, k: int = K, window: int = WINDOW) -> Column:
+    """The fingerprint of the first ``cut`` code points of a text with the first ``head`` of another behind
+    them, from both fingerprints: only the windows over the seam are hashed again."""
+    reach = k + window - 1  # code points of a window
+    begin = F.greatest(cut - (reach - 1), F.lit(0))
+    seam = F.concat(F.substring(text, begin + 1, cut - begin), F.substring(after, F.lit(1), F.least(head, F.lit(reach - 1))))
+    none = F.expr("cast(array() as array<struct<hash: bigint, place: bigint>>)")
+    # behind a start that is left out, only whole windows count
+    over = F.when((begin > 0) & (F.char_length(seam) < reach), none).otherwise(_moved(fingerprint(seam, k, window), begin.cast("long")))
+    parts = F.concat(_within(prints, cut - (reach - 1), window), over, _moved(_within(after_prints, head - (reach - 1), window), cut.cast("long")))
+    return _let(parts, lambda found: F.filter(found, lambda x, i: (i == 0) | (F.get(found, i - 1)["place"] != x["place"])))
+
+
+def _beside(rows: DataFrame) -> DataFrame:
+    """``edited_sha256, edited_fingerprint, near_next`` from ``text, fingerprint, after, after_print``. The last half
+    of the code points, rounded down, makes way for the first as many of the next text."""
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    cut, head = F.char_length("text") - half, F.least(half, F.char_length("after"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), cut), F.substring(F.col("after"), F.lit(1), half))
+    prints = spliced(F.col("text"), F.col("fingerprint"), F.col("after"), F.col("after_print"), cut, head)
+    return rows.withColumns({"edited_sha256": F.sha2(edited, 256), "edited_fingerprint": prints, "near_next": likeness(F.col("fingerprint"), F.col("after_print"))})
+
+
+def successive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_chars, fingerprint, edited_sha256, edited_fingerprint, near_next, near_edited`` of every
+    row: its fingerprint beside the next document's, in descending order of ids (after the last the first
+    follows), and beside that of its text with the last half replaced by the start of the next one."""
     text, number = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
     rows = docs.select(number.alias("doc_id"), text.alias("text"))
     # ids in buckets; those without one come last, spread by their text
@@ -128,21 +161,19 @@ def successive(docs: DataFrame, edit: Callable[[Column, Column], Column] = _edit
     dealt = rows.repartitionByRange(F.col("bucket").desc(), F.col("sub"))
     order = Window.partitionBy("bucket", "sub").orderBy(F.col("doc_id").desc(), "text")
     own = dealt.withColumn("fingerprint", fingerprint(F.col("text")))
-    beside = own.withColumn("after", F.lead("text").over(order)).withColumn("after_print", F.lead("fingerprint").over(order)).withColumn("turn", F.row_number().over(order))
-    last, first = F.col("after").isNull(), F.col("turn") == 1
-    found = beside.select("doc_id", "bucket", "sub", F.char_length("text").cast("long").alias("n_chars"), "fingerprint", edit(F.col("text"), F.col("after")).alias("edited"), "after_print", first.alias("first"), last.alias("last"), F.when(first | last, F.col("text")).alias("text"))
-    found = found.withColumn("edited_fingerprint", F.when(~F.col("last"), fingerprint(F.col("edited"))))
-    found = stash(found.select("doc_id", "bucket", "sub", "n_chars", "fingerprint", F.sha2("edited", 256).alias("edited_sha256"), "edited_fingerprint", likeness(F.col("fingerprint"), F.col("after_print")).alias("near_next"), "first", "last", "text"), "found")
+    beside = own.withColumns({"after": F.lead("text").over(order), "after_print": F.lead("fingerprint").over(order), "first": F.row_number().over(order) == 1})
+    beside = beside.withColumn("last", F.col("after").isNull()).withColumn("n_chars", F.char_length("text").cast("long"))
+    columns = ["doc_id", "n_chars", "fingerprint", "edited_sha256", "edited_fingerprint", "near_next"]
+    found = _beside(beside).select(*columns, "bucket", "sub", "first", "last", F.when(F.col("first") | F.col("last"), F.col("text")).alias("text"))
+    found = stash(found, "found")
 
     # the last row of a bucket and the first of the next one
     places = numbered(found.filter("first").select("bucket", "sub", F.col("text").alias("after"), F.col("fingerprint").alias("after_print")), [F.col("bucket").desc(), F.col("sub")], "place")
     count = places.agg(F.count(F.lit(1)).alias("buckets"))
-    lasts = found.filter("last").select("doc_id", "bucket", "sub", "n_chars", "fingerprint", "text").join(places.select("bucket", "sub", "place"), ["bucket", "sub"])
-    lasts = lasts.crossJoin(F.broadcast(count)).withColumn("place", F.col("place") % F.col("buckets") + 1).join(places.select("place", "after", "after_print"), "place")  # one row of a count
-    lasts = lasts.select("doc_id", "n_chars", "fingerprint", edit(F.col("text"), F.col("after")).alias("edited"), "after_print")
-    lasts = lasts.withColumn("edited_fingerprint", fingerprint(F.coalesce("edited", F.lit(""))))
-    lasts = lasts.select("doc_id", "n_chars", "fingerprint", F.sha2("edited", 256).alias("edited_sha256"), "edited_fingerprint", likeness(F.col("fingerprint"), F.col("after_print")).alias("near_next"))
-    every = found.filter("not last").select(lasts.columns).unionByName(lasts)
+    lasts = found.filter("last").select("doc_id", "n_chars", "fingerprint", "bucket", "sub", "text").join(places.select("bucket", "sub", "place"), ["bucket", "sub"])
+    lasts = lasts.join(F.broadcast(count)).withColumn("place", F.col("place") % F.col("buckets") + 1)  # one row
+    lasts = _beside(lasts.join(places.select("place", "after", "after_print"), "place")).select(columns)
+    every = found.filter("not last").select(columns).unionByName(lasts)
     return every.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint")))
 
 
