@@ -13,7 +13,7 @@ of a row in hand are those of a piece; a row holds its text and its fingerprint,
 25 code points. Hashes have 40 bits; two texts are compared by the Jaccard similarity of their hashes.
 
 ``successive`` compares each document with the next one in descending order of ids. Documents are
-dealt to ranges of the order in buckets of ``BUCKET`` ids, so one shuffle of the texts brings the
+dealt to ranges of the order in buckets of ``2 ** BUCKET_BITS`` ids, so one shuffle of the texts brings the
 neighbours together; the last document of a bucket meets the first of the next bucket in a join of
 those alone. Bucket numbers are placed by ranges too, so no task sees the whole order.
 
@@ -39,8 +39,8 @@ K, WINDOW = 16, 49
 PRIME, BASE = 1_099_511_627_689, 1_000_003
 #: Code points of a piece, grams that roll on from one polynomial, bits of a place within a piece beside its value.
 PIECE, BLOCK, PLACE_BITS = 1024, 16, 11
-#: Ids in a bucket.
-BUCKET = 256
+#: A bucket has 2 ** this many ids.
+BUCKET_BITS = 8
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -130,12 +130,17 @@ def spliced(text: Column, prints: Column, after: Column, after_prints: Column, c
     """The fingerprint of the first ``cut`` code points of a text with the first ``head`` of another behind
     them, from both fingerprints: only the windows over the seam are hashed again."""
     reach = k + window - 1  # code points of a window
-    begin = F.greatest(cut - (reach - 1), F.lit(0))
-    seam = F.concat(F.substring(text, begin + 1, cut - begin), F.substring(after, F.lit(1), F.least(head, F.lit(reach - 1))))
     none = F.expr("cast(array() as array<struct<hash: bigint, place: bigint>>)")
-    # behind a start that is left out, only whole windows count
-    over = F.when((begin > 0) & (F.char_length(seam) < reach), none).otherwise(_moved(fingerprint(seam, k, window), begin.cast("long")))
-    parts = F.concat(_within(prints, cut - (reach - 1), window), over, _moved(_within(after_prints, head - (reach - 1), window), cut.cast("long")))
+
+    def joined(at: Column) -> Column:
+        cut, head = at["cut"], at["head"]
+        begin = F.greatest(cut - (reach - 1), F.lit(0))
+        seam = F.concat(F.substring(text, begin + 1, cut - begin), F.substring(after, F.lit(1), F.least(head, F.lit(reach - 1))))
+        # behind a start that is left out, only whole windows count
+        over = _let(seam, lambda x: F.when((begin > 0) & (F.char_length(x) < reach), none).otherwise(_moved(fingerprint(x, k, window), begin.cast("long"))))
+        return F.concat(_within(prints, cut - (reach - 1), window), over, _moved(_within(after_prints, head - (reach - 1), window), cut.cast("long")))
+
+    parts = _let(F.struct(cut.alias("cut"), head.alias("head")), joined)
     return _let(parts, lambda found: F.filter(found, lambda x, i: (i == 0) | (F.get(found, i - 1)["place"] != x["place"])))
 
 
@@ -156,7 +161,7 @@ def successive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text, number = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
     rows = docs.select(number.alias("doc_id"), text.alias("text"))
     # ids in buckets; those without one come last, spread by their text
-    bucket = F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(-(1 << 62))).cast("long")
+    bucket = F.coalesce(F.shiftright("doc_id", BUCKET_BITS), F.lit(-(1 << 62)))
     rows = rows.withColumn("bucket", bucket).withColumn("sub", F.when(F.col("doc_id").isNull(), F.shiftright(F.xxhash64("text"), 40)).otherwise(F.lit(0).cast("long")))
     dealt = rows.repartitionByRange(F.col("bucket").desc(), F.col("sub"))
     order = Window.partitionBy("bucket", "sub").orderBy(F.col("doc_id").desc(), "text")
