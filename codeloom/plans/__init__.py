@@ -1,6 +1,6 @@
 """Queries: operators bound to tables, with their SQL."""
 
-from codeloom.plans import analytic, composites, facts, indexed, relational  # noqa: F401
+from codeloom.plans import analytic, composites, facts, indexed, relational, upkeep  # noqa: F401
 from codeloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
