@@ -1,7 +1,9 @@
 """Fingerprints of documents by winnowing, in DataFrame expressions alone.
 
-A rolling hash (Karp and Rabin) runs over the code points of a text: each k-gram's value follows
-from the one before it in one step. Of each window of ``WINDOW`` consecutive k-grams the least value
+A hash after Karp and Rabin rolls over the code points of a text: the polynomial of each gram follows
+from those of its two halves, theirs from their halves, so a k-gram costs log k steps wherever it
+stands. (A fold that takes one code point in and one out at a time gives the same polynomials; as an
+expression over arrays it takes twice as long.) Of each window of ``WINDOW`` consecutive k-grams the least value
 is kept, the rightmost one of equal values, with its place. So any passage of K + WINDOW - 1 = 64
 code points that two texts share gives them a common fingerprint, wherever it stands, and nothing
 shorter than a k-gram does.
@@ -10,7 +12,7 @@ A text is cut into pieces by one pass of a pattern; each piece is hashed with th
 its last window needs of the next piece. Where a text is put together from parts of two others, only
 the windows over the seam are hashed, as all others are windows of the parts. So the work is linear in the text's length, and the arrays
 of a row in hand are those of a piece; a row holds its text and its fingerprint, about one value for
-25 code points. Hashes have 40 bits; two texts are compared by the Jaccard similarity of their hashes.
+25 code points. Hashes have 51 bits; two texts are compared by the Jaccard similarity of their hashes.
 
 ``successive`` compares each document with the next one in descending order of ids. Documents are
 dealt to ranges of the order in buckets of ``2 ** BUCKET_BITS`` ids, so one shuffle of the texts brings the
@@ -35,10 +37,10 @@ from .common import numbered, stash
 
 #: Code points of a gram, and grams of a window.
 K, WINDOW = 16, 49
-#: Values are below this prime; the hash is a polynomial in ``BASE``.
-PRIME, BASE = 1_099_511_627_689, 1_000_003
-#: Code points of a piece, grams that roll on from one polynomial, bits of a place within a piece beside its value.
-PIECE, BLOCK, PLACE_BITS = 1024, 16, 11
+#: Hashes of parts of a gram are polynomials in ``BASE`` modulo ``PRIME``; those of grams join two parts modulo ``LARGE``.
+PRIME, BASE, LARGE, JOIN = (1 << 31) - 1, 1_000_003, (1 << 51) - 129, 1_640_531_527
+#: Code points of a piece, bits of a place within a piece beside its value.
+PIECE, PLACE_BITS = 1024, 11
 #: A bucket has 2 ** this many ids.
 BUCKET_BITS = 8
 
@@ -48,17 +50,29 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _rolling(codes: Column, k: int, grams: Column) -> Column:
-    """The hashes of the first ``grams`` k-grams of some code points. Each block of them starts with a
-    polynomial and rolls on: times the base, with the code point that comes, without the one that goes."""
-    top = pow(BASE, k, PRIME)
+def _hashes(codes: Column, n: int) -> Column:
+    """The hashes of all n-grams of some code points, each from those of two shorter ones; places without a whole
+    gram are null."""
+    if n == 1:
+        return codes
+    left, right = (n // 2, n // 2) if n % 2 == 0 else (n - 1, 1)
+    times = pow(BASE, right, PRIME)
+    rest = (lambda known: known) if left == right else (lambda known: codes)
+    return _let(_hashes(codes, left), lambda known: F.transform(known, lambda x, i: (x * times + F.get(rest(known), i + left)) % PRIME))
 
-    def block(begin: Column) -> Column:
-        start = F.aggregate(F.slice(codes, begin, k), F.lit(0).cast("long"), lambda h, c: (h * BASE + c) % PRIME)
-        places = F.slice(F.sequence(begin, F.least(begin + (BLOCK - 1), grams)), 2, BLOCK)
-        return F.aggregate(places, F.array(start), lambda acc, i: F.array_append(acc, (F.element_at(acc, -1) * BASE + F.get(codes, i + (k - 2)) + PRIME - F.get(codes, i - 2) * top % PRIME) % PRIME))
 
-    return F.flatten(F.transform(F.sequence(F.lit(1), grams, F.lit(BLOCK)), block))
+def _grams(codes: Column, k: int) -> Column:
+    """The values of all k-grams, each beside its place from the end of a piece. The last step joins the hashes of
+    both parts in a larger field. Fewer code points than k count as if zeros stood before them."""
+    left, right = (k // 2, k // 2) if k % 2 == 0 else (k - 1, 1)
+
+    def joined(padded: Column) -> Column:
+        rest = (lambda known: known) if left == right else (lambda known: padded)
+        mask = (1 << PLACE_BITS) - 1
+        return _let(_hashes(padded, left), lambda known: F.transform(known, lambda x, i: (x * JOIN + F.get(rest(known), i + left)) % LARGE * (mask + 1) + (F.lit(mask) - i)))
+
+    short = F.size(codes) < k
+    return _let(F.when(short, F.concat(F.array_repeat(F.lit(0).cast("long"), F.lit(k) - F.size(codes)), codes)).otherwise(codes), joined)
 
 
 def _minima(values: Column, window: int) -> Column:
@@ -88,7 +102,7 @@ def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
         def of_codes(codes: Column) -> Column:
             grams = F.when(j == 0, F.greatest(F.size(codes) - (k - 1), F.lit(1))).otherwise(F.size(codes) - (k - 1))
             has = (j == 0) | (grams >= window)
-            packed = F.transform(_rolling(codes, k, F.least(grams, F.lit(PIECE + window - 1))), lambda v, i: v * (mask + 1) + (F.lit(mask) - i))
+            packed = F.slice(_grams(codes, k), F.lit(1), F.greatest(F.least(grams, F.lit(PIECE + window - 1)), F.lit(0)))
             least = _let(packed, lambda values: _minima(values, window))
             named = F.transform(least, lambda v: F.struct(F.shiftright(v, PLACE_BITS).alias("hash"), (j.cast("long") * PIECE + mask - v.bitwiseAND(mask)).alias("place")))
             return F.when(has, named).otherwise(none)

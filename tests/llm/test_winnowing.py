@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm.op13_winnowing import BASE, PRIME, fingerprint, fingerprints, op13_winnowing, successive
+from codeloom.llm.op13_winnowing import BASE, JOIN, LARGE, PRIME, fingerprint, fingerprints, op13_winnowing, successive
 
 DATA = "/root/testdata/sf0.001"
 
@@ -19,10 +19,11 @@ def book(text, k=16, window=49):
     grams = [text[i : i + k] for i in range(max(1, len(text) - k + 1))]
     values = []
     for g in grams:
-        h = 0
-        for c in g:
-            h = (h * BASE + ord(c)) % PRIME
-        values.append(h)
+        g, at = "\0" * (k - len(g)) + g, k // 2 if k % 2 == 0 else k - 1
+        parts = [0, 0]
+        for j, c in enumerate(g):
+            parts[j >= at] = (parts[j >= at] * BASE + ord(c)) % PRIME
+        values.append((parts[0] * JOIN + parts[1]) % LARGE)
     out = set()
     for at in range(max(1, len(values) - window + 1)):
         out.add(min((v, -(at + j)) for j, v in enumerate(values[at : at + window])))
