@@ -139,8 +139,8 @@ def log_share(value: Column, largest: Column) -> Column:
 
 
 def saturating(value: Column, mid: float) -> Column:
-    """x / (x + mid)."""
-    return value / (value + mid)
+    """x / (x + mid), 0 from 0 down."""
+    return F.when(value > 0, value / (value + mid)).when(value <= 0, 0.0)
 
 
 def decay(age_days: Column, half_life: float = 180.0) -> Column:
@@ -241,12 +241,25 @@ def action_verb(name: Column) -> Column:
     return F.coalesce(F.try_element_at(known, name), out)
 
 
-def significance(name: Column, terminal: Column) -> Column:
-    """Rank of a callee in a flow: 5, less 4 if it calls nothing, 3 more for a dotted and 2 more for an
-    exported name, less 2 for names that begin with Is or Has."""
+#: Names of callees that end a flow without telling what it is for.
+TERMINALS = ("DB", "Close", "String", "Error", "Err", "Bytes", "Len", "Reset")
+
+
+def significance(name: Column) -> Column:
+    """Weight of a callee in a flow: 5, less 4 for a terminal name, 3 more for a dotted and 2 more for an exported
+    one, less 2 for one that begins with is or has, case aside."""
     bare = F.element_at(F.split(name, r"\."), -1)
     part = lambda c, n: F.when(c, n).otherwise(0)
-    return F.lit(5) - part(terminal, 4) + part(name.contains("."), 3) + part(is_exported(bare), 2) - part(bare.rlike("^(Is|Has|is|has)"), 2)
+    return F.lit(5) - part(bare.isin(*TERMINALS), 4) + part(name.contains("."), 3) + part(bare.rlike("^[A-Z]"), 2) - part(F.lower(bare).rlike("^(is|has)"), 2)
+
+
+def callee_note(name: Column) -> Column:
+    """A note on what a callee is for; null for most."""
+    low = F.lower(name)
+    return (
+        F.when(low.contains("context"), "context propagation").when(low.contains("error"), "error handling")
+        .when(name.rlike("^(Lock|Unlock)"), "synchronization").when(name.rlike("^(Close|Release)"), "resource cleanup")
+    )
 
 
 def verdict(change: Column, threshold: float = 15.0, lower_is_better: bool = True) -> Column:

@@ -287,7 +287,7 @@ def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {EDGES}, d as (select node, sum(i) i, sum(o) o from (select dst node, 1 i, 0 o from edges union all select src, 0, 1 from edges) group by 1)
 select s_suppkey, case when coalesce(i, 0) = 0 then 'entry_point' when coalesce(o, 0) = 0 then 'io_primitive' when i >= 8 and s_acctbal > 0 then 'api_boundary' when s_acctbal < 0 then 'persistence' else 'internal' end as "role" from supplier left join d on node = s_suppkey""")
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K4: the first rule that matches."""
+    """The first of given rules that matches."""
     t = Tables(spark, sf_dir)
     x = t.supplier.join(G.degrees(supplier_edges(t)).withColumnRenamed("node", "s_suppkey"), "s_suppkey", "left")
     i, o = F.coalesce("in_degree", F.lit(0)), F.coalesce("out_degree", F.lit(0))
@@ -298,7 +298,7 @@ def roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 select user_id, bool_or(event_type = 'error' and value > 50) concurrency, bool_or(event_type = 'purchase' and (props->>'k')::int > 95) security_boundary from events group by 1""")
 def risk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3: flags that need a second signal."""
+    """Flags that need a second signal, by given rules."""
     e = Tables(spark, sf_dir).events
     k = F.get_json_object("props", "$.k").cast("int")
     return e.groupBy("user_id").agg(F.bool_or((F.col("event_type") == "error") & (F.col("value") > 50)).alias("concurrency"), F.bool_or((F.col("event_type") == "purchase") & (k > 95)).alias("security_boundary"))
@@ -309,25 +309,13 @@ with x as (select user_id, bool_or(event_type = 'signup' and value > 60) a, bool
 r as (select user_id, list_filter([case when a then 'create' end, case when b then 'delete' end, case when c then 'mutate' end, case when d then 'read' end], lambda z: z is not null) l from x)
 select user_id, l[1] as "primary", array_to_string(l, ',') roles, len(l) > 1 mixed from r""")
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of each owner, in the order of the rules."""
+    """Labels of each owner, in the order of given rules."""
     t, v = F.col("event_type"), F.col("value")
     rules = [("create", (t == "signup") & (v > 60)), ("delete", (t == "error") & (v > 80)), ("mutate", (t == "purchase") & (v > 100)), ("read", (t == "view") & (v > 100))]
     x = K.lifecycle(Tables(spark, sf_dir).events, "user_id", rules)
     return x.select("user_id", "primary", F.array_join("roles", ",").alias("roles"), "mixed")
 
 
-@query("""
-with o as (select o_custkey k, count(*) n, sum(o_totalprice) v from orders group by 1), b as (select c_custkey k, case when c_acctbal >= 0 then c_acctbal end b from customer),
-f as (select k, [n / (n + 10.0), v / (v + 2000000.0), b / (b + 4000.0)] fs from b left join o using (k)), p as (select k, list_filter(fs, lambda x: x is not null) fs from f)
-select k c_custkey, case when len(fs) > 0 then round(list_sum(fs) / len(fs), 3) end risk from p""")
-def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of the factors that are present."""
-    t = Tables(spark, sf_dir)
-    o = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("v"))
-    x = t.customer.select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("b")).join(o, "c_custkey", "left")
-    return K.risk_score(x, {"n": 10.0, "v": 2000000.0, "b": 4000.0}).select("c_custkey", "risk")
-
-
 # time
 
 

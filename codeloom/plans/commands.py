@@ -104,14 +104,30 @@ class Index:
         return x.select("id", "name", "pkg_path", F.col("tests").isNotNull().alias("covered"), pattern.alias("run_pattern"), F.coalesce("n_outside", F.lit(0)).alias("n_outside"))
 
     def risk(self, changes: DataFrame) -> DataFrame:
-        """One row: factors and score of a change; null without any changed symbol."""
-        hit = self.touched(changes)
-        reach = self.call_graph.join(hit.select(F.col("id").alias("callee_id")), "callee_id", "left_semi").agg(F.countDistinct("caller_id").alias("n_callers"), F.countDistinct("file_path").alias("n_caller_files"))
-        past = self.file_churn.join(changes.select("path").distinct(), "path", "left_semi").agg(F.max("score").alias("churn"), F.max("bug_commits").alias("bugs"))
-        n = hit.agg(F.countDistinct("id").alias("n_symbols"))
-        x = n.crossJoin(reach).crossJoin(past)  # one row each
-        score = E.mean_of_present(*(F.when(F.col("n_symbols") > 0, E.saturating(F.col(c).cast("double"), m)) for c, m in (("n_symbols", 10.0), ("n_callers", 20.0), ("n_caller_files", 8.0), ("churn", 5.0), ("bugs", 3.0))))
-        return x.withColumn("risk", score)
+        """One row: measures, factors and score of a change; degraded, with a null score, if it touches no symbol outside of
+        tests. Complexity is not in the index, so there is no difficulty."""
+        kinds = F.col("kind").isin("func", "method", "struct", "interface", "type")
+        hit = self.touched(changes).filter(kinds & ~E.is_test_file(F.col("file_path")))
+        hit = self.symbols.join(hit.select("id").distinct(), "id", "left_semi")
+        seeds = hit.select(F.col("id").alias("seed"))
+        near = R.two_hops(self.call_graph, seeds, "caller_id", "callee_id").select(F.col("node").alias("id")).distinct()
+        callers = self.symbols.join(near, "id", "left_semi").filter(~E.is_test_file(F.col("file_path"))).agg(F.count(F.lit(1)).alias("callers"))
+        packages = hit.select("pkg_path").distinct()
+        outside = self.imports.filter("importer_pkg <> pkg_path").join(packages, "pkg_path", "left_semi").groupBy("pkg_path").agg(F.countDistinct("importer_pkg").alias("n"))
+        ranked = self.graph_metrics.filter("graph_kind = 'imports' and metric = 'pagerank'")
+        rank = ranked.join(packages.withColumnRenamed("pkg_path", "node_id"), "node_id", "left_semi").agg(F.min("rank").alias("pkg_rank"))
+        past = self.file_churn.join(changes.select("path").distinct(), "path", "left_semi").agg(F.max("bug_commits").alias("bug_commits"), F.max("score").alias("churn"))
+        functions = hit.filter(F.col("kind").isin("func", "method"))
+        roles = K.roles(K.call_facts(self.symbols, self.call_graph)).select("id", "role").unionByName(K.type_roles(self.symbols).select("id", "role"))
+        flags = K.risk_flags(functions, self.refs, self.imports).agg(F.coalesce(F.sum(F.col("concurrency").cast("int") + F.col("security_boundary").cast("int")), F.lit(0)).alias("flags"))
+        told = hit.select("id", "name").join(roles, "id", "left").agg(F.count(F.when(F.col("role") != "internal", 1)).alias("roles"), F.count(F.when(E.is_exported(F.col("name")), 1)).alias("exported"), F.count(F.lit(1)).alias("n_symbols"))
+        tested = R.covering_tests(self.call_graph, self.symbols, functions.select(F.col("id").alias("seed"))).select("seed").distinct()
+        tests = functions.select(F.col("id").alias("seed")).join(tested.withColumn("_t", F.lit(True)), "seed", "left").agg(F.count(F.lit(1)).alias("changed_funcs"), F.count(F.when(F.col("_t").isNull(), 1)).alias("untested"))
+        x = told
+        for one in (callers, outside.agg(F.coalesce(F.max("n"), F.lit(0)).alias("importers")), rank, ranked.agg(F.count(F.lit(1)).alias("pkg_count")), past, flags, tests):
+            x = x.crossJoin(one)  # one row each
+        x = x.withColumns({"cyclo": F.lit(None).cast("int"), "cognitive": F.lit(None).cast("int"), "degraded": F.when(F.col("n_symbols") == 0, "no changed symbols")})
+        return K.assessed(x)
 
     def hotspots(self, complexity: DataFrame) -> DataFrame:
         """``complexity (path, complexity)`` with churn, fan-in and sensitive zones."""
@@ -224,25 +240,23 @@ class Index:
         return A.digest(self.graph_metrics, self.symbols)
 
     def roles(self) -> DataFrame:
-        return K.roles(K.call_facts(self.symbols, self.call_graph, self.imports))
+        return K.roles(K.call_facts(self.symbols, self.call_graph))
 
     def context(self, limit: int = 50) -> DataFrame:
         """Symbols by (ln(refs + 1) + 1) times the weight of their role and risk; three of each directory,
         those at risk exempt."""
-        flags = K.risk_flags(self.refs, self.imports).withColumnRenamed("enclosing_id", "id")
+        flags = K.risk_flags(self.symbols, self.refs, self.imports)
         x = self.roles().join(flags, "id", "left").fillna(False, ["concurrency", "security_boundary"])
         x = A.use_counts(x, self.refs, "id", "symbol_id", "n_refs")
-        weight = F.greatest(
-            F.when(F.col("role") == "entry_point", 3.0).when(F.col("role") == "api_boundary", 2.0).otherwise(1.0),
-            F.when(F.col("security_boundary"), 3.0).otherwise(0.0), F.when(F.col("concurrency"), 2.0).otherwise(0.0),
-        )
+        weight = K.weight(F.col("role"), F.col("concurrency"), F.col("security_boundary"))
         x = x.withColumn("priority", E.usage_priority(F.col("n_refs"), weight)).withColumn("dir", F.regexp_extract("file_path", "^(.*)/[^/]*$", 1))
         x = L.capped_with_exempt(x, ["dir"], [F.col("priority").desc(), "id"], F.col("concurrency") | F.col("security_boundary"), 3)
         return x.orderBy(F.col("priority").desc(), "id").limit(limit)
 
     def lifecycle(self, type_name: str) -> DataFrame:
-        ids = self.symbols.filter(F.col("kind").isin("type", "struct", "interface") & (F.col("name") == type_name)).select(F.col("id").alias("symbol_id"))
-        return K.type_lifecycle(self.refs.join(ids, "symbol_id", "left_semi"), self.symbols, type_name)
+        types = self.symbols.filter(F.col("kind").isin("type", "struct", "interface") & (F.col("name") == type_name)).select(F.col("id").alias("symbol_id"), F.col("name").alias("type_name"))
+        x = K.type_lifecycles(self.refs, self.symbols, types)
+        return x.join(self.symbols.select(F.col("id").alias("enclosing_id"), F.col("name").alias("fn")), "enclosing_id", "left")
 
     def usage_report(self) -> DataFrame:
         return A.usage_report(self.usage)

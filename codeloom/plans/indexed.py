@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from codeloom.functions import exprs as E
 from codeloom.literals import literal_rows
 from codeloom.operators import aggregates as A
-from codeloom.operators import classify as K
 from codeloom.operators import graph as G
 from codeloom.operators import lookup as L
 from codeloom.operators import relations as R
@@ -169,16 +168,6 @@ def package_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.package_matches(Code(spark, sf_dir).sym.select("pkg_path"), ["internal/...", "brand5", "rand1"])
 
 
-@query(f"""with {SYM} select id, split_part(pkg_path, '/', -1) container, name, case when name = 'main' then 0 when starts_with(name, 'New') then 1 else 2 end::int priority from sym where kind in ('func', 'method') and (name = 'main' or starts_with(name, 'New') or starts_with(name, 'Hot')) and not ends_with(file_path, '_test.go')
-order by priority, file_path, line_start, id limit 30""")
-def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a program starts, by priority, named by package."""
-    name = F.col("name")
-    x = Code(spark, sf_dir).sym.filter(F.col("kind").isin("func", "method") & ((name == "main") | name.startswith("New") | name.startswith("Hot")) & ~E.is_test_file(F.col("file_path")))
-    x = x.withColumn("priority", F.when(name == "main", 0).when(name.startswith("New"), 1).otherwise(2))
-    return x.orderBy("priority", "file_path", "line_start", "id").limit(30).select("id", E.short_package(F.col("pkg_path")).alias("container"), "name", "priority")
-
-
 @query(f"with {SYM} select id, pkg_path, kind from sym where kind in ('struct', 'interface') and not ends_with(file_path, '_test.go') and regexp_matches(name, '^[A-Z]')")
 def repo_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exported structs and interfaces outside tests."""
@@ -215,15 +204,6 @@ def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VERBS = " ".join(f"when name = '{k}' then '{v}'" for k, v in E.VERBS.items()) + " " + " ".join(f"when starts_with(name, '{k}') then '{v}'" for k, v in E.VERB_PREFIXES.items())
 
 
-@query(f"""with names(name) as (values {_values([*E.VERBS, *E.VERB_PREFIXES, "IsOpen", "Checked", "Loading", "opens", "", "Newest", "isGood", "store.Get", "db.IsUp"])}) select distinct name, case {_VERBS} else 'calls' end verb,
- (5 - case when length(name) % 2 = 0 then 4 else 0 end + case when contains(name, '.') then 3 else 0 end + case when regexp_matches(split_part(name, '.', -1), '^[A-Z]') then 2 else 0 end - case when regexp_matches(split_part(name, '.', -1), '^(Is|Has|is|has)') then 2 else 0 end)::int significance from names""")
-def action_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verbs of callees by whole name, then by beginning; their weight in a flow."""
-    names = [*E.VERBS, *E.VERB_PREFIXES, "IsOpen", "Checked", "Loading", "opens", "", "Newest", "isGood", "store.Get", "db.IsUp"]
-    x, name = literal_rows(spark, [(n,) for n in names], "name string").distinct(), F.col("name")
-    return x.select("name", E.action_verb(name).alias("verb"), E.significance(name, F.length("name") % 2 == 0).alias("significance"))
-
-
 # relations
 
 
@@ -415,15 +395,6 @@ def class_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("id", (F.col("m") + F.col("f")).alias("richness")).orderBy(F.col("richness").desc(), "id").limit(40)
 
 
-@query(f"""with {SYM}, {RF}, n as (select symbol_id id, count(*) n from rf group by 1), w as (select id, coalesce(n, 0) n, greatest(case when name = 'main' then 3.0 when regexp_matches(name, '^[A-Z]') then 2.0 else 1.0 end, case when contains(file_path, 'internal') then 1.5 else 0 end)::double w from sym left join n using (id)) select id, round((ln(1 + n) + 1) * w, 6) priority from w order by priority desc, id limit 60""")
-def usage_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ln(references + 1) + 1) times the larger of two weights."""
-    c = Code(spark, sf_dir)
-    x = A.use_counts(c.sym, c.rf, "id", "symbol_id", "n")
-    w = F.greatest(F.when(F.col("name") == "main", 3.0).when(E.is_exported(F.col("name")), 2.0).otherwise(1.0), F.when(F.col("file_path").contains("internal"), 1.5).otherwise(0.0))
-    return x.select("id", F.round(E.usage_priority(F.col("n"), w), 6).alias("priority")).orderBy(F.col("priority").desc(), "id").limit(60)
-
-
 @query(f"""with {SYM}, {RF}, x as (select symbol_id, ends_with(file_path, '_test.go') is_test, count(*) n from rf group by 1, 2) select symbol_id, is_test, least(n, 4)::bigint shown, greatest(n - 4, 0)::bigint n_more from x""")
 def worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call sites to look at, four of each symbol, tests apart, with the number left out."""
@@ -602,29 +573,6 @@ def index_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 # labels
 
 
-@query(f"""with {SYM}, {CG}, {IMP}, i as (select callee_id id, count(*) n, count(distinct c.pkg_path) p from cg left join sym c on c.id = caller_id group by 1), o as (select caller_id id, count(*) n from cg group by 1), m as (select distinct file_path from imp where pkg_path = 'mod/brand5'),
-f as (select s.*, coalesce(i.p, 0) np, coalesce(o.n, 0) no, m.file_path is not null io from sym s left join i using (id) left join o using (id) left join m on m.file_path = s.file_path where kind in ('func', 'method'))
-select id, case when name = 'main' or (name = 'init' and receiver is null) then 'entry_point' when contains(signature, 'http.ResponseWriter') or ends_with(name, 'Handler') or starts_with(name, 'Handle') then 'handler' when no = 0 and false then 'io_primitive' when regexp_matches(name, '^(New|Make|Create)[A-Z]?') then 'factory'
- when regexp_matches(name, '^(Save|Load|Store|Persist|Insert|Update|Delete)') then 'persistence' when regexp_matches(name, '^[A-Z]') and np >= 2 then 'api_boundary' else 'internal' end as "role" from f""")
-def structural_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1: the structural role of each function, the first rule that matches."""
-    c = Code(spark, sf_dir)
-    return K.roles(K.call_facts(c.sym, c.cg, c.imp)).select("id", "role")
-
-
-@query(f"""with {SYM} select id, case when split_part(pkg_path, '/', -1) in ('store', 'storage', 'db', 'repository') then 'persistence' when regexp_matches(name, '(Reader|Writer)$') then 'io_primitive' when regexp_matches(name, '^[A-Z]') then 'api_boundary' else 'internal' end as "role" from sym where kind in ('struct', 'interface')""")
-def type_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2: the role of each type."""
-    return K.type_roles(Code(spark, sf_dir).sym).select("id", "role")
-
-
-@query(f"""with {SYM}, {RF} select enclosing_id, bool_or(coalesce(ast_ctx, '') in ('go', 'chan')) concurrency, false security_boundary from rf group by 1""")
-def concurrency_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3: flags of functions by what they refer to and what their files import."""
-    c = Code(spark, sf_dir)
-    return K.risk_flags(c.rf.withColumn("snippet", F.lit("x")), c.imp)
-
-
 @query(f"""with {SYM}, {RF}, n as (select symbol_id id, count(*) n from rf group by 1) select id, concat_ws(',', case when contains(lower(doc), 'deprecated') then 'deprecated' end, case when starts_with(receiver, '(*') then 'pointer receiver' end, case when regexp_matches(name, '^[A-Z]') and coalesce(n, 0) = 0 then 'exported and unused' end) hints from sym left join n using (id)""")
 def symbol_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hints of each symbol."""
