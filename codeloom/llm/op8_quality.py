@@ -3,9 +3,12 @@
 Each line of a text is a position of a chain, described by indicator features. Viterbi decoding
 marks each line as content or boilerplate; the share of words in content lines decides whether a
 document that passes the base rules is kept. The field is fitted here, by gradient ascent on the
-conditional likelihood, to lines of labelled documents: those of documents of quality 1 count as
-content, those of quality 0 as boilerplate. Labels are of documents, so all lines of a chain have one
-label and the moves between labels learn to stay; it is the features that tell where a text changes.
+conditional likelihood, to lines of labelled documents. Their labels are of whole documents: quality 1
+says that most words are content, quality 0 that most are not. So lines are labelled within them: at
+first each like its document; then, from weights fitted to single lines, a line that clearly looks like
+the other kind takes the other label, the clearest first, as long as the document's own kind keeps more
+than half of the words; and so again from the new labels. The field is fitted to these labels, which
+change inside a text, so its moves learn where boilerplate begins and ends.
 The labelled sample is bounded (``SAMPLE`` documents, taken in the order of a hash of their id, and the
 first ``SAMPLE_LINES`` lines of each); all else covers every row and whole texts.
 
@@ -35,6 +38,8 @@ from .common import ROWS, map_rows
 
 #: Labelled documents that the field is fitted to, and lines of each, at most.
 SAMPLE, SAMPLE_LINES = 1500, 512
+#: Rounds of labelling lines, and by what odds (as a logarithm) a line must look like the other kind.
+ROUNDS, CLEARLY = 2, 1.0
 #: A document stays if at least this share of its words is in content lines.
 CONTENT_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -141,14 +146,15 @@ class LineField:
         self.weights, self.moves = np.round(weights, 6), np.round(moves, 6)  # (2, features), (2, 2)
 
     @classmethod
-    def fit(cls, chains: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.1, shrink: float = 1e-3) -> LineField:
-        """Gradient ascent with adaptive steps. All lines of a chain have the chain's label."""
+    def fit(cls, chains: list[np.ndarray], labels: list, rounds: int = 150, rate: float = 0.1, shrink: float = 1e-3) -> LineField:
+        """Gradient ascent with adaptive steps. ``labels`` has the labels of each chain's lines, or one for all of them."""
         order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
-        chains, y = [chains[i].astype(float) for i in order], np.array([labels[i] for i in order])
+        chains, marks = [chains[i].astype(float) for i in order], [np.broadcast_to(labels[i], len(chains[i])) for i in order]
         longest, n_feat = len(chains[0]), chains[0].shape[1]
         lengths = np.array([len(c) for c in chains])
         live = [int((lengths > t).sum()) for t in range(longest)]
         x = [np.stack([chains[i][t] for i in range(live[t])]) for t in range(longest)]
+        y = [np.array([marks[i][t] for i in range(live[t])]) for t in range(longest)]
         theta = np.zeros(2 * n_feat + 4)
         m, v, total = np.zeros_like(theta), np.zeros_like(theta), lengths.sum()
         for step in range(1, rounds + 1):
@@ -166,12 +172,12 @@ class LineField:
             for t in range(longest):
                 k = live[t]
                 p = np.exp(alpha[t] + beta[t] - z[:k, None])
-                truth = np.stack([y[:k] == 0, y[:k] == 1], axis=1)
+                truth = np.stack([y[t] == 0, y[t] == 1], axis=1)
                 g_w += (truth - p).T @ x[t]
                 if t:
                     pair = np.exp(alpha[t - 1][:k, :, None] + trans + (score[t] + beta[t])[:, None, :] - z[:k, None, None])
                     g_t -= pair.sum(axis=0)
-                    g_t += np.diag([(y[:k] == 0).sum(), (y[:k] == 1).sum()])
+                    np.add.at(g_t, (y[t - 1][:k], y[t]), 1)
             grad = np.concatenate([g_w.ravel(), g_t.ravel()]) / total - shrink * theta
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -197,6 +203,36 @@ class LineField:
         return out[::-1]
 
 
+def labelled_lines(chains: list[np.ndarray], words: list[np.ndarray], labels: list[int], rounds: int = ROUNDS, clearly: float = CLEARLY) -> list[np.ndarray]:
+    """Labels of the lines of documents, from one label for each document."""
+    marks = [np.full(len(c), y) for c, y in zip(chains, labels, strict=True)]
+    for _ in range(rounds):
+        lines, y = np.concatenate(chains), np.concatenate(marks)
+        seen, at, count = np.unique(np.column_stack([lines, y]), axis=0, return_inverse=True, return_counts=True)
+        w = _single_lines(seen[:, :-1].astype(float), seen[:, -1], count)
+        odds = lines @ w  # of boilerplate
+        ends = np.cumsum([len(c) for c in chains])[:-1]
+        for k, (odd, n, label) in enumerate(zip(np.split(odds, ends), words, labels, strict=True)):
+            other = -odd if label else odd
+            marks[k] = np.full(len(n), label)
+            order = np.lexsort((np.arange(len(n)), -other))
+            taken = np.cumsum(n[order])
+            marks[k][order[(other[order] > clearly) & (2 * taken < n.sum())]] = 1 - label
+    return marks
+
+
+def _single_lines(x: np.ndarray, y: np.ndarray, count: np.ndarray, rounds: int = 50, shrink: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression by Newton's steps over distinct lines with their counts."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + shrink * np.eye(len(w)), x.T @ (count * (y - p)) - shrink * w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return np.round(w, 6)
+
+
 def content_share(field: LineField | None, text: str) -> float:
     """Share of the words that are in content lines; 1 without a field."""
     features, counts = line_features(text)
@@ -212,14 +248,16 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
 
     def run(ids, texts, hashes, quality):
-        return {"id": ids, "h": hashes, "quality": quality, "x": [line_features(t or "")[0][:SAMPLE_LINES].tobytes() for t in texts]}
-
-    lines = map_rows(texts.select("id", "text", F.xxhash64("text"), "quality"), "id long, h long, quality int, x binary", run)
-    rows = lines.groupBy("id").agg(F.min(F.struct("h", "quality", "x")).alias("m")).select("id", "m.quality", "m.x").orderBy("id").limit(sample).collect()
-    chains = [(np.frombuffer(r.x, dtype=np.int8).reshape(-1, len(FEATURES)), 1 - r.quality) for r in rows if r.x]
-    if len({y for _, y in chains}) < 2:
+        found = [line_features(t or "") for t in texts]
+        return {"id": ids, "h": hashes, "quality": quality, "x": [x[:SAMPLE_LINES].tobytes() for x, _ in found], "n": [n[:SAMPLE_LINES].tobytes() for _, n in found]}
+
+    lines = map_rows(texts.select("id", "text", F.xxhash64("text"), "quality"), "id long, h long, quality int, x binary, n binary", run)
+    rows = lines.groupBy("id").agg(F.min(F.struct("h", "quality", "x", "n")).alias("m")).select("id", "m.quality", "m.x", "m.n").orderBy("id").limit(sample).collect()
+    rows = [r for r in rows if r.x]
+    chains, words, labels = [np.frombuffer(r.x, dtype=np.int8).reshape(-1, len(FEATURES)) for r in rows], [np.frombuffer(r.n, dtype=np.int64) for r in rows], [1 - r.quality for r in rows]
+    if len(set(labels)) < 2:
         return None
-    return LineField.fit([c for c, _ in chains], [y for _, y in chains])
+    return LineField.fit(chains, labelled_lines(chains, words, labels))
 
 
 def judge(docs: DataFrame, field: LineField | None, share: float = CONTENT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -530,6 +530,39 @@ def test_field_on_held_out_documents(spark, docs, empty, rows):
     assert set(marks[0]) == {0} and set(marks[1]) == {1}
 
 
+def test_labels_change_inside_spliced_texts(spark):
+    """Junk lines between lines of prose, and the other way round: both labels, the border where it is, a share between 0 and 1."""
+    rng = random.Random(12)
+    block = lambda n: [junk(rng).split("\n")[0] for _ in range(n)]
+    lines = lambda n: [x for _ in range(n) for x in prose(rng).split("\n")][: 2 * n]
+    # documents of mostly one kind hold a few lines of the other
+    rows = [(k, "\n".join(lines(4) + block(1) + lines(2) if k % 2 else block(6) + lines(1) + block(3))) for k in range(120)]
+    field = op8_quality.fit_field(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, quality int"))
+    spliced, want = [], {}
+    for k in range(60):
+        a, b = rng.randint(3, 8), rng.randint(2, 5)
+        good, bad = lines(b), block(a)
+        parts = [good, bad] if k % 3 == 0 else [bad, good] if k % 3 == 1 else [good, bad, lines(b)]
+        spliced.append((k, "\n".join(x for p in parts for x in p)))
+        want[k] = [int(p is bad) for p in parts for _ in p]
+    table = spark.createDataFrame(spliced, "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in op8_quality.label_lines(table, field).collect()}
+    assert all(set(got[k]) == {0, 1} for k in want)
+    right = sum(x == y for k in want for x, y in zip(got[k], want[k], strict=True)) / sum(map(len, want.values()))
+    assert right > 0.97 and sum(got[k] == want[k] for k in want) > 48
+    assert all(0 < r.content_share < 1 for r in op8_quality.judge(table, field).collect())
+
+
+def test_lines_are_labelled_within_their_document():
+    """A document's own kind keeps more than half of its words, whatever its lines look like."""
+    like = lambda bad: np.array([1, bad], dtype=np.int8)
+    chains = [np.stack([like(0)] * 9 + [like(1)]), np.stack([like(1)] * 9 + [like(0)])] * 20 + [np.stack([like(1)] * 4)]
+    words = [np.full(len(c), 10) for c in chains]
+    marks = op8_quality.labelled_lines(chains, words, [0, 1] * 20 + [0])
+    assert marks[0].tolist() == [0] * 9 + [1] and marks[1].tolist() == [1] * 9 + [0]
+    assert marks[-1].sum() == 1  # four lines alike: one of them is less than half
+
+
 def test_judge_edge_cases(spark, docs, rows):
     got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in op8_quality.judge(docs, None).collect()]
     assert Counter(got) == Counter((i, *slow_counts(t)) for i, t in rows)
