@@ -31,6 +31,12 @@ def suffix_match(path: Column, wanted: Column) -> Column:
     return (path == wanted) | path.endswith(F.concat(F.lit("/"), wanted))
 
 
+def suffixes(path: Column) -> Column:
+    """A path and all that it ends in, from one segment on: what ``suffix_match`` finds, for a join on equality."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def in_directory(path: Column, directory: str) -> Column:
     """The directory occurs in the path as whole segments."""
     d = directory.strip("/")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.exprs import age_days, confidence, decay, log_share, saturating
+from codeloom.lineage import cut
 from codeloom.operators.ranks import numbered
 
 
@@ -38,19 +39,18 @@ def fan_in(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return edges.filter(F.col(src) != F.col(dst)).groupBy(dst).agg(F.countDistinct(src).alias("fan_in"))
 
 
-def values_at_ranks(rows: DataFrame, group: list[str], value: str, ranks: DataFrame, buckets: int = 1024) -> DataFrame:
+def values_at_ranks(rows: DataFrame, group: list[str], value: str, ranks: DataFrame) -> DataFrame:
     """``group..., rank, value``: the values at places ``ranks (group..., rank)``, from 0, of each group's
-    values in rising order; nulls do not count. No task holds a group: rows are counted in equal stretches
-    of the group's span, then those of the stretches with a wanted place, by value."""
-    rows = rows.filter(F.col(value).isNotNull())
-    span = rows.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets
-    placed = rows.join(span, group).select(*group, value, F.when(F.col("_hi") > F.col("_lo"), F.floor(share)).otherwise(0).cast("int").alias("_b"))
+    values in rising order; nulls do not count. Equal values are counted as one row, which are dealt to ranges of
+    (group, value), so neither a large group nor an outlier puts more than a range into a task; then
+    ranges are counted, and those with a wanted place looked through."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    dealt = cut(counted.repartitionByRange(*group, value).withColumn("_b", F.spark_partition_id()))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before(Window.partitionBy(*group).orderBy("_b"))), F.lit(0)))
-    hit = ranks.join(counts, group).filter("rank >= _before and rank < _before + _n").select(*group, "rank", "_b", (F.col("rank") - F.col("_before")).alias("_k"))
-    inside = placed.join(hit.select(*group, "_b").distinct(), [*group, "_b"]).groupBy(*group, "_b", value).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = dealt.groupBy(*group, "_b").agg(F.sum("_c").alias("_n"))  # a row for each range and group in it
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before(Window.partitionBy(*group).orderBy("_b"))), F.lit(0)))
+    hit = ranks.join(sizes, group).filter("rank >= _before and rank < _before + _n").select(*group, "rank", "_b", (F.col("rank") - F.col("_before")).alias("_k"))
+    inside = dealt.join(hit.select(*group, "_b").distinct(), [*group, "_b"], "left_semi")
     inside = inside.withColumn("_below", F.coalesce(F.sum("_c").over(before(Window.partitionBy(*group, "_b").orderBy(value))), F.lit(0)))
     return hit.join(inside, [*group, "_b"]).filter("_k >= _below and _k < _below + _c").select(*group, "rank", value)
 

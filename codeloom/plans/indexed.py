@@ -109,9 +109,12 @@ def package_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exported symbols of a package, exact, else by suffix, else by substring, the weightiest kinds first."""
     c = Code(spark, sf_dir)
     packages = c.sym.select("pkg_path").distinct()  # tiers are found on packages, then their symbols are joined
-    p, q = F.col("pkg_path"), F.col("query")
-    near = c.listed(PACKAGES, "query string").join(packages, p.contains(q))
-    best = L.cascade(near, [p == q, E.suffix_match(p, q), F.lit(True)], ["query"])
+    p, q, asked = F.col("pkg_path"), F.col("query"), c.listed(PACKAGES, "query string")
+    near = packages.select("pkg_path", F.explode(E.suffixes(p)).alias("query")).join(asked, "query").withColumn("tier", F.when(p == q, 1).otherwise(2))
+    best = near.withColumn("_min", F.min("tier").over(Window.partitionBy("query"))).filter("tier = _min").drop("_min")
+    found = best.join(c.sym.filter(E.is_exported(F.col("name"))).select("pkg_path").distinct(), "pkg_path", "left_semi")
+    rest = asked.join(found.select("query"), "query", "left_anti")  # those that no segment meets, a short list
+    best = near.unionByName(packages.join(F.broadcast(rest), p.contains(q)).select("pkg_path", "query", F.lit(3).alias("tier")))
     shown = best.join(c.sym.filter(E.is_exported(F.col("name"))), "pkg_path")
     shown = shown.withColumn("_min", F.min("tier").over(Window.partitionBy("query"))).filter("tier = _min")
     top = L.top_per_group(shown, ["query"], [E.kind_priority(F.col("kind"), ["interface", "struct", "func"]), "name", "id"], 20)
@@ -125,7 +128,7 @@ def package_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Code(spark, sf_dir)
     q, p = F.col("query"), F.col("pkg_path")
     docs = c.sym.groupBy("pkg_path").agg(F.min("doc").alias("doc"))
-    near = c.listed(["brand7", "mod/internal/brand3", "zzz"], "query string").join(docs, E.suffix_match(p, q))
+    near = docs.select("pkg_path", "doc", F.explode(E.suffixes(p)).alias("query")).join(c.listed(["brand7", "mod/internal/brand3", "zzz"], "query string"), "query")
     return L.first_per_key(near, ["query"], [F.when(p == q, 0).otherwise(1), F.length(p), p]).select("query", "pkg_path", "doc")
 
 
@@ -133,7 +136,8 @@ def package_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three others of each symbol's file and kind."""
     s = Code(spark, sf_dir).sym
-    other = s.select("file_path", "kind", F.col("id").alias("sibling"), F.col("line_start").alias("at"))
+    # the first four of a file and kind are enough for every one of its symbols
+    other = L.top_per_group(s.select("file_path", "kind", F.col("id").alias("sibling"), F.col("line_start").alias("at")), ["file_path", "kind"], ["at", "sibling"], 4).drop("rank")
     pairs = s.select("id", "file_path", "kind").join(other, ["file_path", "kind"]).filter("id <> sibling")
     return L.top_per_group(pairs, ["id"], ["at", "sibling"], 3).select("id", "sibling", F.col("rank").cast("int").alias("place"))
 
@@ -150,7 +154,7 @@ select query, importer_pkg, file_path from r where n = 1""")
 def package_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who imports a package (exact or by suffix), the first row of each importer."""
     c = Code(spark, sf_dir)
-    x = c.listed(["brand5", "mod/internal/brand3", "rand5"], "query string").join(c.imp, E.suffix_match(F.col("pkg_path"), F.col("query")))
+    x = c.imp.withColumn("query", F.explode(E.suffixes(F.col("pkg_path")))).join(c.listed(["brand5", "mod/internal/brand3", "rand5"], "query string"), "query")
     return L.first_per_key(x, ["query", "importer_pkg"], ["file_path", "line", "pkg_path"]).select("query", "importer_pkg", "file_path")
 
 
@@ -422,13 +426,17 @@ def commit_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.customer.select("c_custkey").join(types, "c_custkey", "left").select("c_custkey", E.commit_type(F.col("l")).alias("kind"))
 
 
-@query(f"""with {SYM}, {RF}, {IMP}, impl as (select s.id, count(*) n from sym s join sym t on t.kind = 'struct' and t.pkg_path = s.pkg_path where s.kind = 'interface' group by 1), u as (select symbol_id id, count(distinct e.pkg_path) p, count(distinct rf.file_path) f from rf left join sym e on e.id = enclosing_id group by 1)
-select id, (2 * p + n)::bigint score from impl join u using (id) where f >= 2 order by score desc, id limit 40""")
+@query(f"""with {SYM}, {RF}, own as (select id, pkg_path, 'T' || (k % 7) t from sym where kind = 'interface'), have as (select distinct regexp_extract(receiver, '([A-Z][0-9]+)', 1) t, pkg_path, name from sym where kind = 'method'), need as (select distinct own.id, h.name from own join have h on h.t = own.t and h.pkg_path = own.pkg_path),
+n as (select id, count(*) n from need group by 1), cov as (select need.id, h.t, h.pkg_path from need join have h on h.name = need.name group by all having count(*) = any_value((select n from n where n.id = need.id))), impl as (select cov.id, count(*) n from cov join sym s on s.kind = 'struct' and s.name = cov.t and s.pkg_path = cov.pkg_path group by 1),
+u as (select symbol_id id, count(distinct e.pkg_path) p, count(distinct rf.file_path) f from rf left join sym e on e.id = enclosing_id group by 1) select id, n::bigint n_impl, p::bigint n_pkgs, (2 * p + n)::bigint score from impl join u using (id) where f >= 2 order by score desc, id limit 40""")
 def seams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interfaces by twice the packages that refer to them plus their implementers."""
+    """Interfaces by twice the packages that refer to them plus the types that hold all their methods."""
     c = Code(spark, sf_dir)
-    impl = c.sym.filter("kind = 'interface'").select(F.col("id").alias("interface_id"), "pkg_path").join(c.sym.filter("kind = 'struct'").select(F.col("id").alias("type_id"), "pkg_path"), "pkg_path")
-    return R.seam_scores(impl, c.rf, c.sym).select(F.col("interface_id").alias("id"), "score").orderBy(F.col("score").desc(), "id").limit(40)
+    methods = c.sym.filter("kind = 'method'").select(E.receiver_type(F.col("receiver")).alias("_t"), "pkg_path", "name").distinct()
+    own = c.sym.filter("kind = 'interface'").select(F.col("id").alias("interface_id"), "pkg_path", F.concat(F.lit("T"), (F.col("k") % 7).cast("string")).alias("_t"))
+    needed = own.join(methods, ["_t", "pkg_path"]).select("interface_id", "name")
+    x = R.seam_scores(R.implementers(c.sym, needed), c.rf, c.sym)
+    return x.select(F.col("interface_id").alias("id"), "n_impl", "n_pkgs", "score").orderBy(F.col("score").desc(), "id").limit(40)
 
 
 @query(f"""with {SYM}, {IMP}, s as (select case when contains(importer_pkg, '/internal/') then 'internal/' || split_part(importer_pkg, '/', 3) else split_part(importer_pkg, '/', 2) end a, case when contains(pkg_path, '/internal/') then 'internal/' || split_part(pkg_path, '/', 3) else split_part(pkg_path, '/', 2) end b from (select distinct importer_pkg, pkg_path from imp where not ends_with(file_path, '_test.go'))) select a, b, count(*)::bigint weight from s where a <> b group by 1, 2""")
