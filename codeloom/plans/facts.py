@@ -152,7 +152,7 @@ def fixture_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with x as (select event_id, case when event_id % 7 = 0 then left(props, 4) else props end line from events) select event_id, json_extract_string(line, '$.k') k from x where json_valid(line)""")
 def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC19, ST11: rows of a log of JSON lines, malformed ones skipped."""
+    """SC19: rows of a log of JSON lines, malformed ones skipped."""
     e = Tables(spark, sf_dir).events
     lines = e.select("event_id", F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("line"))
     return readers.log_rows(lines, "line", "k string").select("event_id", "k")
@@ -234,7 +234,7 @@ def backfill_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {SYM}, x as (select id, sha256('v2' || chr(10) || name || ' ' || coalesce(signature, '')) f from sym) select id symbol_id, f fingerprint from x where not (id in (select id from sym where k % 4 = 0) and id not in (select id from sym where k % 8 = 0))""")
 def pending_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST10: what an embedding job that was broken off has still to do; a changed text counts as not done."""
+    """ST10: what is pending of an embedding job that was broken off has still to do; a changed text counts as not done."""
     s = Code(spark, sf_dir).sym
     texts = s.select("k", F.col("id").alias("symbol_id"), F.concat_ws(" ", "name", "signature").alias("text"))
     empty = literal_rows(spark, [("", "")], "symbol_id string, fingerprint string")
@@ -244,7 +244,7 @@ def pending_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {SYM}, {IMP}, p as (select distinct pkg_path from sym where not contains(pkg_path, '3')), n as (select distinct pkg_path from sym where contains(pkg_path, '4')) select pkg_path, case when pkg_path in (select * from n) then 'new' else 'old' end doc from (select distinct pkg_path from sym) where pkg_path in (select * from p)""")
 def pruned_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SK8, SK5: package docs replaced, those of packages that are gone dropped."""
+    """SK8: package docs replaced, those of packages that are gone dropped."""
     packages = Code(spark, sf_dir).sym.select("pkg_path").distinct()
     doc = lambda x, text: x.withColumn("doc", F.lit(text))
     return X.pruned(doc(packages, "old"), doc(packages.filter(F.col("pkg_path").contains("4")), "new"), packages.filter(~F.col("pkg_path").contains("3")), "pkg_path")
@@ -252,7 +252,7 @@ def pruned_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {SYM}, g as (select distinct file_path from sym where k % 9 = 0) select file_path, name as "value", 'old' origin from sym where file_path not in (select * from g) union all select file_path, 'v' || k, 'new' from sym where k % 9 = 0""")
 def replaced_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SK9, SK12: literals of the files that were read again take the place of the old ones."""
+    """SK9: literals of the files that were read again take the place of the old ones."""
     s = Code(spark, sf_dir).sym
     new = s.filter("k % 9 = 0").select("file_path", F.concat(F.lit("v"), F.col("k").cast("string")).alias("value"), F.lit("new").alias("origin"))
     return sinks.replace_files(s.select("file_path", F.col("name").alias("value"), F.lit("old").alias("origin")), new, new.select(F.col("file_path").alias("path")).limit(0))

@@ -124,7 +124,7 @@ def package_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {SYM}, q(query) as (values ('brand7'), ('mod/internal/brand3'), ('zzz')), c as (select query, pkg_path, row_number() over (partition by query order by case when pkg_path = query then 0 else 1 end, length(pkg_path), pkg_path) n
  from q, (select distinct pkg_path from sym) where pkg_path = query or ends_with(pkg_path, '/' || query)), d as (select pkg_path, min(doc) doc from sym group by 1) select query, pkg_path, doc from c left join d using (pkg_path) where n = 1""")
 def package_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full package of a short name, exact, else the shortest that ends in it, with its doc."""
+    """The full package of a short name, exact, else the shortest that ends in it, with its doc."""
     c = Code(spark, sf_dir)
     q, p = F.col("query"), F.col("pkg_path")
     docs = c.sym.groupBy("pkg_path").agg(F.min("doc").alias("doc"))
@@ -168,7 +168,7 @@ def directory_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {SYM} select distinct pkg_path from sym where pkg_path = 'internal' or ends_with(pkg_path, '/internal') or contains(pkg_path, '/internal/') or pkg_path = 'brand5' or ends_with(pkg_path, '/brand5') or pkg_path = 'rand1' or ends_with(pkg_path, '/rand1')")
 def package_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packages that meet any of several patterns, each once."""
+    """Packages that meet any of several patterns, each once."""
     return L.package_matches(Code(spark, sf_dir).sym.select("pkg_path"), ["internal/...", "brand5", "rand1"])
 
 
@@ -222,7 +222,7 @@ def callers_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {SYM}, {CG}, f as (select caller_id, name, min(line * 1000 + col) at_ from cg join sym on id = callee_id group by 1, 2), r as (select *, row_number() over (partition by caller_id order by at_, name) n from f)
 select caller_id, name, n::int step, case {_VERBS} else 'calls' end verb from r where n <= 10""")
 def callee_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten distinct callees of each function in the order of the calls, with a verb."""
+    """The first ten distinct callees of each function in the order of the calls, with a verb."""
     c = Code(spark, sf_dir)
     x = c.cg.join(c.sym.select(F.col("id").alias("callee_id"), "name"), "callee_id").groupBy("caller_id", "name").agg(F.min(F.col("line") * 1000 + F.col("col")).alias("at"))
     top = L.top_per_group(x, ["caller_id"], ["at", "name"], 10)
@@ -239,14 +239,13 @@ def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.selected(x.withColumn("score", score), ["query"], "score", ["id"], 3).select("query", "id", "score", "ambiguous", F.col("rank").cast("int").alias("rank"))
 
 
-@query(f"""with {SYM}, {RF}, {FL} select r.id, symbol_id, enclosing_id, e.name enclosing_name, f.hash file_hash, (r.file_path <> d.file_path)::int place, ends_with(r.file_path, '_test.go') is_test from rf r left join sym d on d.id = symbol_id left join sym e on e.id = enclosing_id left join fl f on f.path = r.file_path
-where symbol_id in ('s7', 's30') order by symbol_id, place, r.file_path, line, col, r.id, enclosing_id limit 100""")
+@query(f"""with {SYM}, {RF}, {FL} select r.id, symbol_id, enclosing_id, e.name enclosing_name, f.hash file_hash, (r.file_path <> d.file_path)::int place, ends_with(r.file_path, '_test.go') is_test from rf r left join sym d on d.id = symbol_id left join sym e on e.id = enclosing_id left join fl f on f.path = r.file_path""")
 def references_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of symbols with the enclosing one, the file's hash and whether it is a test; those
-    in the definition's own file first."""
+    """References of every symbol with the enclosing one, the file's hash and whether it is a test; those in the
+    definition's own file are place 0."""
     c = Code(spark, sf_dir)
-    x = R.references(c.rf.filter(F.col("symbol_id").isin("s7", "s30")), c.sym, c.fl).withColumn("is_test", E.is_test_file(F.col("file_path")))
-    return L.page(x, ["symbol_id", "place", "file_path", "line", "col", "id", "enclosing_id"], 100).select("id", "symbol_id", "enclosing_id", "enclosing_name", "file_hash", "place", "is_test")
+    x = R.references(c.rf, c.sym, c.fl).withColumn("is_test", E.is_test_file(F.col("file_path")))
+    return x.select("id", "symbol_id", "enclosing_id", "enclosing_name", "file_hash", "place", "is_test")
 
 
 @query(f"""with {SYM}, {CG}, {FL} select caller_id, callee_id, a.name caller_name, b.name callee_name, fa.hash caller_hash, fb.hash callee_hash, count(*)::bigint n_sites from cg join sym a on a.id = caller_id join sym b on b.id = callee_id join fl fa on fa.path = a.file_path join fl fb on fb.path = b.file_path group by all""")
@@ -278,7 +277,7 @@ def call_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {SYM}, {RF} select symbol_id, count(*)::bigint n_refs from rf where coalesce(ast_ctx, '') not in ('go', 'chan') group by 1")
 def reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1, SC4: references of each symbol, without the synthetic ones of concurrency."""
+    """A1: references of each symbol, without the synthetic ones of concurrency."""
     return A.reference_counts(Code(spark, sf_dir).rf)
 
 
@@ -374,7 +373,7 @@ def history_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {SYM}, {FL}, f as (select path, lines from fl), k as (select distinct file_path, pkg_path from sym), s as (select pkg_path, sum((kind in ('func', 'method'))::int) n_funcs, sum((starts_with(name, 'Test') and ends_with(file_path, '_test.go'))::int) n_tests from sym group by 1)
 select pkg_path, count(*)::bigint n_files, sum(lines)::bigint n_lines, n_funcs::bigint n_funcs, n_tests::bigint n_tests from k join f on path = file_path join s using (pkg_path) group by pkg_path, n_funcs, n_tests""")
 def package_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A34, A8, SC8: files, lines, functions and tests of each package."""
+    """Files, lines, functions and tests of each package."""
     c = Code(spark, sf_dir)
     test = F.col("name").startswith("Test") & E.is_test_file(F.col("file_path"))
     per = c.sym.groupBy("pkg_path", "file_path").agg(F.count_if(F.col("kind").isin("func", "method")).alias("f"), F.count_if(test).alias("t")).join(c.fl.select(F.col("path").alias("file_path"), "lines"), "file_path")
@@ -542,7 +541,7 @@ def replaced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {SYM} select vec_id, 's' || (vec_id * 5) symbol_id from embeddings where 's' || (vec_id * 5) in (select id from sym where kind <> 'field')""")
 def preserved_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SK38, J38, J20: child rows whose symbol survives a rewrite."""
+    """J38, SK1: child rows whose symbol survives a rewrite."""
     c = Code(spark, sf_dir)
     kids = c.t.embeddings.select("vec_id", F.concat(F.lit("s"), (F.col("vec_id") * 5).cast("string")).alias("symbol_id"))
     return sinks.preserved(kids, c.sym.filter("kind <> 'field'"))

@@ -117,14 +117,14 @@ def ref_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with r as (select l_partkey k, count(*) n from lineitem where l_returnflag = 'R' group by 1), c as (select l_partkey k, count(*) n from lineitem where l_quantity >= 45 group by 1)
+with r as (select l_partkey k, count(*) n from lineitem group by 1), c as (select l_partkey k, count(distinct l_suppkey) n from lineitem group by 1)
 select p_partkey, coalesce(r.n, 0)::bigint refs, coalesce(c.n, 0)::bigint calls, (coalesce(r.n, 0) + coalesce(c.n, 0))::bigint usage from part
 left join r on r.k = p_partkey left join c on c.k = p_partkey order by usage desc, p_partkey limit 100""")
 def usage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items by the sum of two counts, each aggregated before its join."""
     t = Tables(spark, sf_dir)
-    n = lambda df: df.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
-    x = A.usage_rank(t.part.select("p_partkey"), "p_partkey", [("refs", n(t.lineitem.filter("l_returnflag = 'R'"))), ("calls", n(t.lineitem.filter("l_quantity >= 45")))])
+    n = lambda count: t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(count.alias("n"))
+    x = A.usage_rank(t.part.select("p_partkey"), "p_partkey", [("refs", n(F.count(F.lit(1)))), ("calls", n(F.countDistinct("l_suppkey")))])
     return x.orderBy(F.col("usage").desc(), "p_partkey").limit(100)
 
 
@@ -232,15 +232,12 @@ def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select l.l_suppkey symbol_id, l.l_orderkey, l.l_linenumber, p.p_name enclosing_name, (case when l.l_returnflag = 'R' then 0 else 1 end)::int place
-from lineitem l left join part p on p.p_partkey = l.l_partkey where l.l_suppkey = 7 and l.l_quantity >= 30
-order by place, l_orderkey, l_linenumber, l.l_partkey, l.l_extendedprice limit 200""")
+select l.l_suppkey symbol_id, l.l_orderkey, l.l_linenumber, p.p_name enclosing_name, (case when l.l_returnflag = 'R' then 0 else 1 end)::int place from lineitem l left join part p on p.p_partkey = l.l_partkey""")
 def refs_of_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of a symbol with the enclosing one, those of a preferred place first."""
+    """References of every symbol with the enclosing one; those of a preferred place are place 0."""
     t = Tables(spark, sf_dir)
-    x = t.lineitem.filter("l_suppkey = 7 and l_quantity >= 30").join(t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("enclosing_name")), "l_partkey", "left")
-    x = x.select(F.col("l_suppkey").alias("symbol_id"), "l_orderkey", "l_linenumber", "enclosing_name", F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("place"), "l_partkey", "l_extendedprice")
-    return x.orderBy("place", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").limit(200).drop("l_partkey", "l_extendedprice")
+    x = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("enclosing_name")), "l_partkey", "left")
+    return x.select(F.col("l_suppkey").alias("symbol_id"), "l_orderkey", "l_linenumber", "enclosing_name", F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("place"))
 
 
 _HOPS = f"""with {EDGES}, seeds(seed) as (values (1), (2), (3), (5)),
