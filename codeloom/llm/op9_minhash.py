@@ -275,9 +275,14 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     heads = members.groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("head"))
     stays = F.struct(F.col("_id").alias("doc_id"), F.col("_th").alias("th")) == F.col("head")
     marks = stash(keys.join(heads, "comp").select("_id", "_th", stays.alias("_stays"), "copies").filter("not _stays or copies > 1").drop("copies"), "marks")
-    same = (docs[id_col].cast("long") == marks["_id"]) & (F.xxhash64(docs[text_col]) == marks["_th"])
-    again = docs.join(marks.filter("_stays"), same).withColumn("_turn", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id")))
-    return docs.join(marks, same, "left_anti").unionByName(again.filter("_turn = 1").select(*docs.columns))
+    same = lambda m: (docs[id_col].cast("long") == m["_id"]) & (F.xxhash64(docs[text_col]) == m["_th"])
+    # rows are dealt by id and text at every size, not just where the marks are too many to be sent to all
+    out = docs.join(marks.hint("merge"), same(marks), "left_anti")
+    repeated = stash(marks.filter("_stays"), "repeated")
+    if repeated.isEmpty():
+        return out
+    again = docs.join(repeated, same(repeated)).withColumn("_turn", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id")))
+    return out.unionByName(again.filter("_turn = 1").select(*docs.columns))
 
 
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
