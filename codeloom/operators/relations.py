@@ -56,9 +56,16 @@ def two_hops(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "d
 
 
 def covering_tests(edges: DataFrame, symbols: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Callers in one or two hops that are test functions in test files."""
+    """Callers of each seed in one hop, and in two hops if not in one already, that are test functions in test
+    files: ``seed, node, hop, name, file_path``. The walk starts from the tests, so what else calls a hub costs nothing."""
     tests = symbols.filter(is_test_name(F.col("name")) & is_test_file(F.col("file_path"))).select(F.col("id").alias("node"), "name", "file_path")
-    return two_hops(edges, seeds, "caller_id", "callee_id").join(tests, "node")
+    calls_ = edges.select("caller_id", "callee_id").distinct()
+    first = calls_.join(tests.select(F.col("node").alias("caller_id")), "caller_id", "left_semi").select(F.col("caller_id").alias("node"), F.col("callee_id").alias("_mid"))
+    wanted = seeds.select("seed").distinct()
+    one = first.select("node", F.col("_mid").alias("seed")).join(wanted, "seed", "left_semi").select("seed", "node")
+    into = calls_.join(wanted.select(F.col("seed").alias("callee_id")), "callee_id", "left_semi").select(F.col("caller_id").alias("_mid"), F.col("callee_id").alias("seed"))
+    two = first.join(into, "_mid").select("seed", "node").filter("node <> seed").distinct().join(one, ["seed", "node"], "left_anti")
+    return one.withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2))).join(tests, "node")
 
 
 def impacted_by_reference(refs: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -70,27 +77,32 @@ def impacted_by_reference(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 # intervals
 
 
-def smallest_enclosing(points: DataFrame, spans: DataFrame, key: list[str], point: str, start: str, end: str, span_id: str, point_id: str) -> DataFrame:
-    """For each point the smallest interval that holds it; ties by start, then by id."""
-    hit = points.join(spans, key).filter((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end)))
+#: Units of a bucket in joins of lines with the scopes around them.
+LINES = 64
+
+
+def smallest_enclosing(points: DataFrame, spans: DataFrame, key: list[str], point: str, start: str, end: str, span_id: str, point_id: str, width: int | None = None) -> DataFrame:
+    """For each point the smallest interval that holds it; ties by start, then by id. ``width`` as for ``overlapping``."""
+    hit = overlapping(points.withColumn("_to", F.col(point)), spans, key, (point, "_to"), (start, end), width).drop("_to")
     w = Window.partitionBy(point_id).orderBy(F.col(end) - F.col(start), start, span_id)
     return hit.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def next_within(points: DataFrame, starts: DataFrame, key: list[str], point: str, start: str, reach: Column, point_id: str, order: list[str]) -> DataFrame:
-    """For each point the first interval that starts after it and within its reach."""
-    hit = points.join(starts, key).filter((F.col(start) > F.col(point)) & (F.col(start) <= reach))
+def next_within(points: DataFrame, starts: DataFrame, key: list[str], point: str, start: str, reach: Column, point_id: str, order: list[str], width: int | None = None) -> DataFrame:
+    """For each point the first interval that starts after it and within its reach. ``width`` as for ``overlapping``."""
+    ahead = points.withColumns({"_from": F.col(point) + 1, "_reach": reach})
+    hit = overlapping(ahead, starts.withColumn("_at", F.col(start)), key, ("_from", "_reach"), (start, "_at"), width).drop("_from", "_reach", "_at")
     w = Window.partitionBy(point_id).orderBy(start, *order)
     return hit.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def enclosing_or_next(points: DataFrame, symbols: DataFrame, lines: int = 20) -> DataFrame:
     """The enclosing scope of ``points (file_path, line, point_id)``, else the nearest declaration that
-    starts within so many lines after; ``tier`` 1 or 2."""
+    starts within so many lines after; ``tier`` 1 or 2. Lines meet scopes in buckets, so a hot file is spread."""
     spans = symbols.select("file_path", F.col("line_start").alias("s"), F.col("line_end").alias("e"), F.col("id").alias("symbol_id"), "name", "kind")
-    inside = smallest_enclosing(points, spans.filter(F.col("kind").isin("func", "method", "type", "interface", "struct")), ["file_path"], "line", "s", "e", "symbol_id", "point_id")
+    inside = smallest_enclosing(points, spans.filter(F.col("kind").isin("func", "method", "type", "interface", "struct")), ["file_path"], "line", "s", "e", "symbol_id", "point_id", LINES)
     rest = points.join(inside.select("point_id"), "point_id", "left_anti")
-    after = next_within(rest, spans, ["file_path"], "line", "s", F.col("line") + lines, "point_id", ["symbol_id"])
+    after = next_within(rest, spans, ["file_path"], "line", "s", F.col("line") + lines, "point_id", ["symbol_id"], LINES)
     return inside.withColumn("tier", F.lit(1)).unionByName(after.withColumn("tier", F.lit(2)))
 
 
@@ -105,7 +117,7 @@ def resolve_position(points: DataFrame, symbols: DataFrame, refs: DataFrame) ->
     by_name = p.join(names, ["file_path", "line"]).select("point_id", "symbol_id", F.when(far == 0, 1).otherwise(3).alias("tier"), far.cast("long").alias("far"), "c")
     by_ref = p.join(uses, ["file_path", "line"]).select("point_id", "symbol_id", F.when(far == 0, 2).otherwise(4).alias("tier"), far.cast("long").alias("far"), "c")
     spans = symbols.select("file_path", "line_start", "col_start", "line_end", "col_end", F.col("id").alias("symbol_id"))
-    held = p.join(spans, "file_path").filter((F.col("line_start") <= F.col("line")) & (F.col("line") <= F.col("line_end")))
+    held = overlapping(p.withColumn("_to", F.col("line")), spans, ["file_path"], ("line", "_to"), ("line_start", "line_end"), LINES)
     same = (F.col("line_start") == F.col("line")) & (F.col("line_end") == F.col("line")) & (F.col("col_start") <= F.col("col")) & (F.col("col") <= F.col("col_end"))
     by_span = held.select("point_id", "symbol_id", F.when(same, 5).otherwise(6).alias("tier"), (F.col("line_end") - F.col("line_start")).cast("long").alias("far"), F.col("col_start").alias("c"))
     every = by_name.unionByName(by_ref).unionByName(by_span)

@@ -393,7 +393,8 @@ def class_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Code(spark, sf_dir).sym
     types = s.filter("kind = 'struct'").select("id", "name", "pkg_path", "file_path", "line_start", "line_end")
     methods = s.filter("kind = 'method'").groupBy(E.receiver_type(F.col("receiver")).alias("name"), "pkg_path").agg(F.count(F.lit(1)).alias("m"))
-    inside = types.select("id", "file_path", "line_start", "line_end").join(s.filter("kind = 'field'").select("file_path", F.col("line_start").alias("at")), "file_path").filter("at between line_start and line_end")
+    fields = s.filter("kind = 'field'").select("file_path", F.col("line_start").alias("at"), F.col("line_start").alias("to"))
+    inside = R.overlapping(types.select("id", "file_path", "line_start", "line_end"), fields, ["file_path"], ("line_start", "line_end"), ("at", "to"), R.LINES)
     x = types.join(methods, ["name", "pkg_path"], "left").join(inside.groupBy("id").agg(F.count(F.lit(1)).alias("f")), "id", "left").fillna(0, ["m", "f"])
     return x.select("id", (F.col("m") + F.col("f")).alias("richness")).orderBy(F.col("richness").desc(), "id").limit(40)
 

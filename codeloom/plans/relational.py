@@ -14,6 +14,10 @@ from codeloom.operators import relations as R
 from codeloom.plans.registry import Tables, query
 
 
+#: A day in microseconds.
+DAY = 86_400_000_000
+
+
 def supplier_edges(t: Tables) -> DataFrame:
     """Suppliers of successive lines of an order, over all lines."""
     a = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("src"))
@@ -338,7 +342,7 @@ def enclosing_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest interval that holds each point."""
     t = Tables(spark, sf_dir)
     points = t.events.filter("event_type = 'purchase'").select(F.col("event_id").alias("point_id"), "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return R.smallest_enclosing(points, _spans(t), ["user_id"], "at", "s", "e", "span_id", "point_id").select("point_id", "span_id")
+    return R.smallest_enclosing(points, _spans(t), ["user_id"], "at", "s", "e", "span_id", "point_id", width=DAY).select("point_id", "span_id")
 
 
 @query("""
@@ -350,7 +354,7 @@ def nearest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     points = t.events.filter("event_type = 'purchase'").select(F.col("event_id").alias("point_id"), "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     after = t.events.filter("event_type = 'error'").select(F.col("event_id").alias("next_id"), "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("nx"))
-    return R.next_within(points, after, ["user_id"], "at", "nx", F.col("at") + 86400000000, "point_id", ["next_id"]).select("point_id", "next_id")
+    return R.next_within(points, after, ["user_id"], "at", "nx", F.col("at") + DAY, "point_id", ["next_id"], width=DAY).select("point_id", "next_id")
 
 
 _SHIP = """shp as (select o_custkey k, o_orderkey id, datediff('day', date '1995-01-01', o_orderdate::date) s, datediff('day', date '1995-01-01', o_orderdate::date) + (o_orderkey % 40) e from orders)"""
