@@ -77,13 +77,13 @@ def _grams(codes: Column, k: int) -> Column:
 
 def _minima(values: Column, window: int) -> Column:
     """Of some values, each beside its place from the end, the least of each window, without repeats."""
-    def place(v: Column) -> Column:
-        return F.lit(1 << PLACE_BITS) - v.bitwiseAND((1 << PLACE_BITS) - 1)
+    mask = (1 << PLACE_BITS) - 1
+    left = lambda v: v.bitwiseAND(mask)
 
     def step(acc: Column, v: Column) -> Column:
         last = F.element_at(acc, -1)
-        gone = place(v) - place(last) >= window  # the least value has left the window: look through it
-        return F.when(v < last, F.array_append(acc, v)).when(gone, F.array_append(acc, F.array_min(F.slice(values, (place(v) - window + 1).cast("int"), window)))).otherwise(acc)
+        gone = left(last) - left(v) >= window  # the least value has left the window: look through it
+        return F.when(v < last, F.array_append(acc, v)).when(gone, F.array_append(acc, F.array_min(F.slice(values, (F.lit(mask + 2 - window) - left(v)).cast("int"), window)))).otherwise(acc)
 
     return F.aggregate(F.slice(values, window + 1, PIECE), F.array(F.array_min(F.slice(values, 1, window))), step)
 
@@ -159,13 +159,14 @@ def spliced(text: Column, prints: Column, after: Column, after_prints: Column, c
 
 
 def _beside(rows: DataFrame) -> DataFrame:
-    """``edited_sha256, edited_fingerprint, near_next`` from ``text, fingerprint, after, after_print``. The last half
+    """``own_part, edited_sha256, edited_fingerprint, near_next`` from ``text, fingerprint, after, after_print``. The last half
     of the code points, rounded down, makes way for the first as many of the next text."""
     half = F.floor(F.char_length("text") / 2).cast("int")
     cut, head = F.char_length("text") - half, F.least(half, F.char_length("after"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), cut), F.substring(F.col("after"), F.lit(1), half))
     prints = spliced(F.col("text"), F.col("fingerprint"), F.col("after"), F.col("after_print"), cut, head)
-    return rows.withColumns({"edited_sha256": F.sha2(edited, 256), "edited_fingerprint": prints, "near_next": likeness(F.col("fingerprint"), F.col("after_print"))})
+    own_part = F.size(_within(F.col("fingerprint"), cut - (K + WINDOW - 2), WINDOW))  # these begin both fingerprints
+    return rows.withColumns({"own_part": own_part, "edited_sha256": F.sha2(edited, 256), "edited_fingerprint": prints, "near_next": likeness(F.col("fingerprint"), F.col("after_print"))})
 
 
 def successive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,8 +183,10 @@ def successive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = dealt.withColumn("fingerprint", fingerprint(F.col("text")))
     beside = own.withColumns({"after": F.lead("text").over(order), "after_print": F.lead("fingerprint").over(order), "first": F.row_number().over(order) == 1})
     beside = beside.withColumn("last", F.col("after").isNull()).withColumn("n_chars", F.char_length("text").cast("long"))
-    columns = ["doc_id", "n_chars", "fingerprint", "edited_sha256", "edited_fingerprint", "near_next"]
-    found = _beside(beside).select(*columns, "bucket", "sub", "first", "last", F.when(F.col("first") | F.col("last"), F.col("text")).alias("text"))
+    columns = ["doc_id", "n_chars", "fingerprint", "own_part", "edited_sha256", "edited_fingerprint", "near_next"]
+    # what an edited text's print shares with the text's own is not written twice
+    rest = F.slice("edited_fingerprint", F.col("own_part") + 1, F.greatest(F.size("edited_fingerprint") - F.col("own_part"), F.lit(0)))
+    found = _beside(beside).withColumn("edited_fingerprint", rest).select(*columns, "bucket", "sub", "first", "last", F.when(F.col("first") | F.col("last"), F.col("text")).alias("text"))
     found = stash(found, "found")
 
     # the last row of a bucket and the first of the next one
@@ -192,7 +195,8 @@ def successive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lasts = found.filter("last").select("doc_id", "n_chars", "fingerprint", "bucket", "sub", "text").join(places.select("bucket", "sub", "place"), ["bucket", "sub"])
     lasts = lasts.join(F.broadcast(count)).withColumn("place", F.col("place") % F.col("buckets") + 1)  # one row
     lasts = _beside(lasts.join(places.select("place", "after", "after_print"), "place")).select(columns)
-    every = found.filter("not last").select(columns).unionByName(lasts)
+    shared = F.slice("fingerprint", F.lit(1), F.col("own_part"))
+    every = found.filter("not last").withColumn("edited_fingerprint", F.concat(shared, "edited_fingerprint")).select(columns).unionByName(lasts).drop("own_part")
     return every.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint")))
 
 
