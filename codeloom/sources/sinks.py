@@ -96,3 +96,16 @@ def bundle_hash(files: DataFrame) -> DataFrame:
 def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of two schema versions in one; missing columns are null."""
     return old.unionByName(new, allowMissingColumns=True)
+
+
+def as_yaml(df: DataFrame) -> DataFrame:
+    """One column ``yaml``: each row as an item of a list, a line for each column that is not null. Values are written
+    as JSON, which YAML reads."""
+    line = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.expr(f"regexp_extract(to_json(named_struct('v', `{c}`)), '(?s)^.\"v\":(.*).$', 1)")))
+    return df.select(F.concat(F.lit("- "), F.array_join(F.array_compact(F.array(*(line(c) for c in df.columns))), "\n  ")).alias("yaml"))
+
+
+def as_text(df: DataFrame, separator: str = "\t") -> DataFrame:
+    """One column ``text``: the columns of each row, nulls as empty; separators and line feeds inside become spaces."""
+    plain = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), f"[{separator}\n]", " ") for c in df.columns]
+    return df.select(F.concat_ws(separator, *plain).alias("text"))
