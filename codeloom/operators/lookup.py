@@ -9,6 +9,10 @@ from codeloom.functions.exprs import edit_distance, max_distance, suffix_match
 from codeloom.lineage import cut
 
 
+#: So many names are sent to every task.
+FEW = 256
+
+
 def cascade(candidates: DataFrame, tiers: list[Column], key: list[str]) -> DataFrame:
     """Rows of the strictest tier that has any, for each key, with the number of the tier as ``tier``.
 
@@ -25,17 +29,25 @@ def cascade(candidates: DataFrame, tiers: list[Column], key: list[str]) -> DataF
 def by_name(inputs: DataFrame, symbols: DataFrame, name: str = "name", query: str = "query") -> DataFrame:
     """Symbols for each input name: equal, else equal but for case, else containing it.
 
-    Equal names are found with equality joins on the folded name; containment is tried only for
-    inputs that found nothing, by a join on their first three characters (fewer, if they are shorter), which
-    a name that contains them has somewhere. An empty input finds nothing.
+    Equal names are found with equality joins on the folded name, once; containment is tried only for
+    inputs that found nothing, if there are any: up to ``FEW`` of them, by their count, are sent to all names,
+    more are joined on their first three characters (fewer, if they are shorter), which a name that
+    contains them has somewhere. An empty input finds nothing.
     """
     folded = symbols.withColumn("_low", F.lower(F.col(name)))
     equal = inputs.join(folded, F.lower(F.col(query)) == F.col("_low"))
-    hit = cascade(equal, [F.col(name) == F.col(query), F.lit(True)], [query])
-    missed = inputs.join(hit.select(query).distinct(), query, "left_anti").withColumn("_gram", F.substring(F.lower(F.col(query)), 1, 3)).filter("_gram <> ''")
-    grams = F.expr("array_distinct(flatten(transform(sequence(1, 3), n -> transform(sequence(1, greatest(char_length(_low), 1)), i -> substring(_low, i, n)))))")
-    inside = missed.join(folded.withColumn("_gram", F.explode(grams)), "_gram").filter(F.col("_low").contains(F.lower(F.col(query)))).drop("_gram").withColumn("tier", F.lit(3))
-    return hit.unionByName(inside).drop("_low")
+    hit = cut(cascade(equal, [F.col(name) == F.col(query), F.lit(True)], [query]))
+    missed = cut(inputs.join(hit.select(query).distinct(), query, "left_anti").filter(F.col(query) != ""))
+    n = missed.limit(FEW + 1).count()
+    if n == 0:
+        return hit.drop("_low")
+    low = F.lower(F.col(query))
+    if n <= FEW:
+        inside = folded.join(F.broadcast(missed), F.col("_low").contains(low))
+    else:
+        grams = F.expr("array_distinct(flatten(transform(sequence(1, 3), n -> transform(sequence(1, greatest(char_length(_low), 1)), i -> substring(_low, i, n)))))")
+        inside = missed.withColumn("_gram", F.substring(low, 1, 3)).join(folded.withColumn("_gram", F.explode(grams)), "_gram").filter(F.col("_low").contains(low)).drop("_gram")
+    return hit.unionByName(inside.withColumn("tier", F.lit(3))).drop("_low")
 
 
 def routed(inputs: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import exprs as E
+from codeloom.lineage import cut
 from codeloom.literals import literal_rows
 from codeloom.operators import aggregates as A
 from codeloom.operators import graph as G
@@ -253,7 +254,7 @@ two as (select distinct o.seed, e.src node from one o join edges e on e.dst = o.
 def impact_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J6, J6m, U1, U2: callers in one hop, and in two if not in one."""
     seeds = literal_rows(spark, [(1,), (2,), (3,), (5,)], "seed long")
-    return R.two_hops(supplier_edges(Tables(spark, sf_dir)), seeds)
+    return R.two_hops(cut(supplier_edges(Tables(spark, sf_dir))), seeds)
 
 
 @query(_HOPS + """, ph as (select node k, 0 p, 'caller' h from one union select node, 1, 'transitive' from two union select s_suppkey, 2, 'peer' from supplier where s_nationkey = 3)
@@ -261,7 +262,7 @@ select k node, min(p)::int first_phase, array_to_string(list(h order by p), ',')
 def impact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phases merged by id; the first fixes the place, all leave hints."""
     t = Tables(spark, sf_dir)
-    hops = R.two_hops(supplier_edges(t), literal_rows(spark, [(1,), (2,), (3,), (5,)], "seed long"))
+    hops = R.two_hops(cut(supplier_edges(t)), literal_rows(spark, [(1,), (2,), (3,), (5,)], "seed long"))
     peers = t.supplier.filter("s_nationkey = 3").select(F.col("s_suppkey").alias("node"))
     x = R.merge_phases([("caller", hops.filter("hop = 1")), ("transitive", hops.filter("hop = 2")), ("peer", peers)], "node")
     return x.select("node", "first_phase", F.array_join("hints", ",").alias("hints"))

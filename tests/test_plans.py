@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import exprs as E
 from codeloom.operators import aggregates as A
+from codeloom.operators import lookup as L
 
 
 def percentile(values, share=0.95):
@@ -48,6 +49,20 @@ def test_no_range_holds_the_hot_group(spark):
     assert len(sizes) == 20 and max(sizes) < 3 * 40_000 / 20
 
 
+@pytest.mark.parametrize("few", [0, 2, 256])
+def test_names_that_are_missed(spark, monkeypatch, few):
+    """Few missed names and many take other ways and give the same."""
+    monkeypatch.setattr(L, "FEW", few)
+    names, asked = ["Alpha", "alpha", "betaAlphaX", "İx", "ab", "", "zz"], ["alpha", "ALPHA", "phax", "b", "zzz", "", "AX", "ab"]
+    inputs, table = (spark.createDataFrame([(v,) for v in vs], f"{c} string") for c, vs in (("query", asked), ("name", names)))
+
+    def want(q):
+        tiers = [[n for n in names if n == q], [n for n in names if n.lower() == q.lower()], [n for n in names if q.lower() in n.lower()] if q else []]
+        return next(({(q, n, k + 1) for n in t} for k, t in enumerate(tiers) if t), set())
+
+    assert {(r.query, r.name, r.tier) for r in L.by_name(inputs, table).collect()} == set().union(*map(want, asked))
+
+
 def test_suffixes_are_what_suffix_match_finds(spark):
     paths, asked = ["a/b/c", "c", "xc", "b/c", "a//c", "", "c/"], ["c", "b/c", "a/b/c", "x", "", "/c"]
     df = spark.createDataFrame([(p, q) for p in paths for q in asked], "p string, q string")
