@@ -44,6 +44,8 @@ SKETCH_BITS, SKETCH_LIMIT = 128, 36
 #: Places of the parity sketch: whether an odd number of a set's hashes fall there.
 PARITY_BITS = 2048
 STAR_ROUNDS = 2
+#: Rows to leave out, of 17 bytes each, that are sent to all tasks.
+FEW_MARKS = 500_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -276,8 +278,9 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     stays = F.struct(F.col("_id").alias("doc_id"), F.col("_th").alias("th")) == F.col("head")
     marks = stash(keys.join(heads, "comp").select("_id", "_th", stays.alias("_stays"), "copies").filter("not _stays or copies > 1").drop("copies"), "marks")
     same = lambda m: (docs[id_col].cast("long") == m["_id"]) & (F.xxhash64(docs[text_col]) == m["_th"])
-    # rows are dealt by id and text at every size, not just where the marks are too many to be sent to all
-    out = docs.join(marks.hint("merge"), same(marks), "left_anti")
+    # few marks, by their count, go to the texts; for more both are dealt by id and text
+    few = marks.limit(FEW_MARKS + 1).count() <= FEW_MARKS
+    out = docs.join(F.broadcast(marks) if few else marks.hint("merge"), same(marks), "left_anti")
     repeated = stash(marks.filter("_stays"), "repeated")
     if repeated.isEmpty():
         return out

@@ -631,8 +631,10 @@ def test_signature_estimates_similarity():
     assert abs((x == y).mean() - 900 / 1100) < 0.06
 
 
-def test_texts_under_one_id(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_texts_under_one_id(spark, monkeypatch, few):
     """Ids that repeat with other texts: each text is a document of its own, and goes with none of its id's other texts."""
+    monkeypatch.setattr(op9_minhash, "FEW_MARKS", few)
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
     near = lambda t, k: t + f" end{k}"
     cases = [
