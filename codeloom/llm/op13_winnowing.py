@@ -165,7 +165,8 @@ def _beside(rows: DataFrame) -> DataFrame:
     cut, head = F.char_length("text") - half, F.least(half, F.char_length("after"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), cut), F.substring(F.col("after"), F.lit(1), half))
     prints = spliced(F.col("text"), F.col("fingerprint"), F.col("after"), F.col("after_print"), cut, head)
-    own_part = F.size(_within(F.col("fingerprint"), cut - (K + WINDOW - 2), WINDOW))  # these begin both fingerprints
+    # these begin both fingerprints; lengths are bound before they enter a lambda, which would count them for each print
+    own_part = _let(cut - (K + WINDOW - 2), lambda windows: F.size(_within(F.col("fingerprint"), windows, WINDOW)))
     return rows.withColumns({"own_part": own_part, "edited_sha256": F.sha2(edited, 256), "edited_fingerprint": prints, "near_next": likeness(F.col("fingerprint"), F.col("after_print"))})
 
 
