@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from codeloom.lineage import shared_folder
 from codeloom.literals import literal_rows
 from codeloom.operators import listings as M
-from codeloom.plans.indexed import SYM, Code
+from codeloom.plans.indexed import IMP, SYM, Code
 from codeloom.plans.registry import Tables, query
 from codeloom.plans.rules import RL, RR, RS, Rules
-from codeloom.sources import sinks, snapshots
+from codeloom.sources import readers, sinks, snapshots
 
 _MEMBERS = f"""{SYM}, ty as (select id, name t, file_path, line_start, line_end from sym where kind = 'struct'), m as (select ty.id type_id, 'method' member, s.name, s.line_start line from ty join sym s on s.kind = 'method' and regexp_extract(receiver, '([A-Z][0-9]+)', 1) = t
  union all select ty.id, 'field', s.name, s.line_start from ty join sym s on s.kind = 'field' and s.file_path = ty.file_path and s.line_start between ty.line_start and ty.line_end
@@ -74,3 +74,38 @@ def replaced_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("double").alias("score")
     rows = [x.select(F.lit(n).alias("table"), "a", "b", "score" if n == "churn" else none) for n, x in found.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+MANIFEST = """# of @
+version: 1
+rules:
+  - name: "inner @"   # quoted
+    from: mod/internal/brand@
+    to: 'mod/brand@'
+    kinds: [call, "ref"]
+    allow:
+      - _gen.go
+      - "_mock.go"
+  - from: mod/brand@
+    name: one way @
+    to: mod/brand1
+    include_tests: true
+  - name: no end
+    from: x
+other:
+  - name: none
+    from: a
+    to: b
+"""
+
+
+@query(f"""with {SYM}, {IMP}, r(name, f, t, kinds, allow, tests, place) as (select 'inner ' || n_nationkey, 'mod/internal/brand' || n_nationkey, 'mod/brand' || n_nationkey, 'call,ref', '_gen.go,_mock.go', false, 1 from nation union all select 'one way ' || n_nationkey, 'mod/brand' || n_nationkey, 'mod/brand1', '', '', true, 2 from nation),
+e as (select distinct importer_pkg, pkg_path from imp) select name "rule", place::int place, kinds, allow, tests include_tests, count(e.pkg_path)::bigint n_edges from r left join e on importer_pkg = f and pkg_path = t group by all""")
+def manifest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC20, C17: the rules that manifests hold, each with the imports that it forbids."""
+    c = Code(spark, sf_dir)
+    files = c.t.nation.select(F.col("n_nationkey").cast("string").alias("path"), F.replace(F.lit(MANIFEST), F.lit("@"), F.col("n_nationkey").cast("string")).alias("text"))
+    edges = c.imp.select(F.col("importer_pkg").alias("from_grp"), F.col("pkg_path").alias("to_grp")).distinct().withColumn("hit", F.lit(1))
+    x = readers.manifest_rules(files).join(edges, ["from_grp", "to_grp"], "left")
+    joined = [F.array_join(n, ",").alias(n) for n in ("kinds", "allow")]
+    return x.groupBy("rule", "place", *joined, "include_tests").agg(F.count("hit").alias("n_edges"))

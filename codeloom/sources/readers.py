@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.literals import literal_rows
@@ -114,3 +114,24 @@ def literals(lines: DataFrame) -> DataFrame:
 def rules(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
     """Boundary rules ``rule, from_grp, to_grp`` from a parsed manifest, a short list."""
     return literal_rows(spark, rows, "rule string, from_grp string, to_grp string")
+
+
+def manifest_rules(files: DataFrame) -> DataFrame:
+    """``path, place, rule, from_grp, to_grp, kinds, allow, include_tests`` of the items of the list ``rules`` in YAML manifests
+    ``(path, text)``: plain and quoted values, lists in brackets or in lines of their own, comments from a ``#`` that stands
+    alone. Items without both ends stay out; places count from 1; a manifest without rules, or null, has none."""
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\r", ""), r"(?m)(^|[ \t])#[^\n]*", "")
+    section = F.regexp_extract(text, r"(?ms)^rules:[ \t]*\n(.*?)(?=^[^\s-]|\z)", 1)
+    items = F.slice(F.split(section, r"(?m)^[ \t]*-[ \t]+(?=\w+:)"), 2, 1 << 30)
+    item = F.col("item")
+    bare = lambda x: F.regexp_replace(F.trim(x), r"""^(["'])(.*)\1$""", "$2")
+    value = lambda key: bare(F.regexp_extract(item, rf"(?m)^[ \t]*{key}:[ \t]*([^\n\[]*)$", 1))
+
+    def values(key: str) -> Column:
+        row = F.split(F.regexp_extract(item, rf"(?m)^[ \t]*{key}:[ \t]*\[([^\]]*)\]", 1), ",")
+        lines = F.regexp_extract_all(F.regexp_extract(item, rf"(?m)^[ \t]*{key}:[ \t]*\n((?:[ \t]*-[^\n]*(?:\n|\z))*)", 1), F.lit(r"(?m)^[ \t]*-[ \t]*([^\n]*)$"), 1)
+        return F.filter(F.transform(F.concat(row, lines), bare), lambda x: x != "")
+
+    x = files.select("path", F.posexplode(items).alias("place", "item"))
+    x = x.select("path", (F.col("place") + 1).alias("place"), value("name").alias("rule"), value("from").alias("from_grp"), value("to").alias("to_grp"), values("kinds").alias("kinds"), values("allow").alias("allow"), (value("include_tests") == "true").alias("include_tests"))
+    return x.filter("from_grp <> '' and to_grp <> ''")
