@@ -70,3 +70,14 @@ def test_emitted_texts_can_be_read(spark):
         fields = dict(line.strip().split(": ", 1) for line in item[2:].split("\n") if line.strip())
         assert {k: json.loads(v) for k, v in fields.items()} == {k: v for k, v in zip("sndb", row, strict=True) if v is not None}
     assert [r.text for r in sinks.as_text(df).collect()] == ["a\"b c\t1\t\ttrue", "é \t\t2.5\tfalse", "\t\t\t"]
+
+
+def test_manifests(spark):
+    from codeloom.sources import readers
+
+    texts = {
+        "a": "version: 1\nrules:\n- name: r1 # why\n  from: a/b\n  to: \"c d\"\n  kinds: [x, 'y z', ]\n- to: t\n  from: f\n  allow:\n  - one\n  - \"two\"\n  include_tests: true\nlayers:\n- from: no\n  to: no\n",
+        "b": "rules:\r\n    - from: x\r\n      to: y\r\n", "c": "rules:\n", "d": "components: {}\n", "e": None, "f": "rules:\n  - name: only\n    to: y\n  - from: p\n    to: q#r\n",
+    }
+    got = sorted((r.path, r.place, r.rule, r.from_grp, r.to_grp, r.kinds, r.allow, r.include_tests) for r in readers.manifest_rules(spark.createDataFrame(list(texts.items()), "path string, text string")).collect())
+    assert got == [("a", 1, "r1", "a/b", "c d", ["x", "y z"], [], False), ("a", 2, "", "f", "t", [], ["one", "two"], True), ("b", 1, "", "x", "y", [], [], False), ("f", 2, "", "p", "q#r", [], [], False)]
