@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .op7_secrets import op7_randomness_secrets
 from .op8_quality import judge
+from .op13_winnowing import BASE, JOIN, K, LARGE, PRIME, WINDOW
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -55,6 +56,22 @@ o as (select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0) value,
  union all select lang, source, 'term', term, ((p - q) * (p - q)) // (p + q), 10 from p where n > 0 and p > q)
 select lang, source, part, item, value::bigint value, (row_number() over w)::int rank from o window w as (partition by lang, source, part order by value desc, item) qualify row_number() over w <= top"""
 
+# a row for each code point of each text and edited text; hashes of 2, 4, 8 and 16 code points, the least of 49
+_TIMES = [pow(BASE, n, PRIME) for n in (1, 2, 4)]
+OP13 = f"""
+with d as (select doc_id, coalesce(text, '') t, coalesce(lead(coalesce(text, '')) over w, first_value(coalesce(text, '')) over w) nx, coalesce(lead(doc_id) over w, first_value(doc_id) over w) nid from documents window w as (order by doc_id desc)),
+e as materialized (select doc_id, nid, t, length(t)::bigint n, left(t, length(t) - length(t) // 2) || left(nx, length(t) // 2) ed from d), x as (select doc_id, 0 v, t s from e union all select doc_id, 1, ed from e),
+c as (select doc_id, v, unnest(range(len(l))) i, unnest(list_transform(l, lambda z: unicode(z)::bigint)) c from (select doc_id, v, string_split(s, '') l from x where s <> '') union all select doc_id, v, -j, 0 from (select doc_id, v, length(s) n from x where s <> ''), range(1, {K}) u(j) where j <= {K} - n),
+h2 as (select *, (c * {_TIMES[0]} + lead(c, 1) over w) % {PRIME} h from c window w as (partition by doc_id, v order by i)), h4 as (select doc_id, v, i, (h * {_TIMES[1]} + lead(h, 2) over w) % {PRIME} h from h2 window w as (partition by doc_id, v order by i)),
+h8 as (select doc_id, v, i, (h * {_TIMES[2]} + lead(h, 4) over w) % {PRIME} h from h4 window w as (partition by doc_id, v order by i)), g as (select doc_id, v, greatest(i, 0) p, (h * {JOIN} + lead(h, 8) over w) % {LARGE} h from h8 window w as (partition by doc_id, v order by i)),
+m as (select doc_id, v, row_number() over w r, count(*) over (partition by doc_id, v) n, min(h::hugeint * 4294967296 + (4294967295 - p)) over (w rows between current row and {WINDOW - 1} following) m from g where h is not null window w as (partition by doc_id, v order by p)),
+f as materialized (select distinct doc_id, v, (m // 4294967296)::bigint h, (4294967295 - m % 4294967296)::bigint p from m where r <= greatest(1, n - {WINDOW - 1})), s as materialized (select distinct doc_id, v, h from f), k as (select doc_id, v, count(*) n from s group by 1, 2),
+w as (select doc_id, v, string_agg(lower(hex(h)) || ':' || p, ',' order by p) w from f group by 1, 2),
+b as (select e.doc_id, 1 q, count(*) n from e join s a on a.doc_id = e.doc_id and a.v = 0 join s b on b.doc_id = e.doc_id and b.v = 1 and b.h = a.h group by 1 union all select e.doc_id, 0, count(*) from e join s a on a.doc_id = e.doc_id and a.v = 0 join s b on b.doc_id = e.nid and b.v = 0 and b.h = a.h group by 1),
+z as (select e.*, coalesce(k0.n, 0) a, coalesce(k1.n, 0) b, coalesce(k2.n, 0) c, coalesce(b1.n, 0) ab, coalesce(b0.n, 0) ac from e left join k k0 on k0.doc_id = e.doc_id and k0.v = 0 left join k k1 on k1.doc_id = e.doc_id and k1.v = 1 left join k k2 on k2.doc_id = e.nid and k2.v = 0 left join b b1 on b1.doc_id = e.doc_id and b1.q = 1 left join b b0 on b0.doc_id = e.doc_id and b0.q = 0)
+select z.doc_id, n n_chars, sha256(ed) edited_sha256, coalesce(w0.w, '') fingerprint, coalesce(w1.w, '') edited_fingerprint, case when a + b = 0 then 1.0 else ab / (a + b - ab) end::double near_edited, case when a + c = 0 then 1.0 else ac / (a + c - ac) end::double near_next
+from z left join w w0 on w0.doc_id = z.doc_id and w0.v = 0 left join w w1 on w1.doc_id = z.doc_id and w1.v = 1"""
+
 QUALITY = f"""
 with d as (select doc_id, coalesce(text, '') t from documents), w as materialized (select doc_id, t, regexp_extract_all(t, '{_WORD}') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) l from d),
 g as (select doc_id, i, array_to_string(w[i:i + 4], ' ') g from w, unnest(range(1, len(w) - 3)) t(i)), r as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) c from g) where c > 1), m as (select doc_id, count(distinct i + j) n from r, range(5) t(j) group by 1)
@@ -77,4 +94,4 @@ def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_randomness_secrets(spark, sf_dir).select("doc_id", F.col("n_assign"), F.col("n_access"), F.col("n_hex"))
 
 
-ORACLES = {"op3_minimax_shards": OP3, "op9_circulant_minhash": OP9, "op11_source_divergence": OP11, "quality_base_counts": QUALITY, "secret_base_counts": SECRETS}
+ORACLES = {"op3_minimax_shards": OP3, "op9_circulant_minhash": OP9, "op11_source_divergence": OP11, "op13_winnowing": OP13, "quality_base_counts": QUALITY, "secret_base_counts": SECRETS}
