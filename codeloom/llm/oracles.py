@@ -56,6 +56,19 @@ o as (select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0) value,
  union all select lang, source, 'term', term, ((p - q) * (p - q)) // (p + q), 10 from p where n > 0 and p > q)
 select lang, source, part, item, value::bigint value, (row_number() over w)::int rank from o window w as (partition by lang, source, part order by value desc, item) qualify row_number() over w <= top"""
 
+# a run of 24 words or more and three periods matches itself a period on for 16 words or more, so equal 16-grams give all
+OP12 = f"""
+with recursive f(i, k, c) as (select i, 0, i from range(256) t(i) union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from f where k < 8), tab as materialized (select list(c order by i) tab from f where k = 8),
+d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') w, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda z: unicode(z)::bigint)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) h from documents, tab),
+e as (select doc_id, w, len(w) n, h % 10 = 0 and len(w) > 0 again, case when len(w) > 0 then (h // 10) % len(w) end a, 3 + (h // 10) % 8 parts from d), t as (select *, 1 + (n - a) // parts p from e),
+w as materialized (select doc_id, i, case when again and i >= a then w[a + (i - a) % p + 1] else w[i + 1] end x from t, unnest(range(n)) u(i)), l as (select doc_id, list(x order by i) l from w group by 1),
+g as materialized (select doc_id, i, array_to_string(l[i + 1:i + 16], ' ') g from l, unnest(range(len(l) - 15)) u(i)), m as (select a.doc_id, b.i - a.i p, a.i from g a join g b on a.doc_id = b.doc_id and a.g = b.g and a.i < b.i),
+o as (select doc_id, p, i, i - row_number() over (partition by doc_id, p order by i) k from m), r as (select doc_id, p, min(i) s, max(i) - min(i) + 16 + p n from o group by doc_id, p, k), c as materialized (select * from r where n >= greatest(24, 3 * p)),
+z as materialized (select * from c where not exists (select 1 from c q where q.doc_id = c.doc_id and q.p < c.p and q.s <= c.s and q.s + q.n >= c.s + c.n)),
+y as (select doc_id, count(*) k, string_agg(s || ',' || n || ',' || p || chr(10), '' order by s, p) v from z group by 1), b as (select * from z qualify row_number() over (partition by doc_id order by n::double / p desc, s, p) = 1), x as (select distinct doc_id, unnest(range(s + p, s + n)) i from z),
+j as (select w.doc_id, string_agg(x, ' ' order by w.i) v from w left join x using (doc_id, i) where x.doc_id is null group by 1)
+select d.doc_id, coalesce(k, 0)::bigint n_runs, s::bigint "start", n::bigint length, p::bigint period, (1000 * n // p)::bigint exponent_milli, sha256(coalesce(y.v, '')) runs_sha256, sha256(coalesce(j.v, '')) collapsed_sha256 from d left join y using (doc_id) left join b using (doc_id) left join j using (doc_id)"""
+
 # a row for each code point of each text and edited text; hashes of 2, 4, 8 and 16 code points, the least of 49
 _TIMES = [pow(BASE, n, PRIME) for n in (1, 2, 4)]
 OP13 = f"""
@@ -94,4 +107,4 @@ def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_randomness_secrets(spark, sf_dir).select("doc_id", F.col("n_assign"), F.col("n_access"), F.col("n_hex"))
 
 
-ORACLES = {"op3_minimax_shards": OP3, "op9_circulant_minhash": OP9, "op11_source_divergence": OP11, "op13_winnowing": OP13, "quality_base_counts": QUALITY, "secret_base_counts": SECRETS}
+ORACLES = {"op3_minimax_shards": OP3, "op9_circulant_minhash": OP9, "op11_source_divergence": OP11, "op12_periodic_runs": OP12, "op13_winnowing": OP13, "quality_base_counts": QUALITY, "secret_base_counts": SECRETS}
