@@ -12,7 +12,7 @@ A text is cut into pieces by one pass of a pattern; each piece is hashed with th
 its last window needs of the next piece. Where a text is put together from parts of two others, only
 the windows over the seam are hashed, as all others are windows of the parts. So the work is linear in the text's length, and the arrays
 of a row in hand are those of a piece; a row holds its text and its fingerprint, about one value for
-25 code points. Hashes have 51 bits; two texts are compared by the Jaccard similarity of their hashes.
+25 code points. Hashes have 50 bits; two texts are compared by the Jaccard similarity of their hashes.
 
 ``successive`` compares each document with the next one in descending order of ids. Documents are
 dealt to ranges of the order in buckets of ``2 ** BUCKET_BITS`` ids, so one shuffle of the texts brings the
@@ -38,9 +38,9 @@ from .common import numbered, stash
 #: Code points of a gram, and grams of a window.
 K, WINDOW = 16, 49
 #: Hashes of parts of a gram are polynomials in ``BASE`` modulo ``PRIME``; those of grams join two parts modulo ``LARGE``.
-PRIME, BASE, LARGE, JOIN = (1 << 31) - 1, 1_000_003, (1 << 51) - 129, 1_640_531_527
+PRIME, BASE, LARGE, JOIN = (1 << 31) - 1, 1021, (1 << 50) - 27, 1_640_531_527
 #: Code points of a piece, bits of a place within a piece beside its value.
-PIECE, PLACE_BITS = 1024, 11
+PIECE, PLACE_BITS = 2048, 12
 #: A bucket has 2 ** this many ids.
 BUCKET_BITS = 8
 
@@ -55,6 +55,8 @@ def _hashes(codes: Column, n: int) -> Column:
     gram are null."""
     if n == 1:
         return codes
+    if n == 4:  # small enough for one step: below 2 ** 52
+        return F.transform(codes, lambda x, i: (((x * BASE + F.get(codes, i + 1)) * BASE + F.get(codes, i + 2)) * BASE + F.get(codes, i + 3)) % PRIME)
     left, right = (n // 2, n // 2) if n % 2 == 0 else (n - 1, 1)
     times = pow(BASE, right, PRIME)
     rest = (lambda known: known) if left == right else (lambda known: codes)
