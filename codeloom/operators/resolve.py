@@ -86,8 +86,13 @@ def entry_details(symbols: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame
 def interface_map(interfaces: DataFrame, needed: DataFrame, implementers: DataFrame, limit: int = 15) -> DataFrame:
     """``interface_id, name, n_methods, n_impl``: interfaces with an implementer and two methods or two implementers at least, the
     first ``limit`` by name, then id. ``needed`` and ``implementers`` have a row for each method and type."""
-    m = needed.select("interface_id", F.col("name").alias("_m")).distinct().groupBy("interface_id").agg(F.count(F.lit(1)).alias("n_methods"))
     i = implementers.select("interface_id", "type_id").distinct().groupBy("interface_id").agg(F.count(F.lit(1)).alias("n_impl"))
+    return interface_map_of_counts(interfaces, needed, i, limit)
+
+
+def interface_map_of_counts(interfaces: DataFrame, needed: DataFrame, i: DataFrame, limit: int = 15) -> DataFrame:
+    """``interface_map`` of implementers that are counted: ``i (interface_id, n_impl)``."""
+    m = needed.select("interface_id", F.col("name").alias("_m")).distinct().groupBy("interface_id").agg(F.count(F.lit(1)).alias("n_methods"))
     x = interfaces.select(F.col("id").alias("interface_id"), "name").join(i, "interface_id").join(m, "interface_id", "left").na.fill(0, ["n_methods"])
     return x.filter("n_methods >= 2 or n_impl >= 2").orderBy("name", "interface_id").limit(limit)
 

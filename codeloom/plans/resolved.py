@@ -104,7 +104,7 @@ def interface_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = c.sym.filter("kind = 'method'").select(E.receiver_type(F.col("receiver")).alias("_t"), "pkg_path", "name").distinct()
     faces = c.sym.filter("kind = 'interface'")
     needed = faces.select(F.col("id").alias("interface_id"), "pkg_path", F.concat(F.lit("T"), (F.col("k") % 7).cast("string")).alias("_t")).join(methods, ["_t", "pkg_path"]).select("interface_id", "name")
-    return V.interface_map(faces, needed, R.implementers(c.sym, needed))
+    return V.interface_map_of_counts(faces, needed, R.implementer_counts(c.sym, needed))
 
 
 @query("""with r as (select event_type metric, user_id run, sum(value) v from events group by 1, 2), m as (select metric, count(*) n, avg(v) mean from r group by 1) select metric, n::bigint n_runs, round(mean, 6) mean, round(100 * mean / sum(mean) over (), 6) share from m""")

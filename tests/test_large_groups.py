@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import graph as G
+from codeloom.operators import relations as R
 
 
 def table(spark, rows, ddl):
@@ -26,3 +27,26 @@ def test_fan_out_of_many_callers_and_types_is_not_written_out(spark):
     types = spark.range(1000000).select(F.lit("x").alias("interface_id"), F.col("id").alias("type_id"))
     got = G.fan_out_counts(sites, table(spark, [("x", "m")], "interface_id string, name string"), types)
     assert got.agg(F.sum("n_edges")).first()[0] == 10**12
+
+
+SYMBOL = "id string, name string, kind string, receiver string, pkg_path string"
+
+
+def test_implementer_counts_equal_their_rows(spark):
+    have = {"A": "mn", "B": "mno", "C": "o"}
+    rows = [(f"{t}{p}{m}", m, "method", f"(*{t})", p) for t, ms in have.items() for p in ("p", "q") for m in ms if (t, p) != ("A", "q")]
+    rows += [(f"t{t}{p}{k}", t, "struct", None, p) for t in "ABCD" for p in ("p", "q") for k in range(2)]
+    asked = [("i", "m"), ("i", "n"), ("i", "n"), ("j", "n"), ("j", "m"), ("k", "o"), ("l", "none"), ("l", "m"), ("u", "m"), ("u", None)]
+    s, need = table(spark, rows, SYMBOL), table(spark, asked, "interface_id string, name string")
+    want = Counter(r.interface_id for r in R.implementers(s, need).collect())
+    assert want == {"i": 6, "j": 6, "k": 8}
+    assert {r.interface_id: r.n_impl for r in R.implementer_counts(s, need).collect()} == want
+
+
+def test_many_interfaces_of_one_set_are_met_once(spark):
+    """200,000 interfaces, each with 200,000 types."""
+    n = 200000
+    types = spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit("T").alias("name"), F.lit("struct").alias("kind"), F.lit(None).cast("string").alias("receiver"), F.lit("p").alias("pkg_path"))
+    s = types.unionByName(table(spark, [("m", "m", "method", "(T)", "p")], SYMBOL))
+    got = R.implementer_counts(s, spark.range(n).select(F.col("id").alias("interface_id"), F.lit("m").alias("name")))
+    assert got.agg(F.count("*"), F.sum("n_impl")).first()[:] == (n, n * n)
