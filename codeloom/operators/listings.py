@@ -10,20 +10,53 @@ from codeloom.operators.facts import embeds
 from codeloom.operators.relations import LINES, overlapping
 
 
+#: Chunks that the methods of a receiver name are dealt to, so that a common name is spread over tasks.
+CHUNKS = 64
+
+
 def type_members(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """``type_id, member, name, line``: the methods of each type by the name of their receiver, whatever their package, the
-    fields declared inside it, and the types that it embeds, by references inside it whose line names just a type."""
-    types = symbols.filter(F.col("kind").isin("struct", "type")).select(F.col("id").alias("type_id"), F.col("name").alias("_t"), "file_path", "line_start", "line_end")
-    methods = symbols.filter("kind = 'method'").select(receiver_type(F.col("receiver")).alias("_t"), "name", F.col("line_start").alias("line"))
-    of_methods = types.join(methods, "_t").select("type_id", F.lit("method").alias("member"), "name", "line")
-    inside = lambda rows: overlapping(types.select("type_id", "file_path", "line_start", "line_end"), rows.withColumn("_to", F.col("line")), ["file_path"], ("line_start", "line_end"), ("line", "_to"), LINES)
-    fields = inside(symbols.filter("kind = 'field'").select("file_path", "name", F.col("line_start").alias("line")))
-    named = symbols.filter(F.col("kind").isin("struct", "type", "interface")).select(F.col("id").alias("symbol_id"), "name")
-    held = inside(refs.join(named, "symbol_id").filter(embeds(F.col("snippet"), F.col("name"))).select("file_path", "name", "line"))
+    fields declared inside it, and the types that it embeds, by references inside it whose line names just a type. Methods of
+    a name meet the types in chunks: their pairs are the result, and no task holds all of a name's."""
+    types = _types(symbols)
+    methods = symbols.filter("kind = 'method'").select(receiver_type(F.col("receiver")).alias("_t"), "name", F.col("line_start").alias("line"), F.pmod(F.xxhash64("id"), F.lit(CHUNKS)).cast("int").alias("_c"))
+    dealt = types.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))))
+    of_methods = dealt.join(methods, ["_t", "_c"]).select("type_id", F.lit("method").alias("member"), "name", "line")
+    fields = _inside(types.select("type_id", "file_path", "line_start", "line_end"), _fields(symbols))
+    held = _inside(types.select("type_id", "file_path", "line_start", "line_end"), _embedded(symbols, refs))
     row = lambda x, member: x.select("type_id", F.lit(member).alias("member"), "name", "line")
     return of_methods.unionByName(row(fields, "field")).unionByName(row(held, "embed"))
 
 
+def type_richness(symbols: DataFrame, refs: DataFrame) -> DataFrame:
+    """``type_id, richness``: the ``richness`` of ``type_members``, without its rows: names are counted once for each name of a
+    receiver and for each distinct range of lines, then met with the types that have these. Ids of types are unique."""
+    types = _types(symbols)
+    methods = symbols.filter("kind = 'method'").select(receiver_type(F.col("receiver")).alias("_t"), "name").distinct().groupBy("_t").agg(F.count(F.lit(1)).alias("_m"))
+    place = ["file_path", "line_start", "line_end"]
+    rows = _fields(symbols).distinct().withColumn("_member", F.lit(1)).unionByName(_embedded(symbols, refs).distinct().withColumn("_member", F.lit(2)))
+    held = _inside(types.select(*place).distinct(), rows).select(*place, "_member", "name").distinct().groupBy(*place).agg(F.count(F.lit(1)).alias("_h"))
+    x = types.join(methods, "_t", "left").join(held, place, "left").select("type_id", (F.coalesce("_m", F.lit(0)) + F.coalesce("_h", F.lit(0))).cast("long").alias("richness"))
+    return x.filter("richness > 0")
+
+
+def _types(symbols: DataFrame) -> DataFrame:
+    return symbols.filter(F.col("kind").isin("struct", "type")).select(F.col("id").alias("type_id"), F.col("name").alias("_t"), "file_path", "line_start", "line_end")
+
+
+def _fields(symbols: DataFrame) -> DataFrame:
+    return symbols.filter("kind = 'field'").select("file_path", "name", F.col("line_start").alias("line"))
+
+
+def _embedded(symbols: DataFrame, refs: DataFrame) -> DataFrame:
+    named = symbols.filter(F.col("kind").isin("struct", "type", "interface")).select(F.col("id").alias("symbol_id"), "name")
+    return refs.join(named, "symbol_id").filter(embeds(F.col("snippet"), F.col("name"))).select("file_path", "name", "line")
+
+
+def _inside(ranges: DataFrame, rows: DataFrame) -> DataFrame:
+    return overlapping(ranges, rows.withColumn("_to", F.col("line")), ["file_path"], ("line_start", "line_end"), ("line", "_to"), LINES)
+
+
 def richness(members: DataFrame) -> DataFrame:
     """``type_id, richness``: members of all three kinds, each name once."""
     return members.select("type_id", "member", "name").distinct().groupBy("type_id").agg(F.count(F.lit(1)).alias("richness"))

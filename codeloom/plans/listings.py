@@ -18,26 +18,26 @@ _MEMBERS = f"""{SYM}, ty as (select id, name t, file_path, line_start, line_end
  union all select ty.id, 'embed', e.name, r.line from (select 's' || l_partkey symbol_id, f.file_path, (f.line_start + l_linenumber)::int line, l_linenumber n from lineitem join sym f on f.k = l_suppkey) r join sym e on e.id = r.symbol_id and e.kind in ('struct', 'interface') and n % 3 < 2 join ty on ty.file_path = r.file_path and r.line between ty.line_start and ty.line_end)"""
 
 
-def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _types(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = Code(spark, sf_dir)
     own = c.sym.select(F.col("k").alias("l_suppkey"), "file_path", "line_start")
     target = c.sym.select(F.col("k").alias("l_partkey"), F.col("id").alias("symbol_id"), F.col("name").alias("_n"))
     n = F.col("l_linenumber") % 3
     snippet = F.when(n == 0, F.concat(F.lit("*pkg."), "_n")).when(n == 1, F.concat("_n", F.lit(" //x"))).otherwise(F.concat(F.lit("f "), "_n"))
     refs = c.t.lineitem.select("l_partkey", "l_suppkey", "l_linenumber").join(own, "l_suppkey").join(target, "l_partkey").select("symbol_id", "file_path", (F.col("line_start") + F.col("l_linenumber")).cast("int").alias("line"), snippet.alias("snippet"))
-    return M.type_members(c.sym, refs)
+    return c.sym, refs
 
 
 @query(f"with {_MEMBERS} select type_id, member, name, line::int line from m")
 def type_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods, fields and embedded types of each type."""
-    return _members(spark, sf_dir)
+    return M.type_members(*_types(spark, sf_dir))
 
 
 @query(f"with {_MEMBERS} select type_id, count(*)::bigint richness from (select distinct type_id, member, name from m) group by 1")
 def type_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many methods, fields and embedded types each type has."""
-    return M.richness(_members(spark, sf_dir))
+    return M.type_richness(*_types(spark, sf_dir))
 
 
 FILTERS = [("all", "DeleteRow", None, None, None), ("kind", "NewStore", "func", None, None), ("file", "T1Reader", None, "/f2.go", None), ("package", "Query", None, None, "app/brand1"), ("every", "T0", "struct", ".go", "app/brand2"), ("none", "no such", None, None, None)]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import graph as G
+from codeloom.operators import listings as M
 from codeloom.operators import relations as R
 
 
@@ -50,3 +51,31 @@ def test_many_interfaces_of_one_set_are_met_once(spark):
     s = types.unionByName(table(spark, [("m", "m", "method", "(T)", "p")], SYMBOL))
     got = R.implementer_counts(s, spark.range(n).select(F.col("id").alias("interface_id"), F.lit("m").alias("name")))
     assert got.agg(F.count("*"), F.sum("n_impl")).first()[:] == (n, n * n)
+
+
+TYPE = "id string, name string, kind string, receiver string, file_path string, line_start int, line_end int"
+
+
+def test_richness_of_types_equals_that_of_their_members(spark):
+    rows = [(f"t{k}", "TU"[k % 2], "struct", None, f"f{k % 3}", k, k + 40 * (k % 4)) for k in range(24)] + [("v", "V", "struct", None, "g", 1, 1), ("n", None, "type", None, None, None, None)]
+    rows += [(f"m{k}", f"n{k % 5}", "method", "(*T)" if k % 3 else "(W)", "h", k, k) for k in range(20)]
+    rows += [(f"d{k}", f"n{k % 4}", "field", None, f"f{k % 3}", 5 * k, 5 * k) for k in range(30)]
+    s = table(spark, rows, TYPE)
+    refs = table(spark, [(f"t{k % 24}", f"f{k % 3}", 3 * k, "TU"[k % 2] if k % 4 else "x y") for k in range(60)], "symbol_id string, file_path string, line int, snippet string")
+    want = {r.type_id: r.richness for r in M.richness(M.type_members(s, refs)).collect()}
+    assert {r.type_id: r.richness for r in M.type_richness(s, refs).collect()} == want and len(want) > 12 and "v" not in want
+
+
+def test_methods_of_a_common_receiver_are_spread(spark):
+    """A type name with 2,000 types and 2,000 methods: their pairs are in many tasks and in no task all."""
+    n = 2000
+    row = lambda p, name, kind, receiver: spark.range(n).select(F.concat(F.lit(p), F.col("id").cast("string")).alias("id"), F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(receiver).cast("string").alias("receiver"), F.lit("f").alias("file_path"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
+    refs = table(spark, [], "symbol_id string, file_path string, line int, snippet string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in M.type_members(row("t", "T", "struct", None).unionByName(row("m", "m", "method", "(T)")), refs).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == n * n and max(sizes) < n * n
