@@ -79,3 +79,28 @@ def test_methods_of_a_common_receiver_are_spread(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == n * n and max(sizes) < n * n
+
+
+def test_least_enclosing_by_brute_force(spark):
+    spans = [("f" if k % 3 else "g", k * 7 % 60 - 9, k * 7 % 60 - 9 + k * k % 37 - 1, f"i{k:02}") for k in range(60)]
+    points = [(f, n) for f in "fgh" for n in range(-15, 110)]
+    got = R.least_enclosing(table(spark, points * 2, "f string, n int"), table(spark, spans, "f string, s int, e int, id string"), ["f"], "n", "s", "e", F.struct((F.col("e") - F.col("s")).alias("d"), "s", "id"))
+    want = {(f, n): min((e - s, s, i) for g, s, e, i in spans if g == f and s <= n <= e) for f, n in points if any(g == f and s <= n <= e for g, s, e, _ in spans)}
+    assert {(r.f, r.n): tuple(r._best) for r in got.collect()} == want
+
+
+def many_scopes(spark, n):
+    k = F.col("id")
+    s = spark.range(n).select(F.format_string("s%07d", k).alias("id"), F.lit("x").alias("name"), F.lit("func").alias("kind"), F.lit("f").alias("file_path"), (k % 5).cast("int").alias("line_start"), (k % 5 + 10).cast("int").alias("line_end"))
+    return s.withColumns({"name_line": F.lit(7), "name_col": F.lit(3), "col_start": F.lit(1), "col_end": F.lit(1)})
+
+
+def test_a_line_inside_all_scopes_of_a_hot_file(spark):
+    """300,000 points of one file, each inside 300,000 scopes and beside as many names."""
+    n = 300000
+    s = many_scopes(spark, n)
+    points = spark.range(n).select(F.col("id").alias("point_id"), F.lit("f").alias("file_path"), F.lit(7).alias("line"), F.lit(2).alias("col"))
+    found = R.enclosing_or_next(points.drop("col"), s)
+    assert [tuple(r) for r in found.groupBy("symbol_id", "tier").count().collect()] == [("s0000000", 1, n)]
+    refs = spark.range(n).select(F.lit("f").alias("file_path"), F.lit(7).alias("line"), F.lit(9).alias("col"), F.lit("r").alias("symbol_id"))
+    assert [tuple(r) for r in R.resolve_position(points, s, refs).groupBy("symbol_id", "tier").count().collect()] == [("s0000000", 3, n)]
