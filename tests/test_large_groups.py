@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import graph as G
 from codeloom.operators import listings as M
 from codeloom.operators import relations as R
+from codeloom.operators import vectors as V
 
 
 def table(spark, rows, ddl):
@@ -104,3 +105,26 @@ def test_a_line_inside_all_scopes_of_a_hot_file(spark):
     assert [tuple(r) for r in found.groupBy("symbol_id", "tier").count().collect()] == [("s0000000", 1, n)]
     refs = spark.range(n).select(F.lit("f").alias("file_path"), F.lit(7).alias("line"), F.lit(9).alias("col"), F.lit("r").alias("symbol_id"))
     assert [tuple(r) for r in R.resolve_position(points, s, refs).groupBy("symbol_id", "tier").count().collect()] == [("s0000000", 3, n)]
+
+
+def test_vectors_in_blocks_equal_all_pairs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(V, "PAIR_BLOCK", 16)
+    rnd = random.Random(5)
+    rows = [(f"v{k:03}", "ab"[k % 2], [rnd.gauss(0, 1) for _ in range(4)]) for k in range(120)]
+    rows += [("z", "a", [0.0] * 4), ("n", "a", None), ("m", "a", [1.0, None, 1.0, 1.0]), ("s", "a", [1.0, 2.0]), ("q", "a", [float("nan"), 1.0, 1.0, 1.0]), ("v000", "b", [1.0, 1.0, 1.0, 1.0])]
+    df = table(spark, rows, "id string, g string, e array<double>")
+    a, b = df.select("g", F.col("id").alias("id_a"), F.col("e").alias("x")), df.select("g", F.col("id").alias("id_b"), F.col("e").alias("y"))
+    pairs = a.join(b, "g").filter("id_a < id_b").withColumn("s", V.cosine(F.col("x"), F.col("y"))).filter("s >= 0.3")
+    got = V.similar_pairs(df, "g", 0.3, "id", "e")
+    assert sorted(map(repr, ((r.g, r.id_a, r.id_b, r.similarity) for r in got.collect()))) == sorted(map(repr, ((r.g, r.id_a, r.id_b, r.s) for r in pairs.collect())))
+    q = df.filter("id like 'v00%'").select(F.col("id").alias("query_id"), F.col("e").alias("query_vec"))
+    best = lambda t: sorted(repr(tuple(r)) for r in V.nearest(q.filter("query_id <> 'v000'"), df, 5, t, vec_id="id", embedding="e").filter("similarity >= 0.1").select("query_id", "id", "similarity", "rank").collect())
+    assert best(0.1) == best(-2.0) and len(best(0.1)) > 40
+
+
+def test_shared_count_without_sets_in_pairs(spark):
+    items = table(spark, [(o, i) for o in range(6) for i in range(20) if i % (o + 1) == 0] * 2 + [(1, None), (2, None)], "o long, i long")
+    pairs = table(spark, [(1, 2), (0, 5), (3, 9), (1, 2)], "id_a long, id_b long")
+    assert sorted(tuple(r) for r in V.shared_count(pairs, items, "o", "i").collect()) == [(0, 5, 4), (1, 2, 4), (1, 2, 4), (3, 9, 0)]
