@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import graph as G
 from codeloom.operators import listings as M
+from codeloom.operators import paths as P
 from codeloom.operators import relations as R
 from codeloom.operators import vectors as V
 
@@ -128,3 +129,40 @@ def test_shared_count_without_sets_in_pairs(spark):
     items = table(spark, [(o, i) for o in range(6) for i in range(20) if i % (o + 1) == 0] * 2 + [(1, None), (2, None)], "o long, i long")
     pairs = table(spark, [(1, 2), (0, 5), (3, 9), (1, 2)], "id_a long, id_b long")
     assert sorted(tuple(r) for r in V.shared_count(pairs, items, "o", "i").collect()) == [(0, 5, 4), (1, 2, 4), (1, 2, 4), (3, 9, 0)]
+
+
+def test_shortest_paths_through_a_dense_layer(spark):
+    """Three layers of 1,000 nodes, all of one joined with all of the next: 10**9 steps of the searches, no rows of their own."""
+    n = 1000
+    k = spark.range(n * n).select((F.col("id") % n).alias("a"), F.floor(F.col("id") / n).alias("b"))
+    edges = k.select(F.col("a").alias("src"), (n + F.col("b")).alias("dst")).unionByName(k.select((n + F.col("a")).alias("src"), (2 * n + F.col("b")).alias("dst")))
+    got = G.betweenness(edges).groupBy(F.floor(F.col("node") / n).alias("layer")).agg(F.min("value"), F.max("value")).collect()
+    want = n / ((3 * n - 1) * (3 * n - 2))
+    assert {r.layer: pytest.approx(tuple(r)[1:]) for r in got} == {0: (0, 0), 1: (want, want), 2: (0, 0)}
+
+
+@pytest.mark.parametrize("dense", [0.0, 2.0])
+def test_shortest_paths_in_small_blocks_by_brute_force(spark, monkeypatch, dense):
+    import random
+
+    for name, v in {"BLOCK": 4, "GROUP": 2, "SOURCES": 3, "DENSE": dense, "ROWS": 2}.items():
+        monkeypatch.setattr(P, name, v)
+    rnd = random.Random(3)
+    e = sorted({(a, b) for a, b in ((rnd.randrange(30), rnd.randrange(30)) for _ in range(75)) if a != b})
+    out = {v: [b for a, b in e if a == v] for v in {x for p in e for x in p}}
+    want = dict.fromkeys(out, 0.0)
+    for s in out:
+        order, dist, paths, share = [s], {s: 0}, {s: 1}, dict.fromkeys(out, 0.0)
+        for v in order:
+            for w in out[v]:
+                if w not in dist:
+                    dist[w], paths[w] = dist[v] + 1, 0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        for v in reversed(order):
+            share[v] = sum(paths[v] / paths[w] * (1 + share[w]) for w in out[v] if dist[w] == dist[v] + 1)
+            want[v] += share[v] if v != s else 0
+    m = (len(out) - 1) * (len(out) - 2)
+    got = {r.node: r.value for r in G.betweenness(table(spark, e, "src long, dst long")).collect()}
+    assert got == pytest.approx({v: x / m for v, x in want.items()}, abs=1e-12) and max(want.values()) > 20
