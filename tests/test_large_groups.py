@@ -166,3 +166,15 @@ def test_shortest_paths_in_small_blocks_by_brute_force(spark, monkeypatch, dense
     m = (len(out) - 1) * (len(out) - 2)
     got = {r.node: r.value for r in G.betweenness(table(spark, e, "src long, dst long")).collect()}
     assert got == pytest.approx({v: x / m for v, x in want.items()}, abs=1e-12) and max(want.values()) > 20
+
+
+def test_pairs_of_a_task_stay_as_many(spark, tmp_path, monkeypatch):
+    """Three times the rows are dealt to three times the tasks, each with as many pairs as before."""
+    monkeypatch.setattr(R, "PAIR_ROWS", 500)
+    most = {}
+    for n in (10000, 30000):
+        spark.range(2 * n).select((F.col("id") % n % 7).alias("a"), (F.col("id") % n).alias("b")).write.parquet(f"{tmp_path}/{n}")
+        got = R.counted_pairs(spark.read.parquet(f"{tmp_path}/{n}"), "a", "b")
+        assert got.agg(F.count("*"), F.min("n_rows"), F.max("n_rows")).first()[:] == (n, 2, 2)
+        most[n] = max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+    assert most[30000] < 1.3 * most[10000] < 1.3 * 500
