@@ -10,6 +10,7 @@ from codeloom.lineage import shared_folder
 from codeloom.operators import aggregates as A
 from codeloom.operators import conventions as C
 from codeloom.operators import graph as G
+from codeloom.operators import relations as R
 from codeloom.operators import source_text as X
 from codeloom.plans.indexed import SYM, Code
 from codeloom.plans.registry import Tables, query
@@ -143,7 +144,8 @@ select name, status, n_rows::bigint n_rows, error from (values ('broken', 'faile
  union all select 'out_degree', 'ok', count(*), false from n union all select 'busy', 'ok', count(*), false from (select 1 from n left join i using (node) left join o using (node) where coalesce(i.c, 0) > coalesce(o.c, 0))""")
 def metric_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric steps that are written one by one; one fails, those that need it are passed, the others stand."""
-    edges = G.simple_edges(Tables(spark, sf_dir).lineitem, "l_suppkey", "l_partkey")
+    calls = R.counted_pairs(Tables(spark, sf_dir).lineitem, "l_suppkey", "l_partkey").filter("l_suppkey <> l_partkey")
+    edges = calls.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
     root, ranked = shared_folder(spark, "metrics"), lambda c: A.ranked_metric(G.degrees(edges).select("node", F.col(c).alias("value")), "calls", c)
     fails = lambda t: t["in_degree"].withColumn("value", F.raise_error(F.lit("no such metric")).cast("double"))
     pairs = lambda t: t["in_degree"].alias("i").join(t["out_degree"].alias("o"), "node_id").filter("i.value > o.value").select("node_id")
