@@ -18,6 +18,9 @@ from codeloom.sources import snapshots
 from codeloom.streaming import jobs as J
 from codeloom.streaming.feeds import event_stream, run_available
 
+#: Batches of a job that are computed at once.
+TOGETHER = 4096
+
 LAST = "row_number() over (partition by user_id order by ts desc nulls last, event_id desc) = 1"
 
 
@@ -50,10 +53,10 @@ def resumed_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, root = Code(spark, sf_dir).sym, shared_folder(spark, "job")
     texts = s.select(F.col("id").alias("symbol_id"), F.concat_ws(" ", "name", "signature").alias("text"))
     count = lambda x: F.length("text") - F.length(F.replace(F.col("text"), F.lit(x), F.lit("")))
-    vectors = lambda rows: rows.select("symbol_id", F.concat_ws(",", count("a"), count("e"), count("n"), F.length("text")).alias("vec"))
-    J.BatchJob(texts, "symbol_id", "text", root, 700).run(vectors, most=1)
+    vectors = lambda rows: rows.select("symbol_id", "batch", F.concat_ws(",", count("a"), count("e"), count("n"), F.length("text")).alias("vec"))
+    J.BatchJob(texts, "symbol_id", "text", root, 700).run(vectors, most=1, together=TOGETHER)
     again = J.BatchJob(texts, "symbol_id", "text", root, 700)
-    again.run(vectors)
+    again.run(vectors, together=TOGETHER)
     return again.results().select("symbol_id", "batch", "vec")
 
 

@@ -37,11 +37,12 @@ def generation(rows: DataFrame, key: str, text: str) -> str:
 class BatchJob:
     """A job over the rows of a table in numbered batches, keyed by the hash of all its rows.
 
-    ``<root>/<hash>/work`` holds the rows with their batch, ``batches/<n>`` the results and ``done/<n>`` an
-    empty file for each batch that is finished. A batch goes to its own folder and over whatever a broken
+    ``<root>/<hash>/work`` holds the rows with their batch, ``batches/<n>`` the results and ``done/<n>`` or
+    ``done/<first>-<last>`` an empty file for batches that are finished. A batch goes to its own folder and over whatever a broken
     run has left there, and is done only then, so a batch that is run twice has its rows once. Another
     table's rows have another hash: their job begins anew, and ``results`` never mixes the two. Batches have
-    ``size`` rows, dealt by ranges of the key; only numbers of batches are held by the driver.
+    ``size`` rows, dealt by ranges of the key; only numbers of batches are held by the driver. Where the caller allows it,
+    many batches are one job of Spark's, so the number of jobs does not grow with that of batches.
 
     Rows without a key stay out; of rows with the same key the one with the smallest text counts; an empty
     table is done at once."""
@@ -58,7 +59,8 @@ class BatchJob:
         self.batches = sorted(int(n.split("=")[1]) for n in _names(self.spark, f"{self.at}/work") if n.startswith("batch="))
 
     def done(self) -> list[int]:
-        return sorted(int(n) for n in _names(self.spark, f"{self.at}/done") if n.isdigit())
+        ends = [n.split("-") for n in _names(self.spark, f"{self.at}/done") if n.replace("-", "").isdigit()]
+        return sorted({n for e in ends for n in range(int(e[0]), int(e[-1]) + 1)})
 
     def pending(self) -> list[int]:
         done = set(self.done())
@@ -69,17 +71,53 @@ class BatchJob:
         left = len(self.pending())
         return "completed" if not left else "missing" if left == len(self.batches) else "in_progress"
 
-    def run(self, compute: Callable[[DataFrame], DataFrame], most: int | None = None) -> int:
+    def run(self, compute: Callable[[DataFrame], DataFrame], most: int | None = None, together: int = 1) -> int:
         """Computes batches that are not done, ``most`` of them if given; gives their number. ``compute`` takes the
-        rows of a batch and gives its results."""
+        rows of a batch and gives its results. With ``together`` above 1 it takes those of so many batches at once, with
+        their number as ``batch``, which its results keep; if that fails they are computed one by one, so that those
+        before a broken one are done."""
         todo = self.pending()[:most]
-        for n in todo:
-            rows = self.spark.read.parquet(f"{self.at}/work/batch={n}")
-            compute(rows).write.mode("overwrite").parquet(f"{self.at}/batches/batch={n}")
-            fs, mark = _fs(self.spark, f"{self.at}/done/{n}")
-            fs.create(mark, True).close()
+        for k in range(0, len(todo), max(1, together)):
+            wave = todo[k : k + max(1, together)]
+            if len(wave) == 1 or not self._wave(compute, wave):
+                for n in wave:
+                    self._one(compute, n, together > 1)
         return len(todo)
 
+    def _done(self, first: int, last: int) -> None:
+        fs, mark = _fs(self.spark, f"{self.at}/done/{first}" + (f"-{last}" if last > first else ""))
+        fs.create(mark, True).close()
+
+    def _one(self, compute: Callable[[DataFrame], DataFrame], n: int, named: bool) -> None:
+        rows = self.spark.read.parquet(f"{self.at}/work/batch={n}")
+        made = compute(rows.withColumn("batch", F.lit(n))).drop("batch") if named else compute(rows)
+        made.write.mode("overwrite").parquet(f"{self.at}/batches/batch={n}")
+        self._done(n, n)
+
+    def _wave(self, compute: Callable[[DataFrame], DataFrame], wave: list[int]) -> bool:
+        """Computes batches in one job; False if it breaks off."""
+        left = {f"batch={n}" for n in wave}.intersection(_names(self.spark, f"{self.at}/batches"))
+        for name in left:  # of a broken run
+            fs, p = _fs(self.spark, f"{self.at}/batches/{name}")
+            fs.delete(p, True)
+        work = f"{self.at}/work"
+        rows = self.spark.read.option("basePath", work).parquet(*(f"{work}/batch={n}" for n in wave))
+        try:
+            compute(rows).write.mode("append").partitionBy("batch").parquet(f"{self.at}/batches")
+        except Exception:  # what went wrong shows when the batches are computed one by one
+            return False
+        made = set(_names(self.spark, f"{self.at}/batches"))
+        full = [n for n in wave if f"batch={n}" in made]
+        first = None
+        for n, after in zip(full, [*full[1:], None]):
+            first = n if first is None else first
+            if after != n + 1:
+                self._done(first, n)
+                first = None
+        for n in sorted(set(wave).difference(full)):  # a batch without results still has their columns
+            self._one(compute, n, True)
+        return True
+
     def results(self) -> DataFrame | None:
         """The rows of the batches that are done, with their batch; None before the first."""
         done = self.done()

@@ -105,6 +105,24 @@ def test_job_is_taken_up_where_it_broke_off(spark, tmp_path):
     assert J.BatchJob(rows.limit(0), "id", "text", str(tmp_path), 10).status() == "completed"
 
 
+def test_many_batches_are_few_jobs(spark, tmp_path):
+    rows = table(spark, [(f"k{k:03d}", f"text {k}") for k in range(95)], "id string, text string")
+    fails = lambda at, gone=-1: lambda x: x.filter(F.col("batch") != gone).select("id", "batch", F.when(F.col("id") == at, F.raise_error(F.lit("broken"))).otherwise(F.length("text")).cast("long").alias("n"))
+    calls = []
+    counted = lambda made: lambda x: (calls.append(1), made(x))[1]
+    job = J.BatchJob(rows, "id", "text", str(tmp_path), 5)
+    assert job.run(fails("none"), most=1, together=50) == 1 and job.done() == [0]
+    with pytest.raises(Exception, match="broken"):
+        job.run(fails("k043"), together=50)
+    assert job.done() == list(range(8))  # those before the broken one are done
+    (tmp_path / job.hash / "batches" / "batch=9").mkdir(exist_ok=True)
+    (tmp_path / job.hash / "batches" / "batch=9" / "part-0.parquet").write_bytes(b"half")
+    again = J.BatchJob(rows, "id", "text", str(tmp_path), 5)
+    assert again.run(counted(fails("none", gone=12)), together=50) == 11 and len(calls) == 2  # all at once, then the empty one
+    got = sorted((r.id, r.n, r.batch) for r in again.results().collect())
+    assert got == [(f"k{k:03d}", len(f"text {k}"), k // 5) for k in range(95) if k // 5 != 12] and again.status() == "completed"
+
+
 @pytest.fixture
 def changes(spark, tmp_path):
     """Changes of 7 paths in 9 files; the last of a path is not always in the last file."""
