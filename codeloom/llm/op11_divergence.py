@@ -2,8 +2,8 @@
 
 Terms are counted by sorting. A map task splits whole texts into terms and sorts its records by
 (lang, term, source, document); a run-length scan gives each run's documents and occurrences, and
-only runs leave the task. They are dealt to ranges of (lang, term, source, first document) and
-sorted again; a second scan joins the runs of a key. As a key fills neighbouring ranges, only the
+only runs leave the task. They are dealt to ranges of (term, lang, source, first document) and
+sorted again, terms first, as Spark compares the first bytes of the first column before all else; a second scan joins the runs of a key. As a key fills neighbouring ranges, only the
 first and the last run of a range can go on elsewhere: these partial runs are merged by key, all
 others are final. So a word of every document is split over ranges, between its runs.
 
@@ -168,7 +168,7 @@ def _pair_sums(part: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _scan_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums for the pairs of sources that share terms, over runs of rows sorted by (lang, term, source)."""
+    """Partial sums for the pairs of sources that share terms, over runs of rows sorted by (term, lang, source)."""
     carry = None
     for batch in batches:
         if not batch.num_rows:
@@ -204,7 +204,7 @@ def _divergence(p: Column | str, q: Column | str) -> Column:
 def term_counts(rows: DataFrame) -> DataFrame:
     """``lang, term, source, df, n`` of ``rows (lang, source, doc_id, text)``, by sorted runs."""
     runs = stash(rows.select("lang", "source", "doc_id", "text").mapInArrow(_local_runs, _RUNS), "runs")
-    order = ["lang", "term", "source", "document"]
+    order = ["term", "lang", "source", "document"]
     scanned = stash(runs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan_runs, _COUNTS), "scanned")
     discard(runs)
     merged = scanned.filter("open").groupBy("lang", "term", "source").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
@@ -238,7 +238,7 @@ def source_divergence(docs: DataFrame, min_docs: int = 10, top: int = 10, id_col
     held = shares.groupBy("lang", F.col("source").alias("a"), "p", F.col("p0").alias("pa0")).agg(F.count(F.lit(1)).alias("terms"))
     one = held.join(b, "lang").filter("a <> b").select("lang", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("b"), (F.col("terms") * (_divergence("p", "pb0") - _divergence("pa0", "pb0"))).alias("value"))
     one = one.select("lang", F.col("x").alias("a"), "b", "value")
-    runs = shares.select("lang", "term", "source", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    runs = shares.select("lang", "term", "source", "p", "p0").repartition("lang", "term").sortWithinPartitions("term", "lang", "source")
     both = runs.mapInArrow(_scan_pairs, _PAIRS)
     pairs = base.unionByName(one).unionByName(both).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     ends = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))

@@ -91,3 +91,13 @@ def test_empty_and_very_long(spark):
     got = source_divergence(table(spark, rows)).collect()
     assert [(r.source, r.item, r.value, r.rank) for r in sorted(got) if r.part == "pair"] == [("a", "b", 0, 1), ("b", "a", 0, 1)]
     assert sorted(r["rank"] for r in got if r.part == "term") == sorted([*range(1, 11)] * 2)
+
+
+def test_runs_are_sorted_by_terms_first(spark, monkeypatch):
+    """Sorts compare the first bytes of their first column: languages are few, so all their rows would tie there."""
+    plans, stash = {}, op11_divergence.stash
+    monkeypatch.setattr(op11_divergence, "stash", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or stash(df, name))
+    rows = [(lang, s, k, "commonest commonplace") for k, (lang, s) in enumerate(product(["a", "b"], "xy"))]
+    got = {(r.lang, r.source, r.term): (r.df, r.n) for r in term_counts(table(spark, rows, 4)).collect()}
+    assert got == {(lang, s, t): (1, 1) for lang, s, t in product("ab", "xy", ["commonest", "commonplace"])}
+    assert re.search(r"Sort \[(\w+)#", plans["scanned"])[1] == "term"
