@@ -173,11 +173,11 @@ def uncovered(symbols: DataFrame, edges: DataFrame, changed: DataFrame) -> DataF
 
 
 def ripple(symbols: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """``id, n_outside``: changed functions with callers, in two calls, outside the changed files."""
+    """``id, n_outside``: changed functions with callers, in two calls, outside the changed files. Ids are integers, and
+    ``edges`` is a stored table, as for ``reach_counts``."""
     _, seeds = _changed_functions(symbols, changed)
-    callers = R.two_hops(edges, seeds.select(F.col("id").alias("seed")), "caller_id", "callee_id").join(symbols.select(F.col("id").alias("node"), "file_path"), "node")
-    outside = callers.join(changed.select("file_path").distinct(), "file_path", "left_anti")
-    return outside.groupBy(F.col("seed").alias("id")).agg(F.count(F.lit(1)).alias("n_outside"))
+    outside = symbols.join(changed.select("file_path").distinct(), "file_path", "left_anti")
+    return R.reach_counts(edges, seeds, symbols, outside).select(F.col("seed").alias("id"), F.col("n_nodes").alias("n_outside"))
 
 
 def triage(files: DataFrame, scores: DataFrame, packages: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:

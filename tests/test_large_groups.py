@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.operators import facts as X
 from codeloom.operators import graph as G
 from codeloom.operators import listings as M
 from codeloom.operators import paths as P
@@ -178,3 +179,45 @@ def test_pairs_of_a_task_stay_as_many(spark, tmp_path, monkeypatch):
         assert got.agg(F.count("*"), F.min("n_rows"), F.max("n_rows")).first()[:] == (n, 2, 2)
         most[n] = max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
     assert most[30000] < 1.3 * most[10000] < 1.3 * 500
+
+
+CALLS = "caller_id long, callee_id long"
+
+
+def test_ripple_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(7)
+    ids = [*range(-70, 130, 2), 2**40, 2**40 + 1]
+    files = {i: ["a.go", "b.go", "c.go", "a_test.go", None][rnd.randrange(5)] for i in ids}
+    kinds = {i: rnd.choice(["func", "method", "var"]) for i in ids}
+    s = table(spark, [(i, f"n{i}", kinds[i], files[i]) for i in ids], "id long, name string, kind string, file_path string")
+    ends = [*ids, 131, 133]  # the last two are no symbols
+    e = [(rnd.choice(ends), rnd.choice(ends)) for _ in range(350)]
+    e += [(i, i) for i in ids[::5]] + e[:60] + [(None, ids[0]), (ids[0], None), (None, None)]
+    into = {i: {a for a, b in e if b == i and a in files} for i in ends}
+    changed = {"a.go", "a_test.go"}
+    want = {}
+    for i in ids:
+        if kinds[i] != "var" and files[i] == "a.go":
+            near = into[i].union(*(into[m] for m in into[i]))
+            want[i] = sum(files[u] not in changed for u in near)
+    got = X.ripple(s, table(spark, e, CALLS), table(spark, [(f,) for f in sorted(changed)] * 2, "file_path string"))
+    assert {r.id: r.n_outside for r in got.collect()} == {i: n for i, n in want.items() if n} and max(want.values()) > 5 and 0 in want.values()
+
+
+def test_ripple_of_a_dense_layer(spark):
+    """1,000 changed functions, all called by 1,000 symbols that 1,000 others call: 10**9 paths, no rows of their own."""
+    n = 1000
+    k, kind = F.col("id"), F.when(F.col("id") < n, "func").otherwise("var")
+    s = spark.range(3 * n).select("id", F.lit("x").alias("name"), kind.alias("kind"), F.when(k < 2 * n, "c.go").otherwise("o.go").alias("file_path"))
+    pair = spark.range(n * n).select((k % n).alias("a"), F.floor(k / n).alias("b"))
+    edges = pair.select((n + F.col("a")).alias("caller_id"), F.col("b").alias("callee_id")).unionByName(pair.select((2 * n + F.col("a")).alias("caller_id"), (n + F.col("b")).alias("callee_id")))
+    got = X.ripple(s, edges, table(spark, [("c.go",)], "file_path string"))
+    assert got.agg(F.count("*"), F.min("n_outside"), F.max("n_outside")).first()[:] == (n, n, n)
+
+
+def test_calls_behind_a_ripple_are_dealt_by_their_number(spark, monkeypatch):
+    """Three times the calls are met in three times the tasks."""
+    monkeypatch.setattr(R, "PAIR_ROWS", 500)
+    assert [R.tasks_of(spark.range(n)) for n in (10000, 30000, 1)] == [20, 60, 4]
