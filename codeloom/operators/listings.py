@@ -6,26 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.exprs import receiver_type
+from codeloom.lineage import cut
 from codeloom.operators.facts import embeds
 from codeloom.operators.relations import LINES, overlapping
 
 
-#: Chunks that the methods of a receiver name are dealt to, so that a common name is spread over tasks.
-CHUNKS = 64
+#: Rows from which on the types or methods of one name are dealt to several blocks; most blocks of a name, and most partitions
+#: that pairs of blocks are dealt to.
+BLOCK, BLOCKS, PARTS = 1024, 32, 2048
 
 
 def type_members(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """``type_id, member, name, line``: the methods of each type by the name of their receiver, whatever their package, the
-    fields declared inside it, and the types that it embeds, by references inside it whose line names just a type. Methods of
-    a name meet the types in chunks: their pairs are the result, and no task holds all of a name's."""
+    fields declared inside it, and the types that it embeds, by references inside it whose line names just a type."""
     types = _types(symbols)
-    methods = symbols.filter("kind = 'method'").select(receiver_type(F.col("receiver")).alias("_t"), "name", F.col("line_start").alias("line"), F.pmod(F.xxhash64("id"), F.lit(CHUNKS)).cast("int").alias("_c"))
-    dealt = types.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))))
-    of_methods = dealt.join(methods, ["_t", "_c"]).select("type_id", F.lit("method").alias("member"), "name", "line")
+    methods = symbols.filter("kind = 'method'").select(receiver_type(F.col("receiver")).alias("_t"), F.col("id").alias("_id"), "name", F.col("line_start").alias("line"))
+    of_methods = _with_methods(types.select("type_id", "_t"), methods)
     fields = _inside(types.select("type_id", "file_path", "line_start", "line_end"), _fields(symbols))
     held = _inside(types.select("type_id", "file_path", "line_start", "line_end"), _embedded(symbols, refs))
     row = lambda x, member: x.select("type_id", F.lit(member).alias("member"), "name", "line")
-    return of_methods.unionByName(row(fields, "field")).unionByName(row(held, "embed"))
+    return row(of_methods, "method").unionByName(row(fields, "field")).unionByName(row(held, "embed"))
+
+
+def _with_methods(types: DataFrame, methods: DataFrame) -> DataFrame:
+    """``type_id, name, line``: each of ``types (type_id, _t)`` with each of ``methods (_t, _id, name, line)`` of its name. The pairs
+    are the result; both sides of a name are dealt to blocks by their number, and each pair of blocks is a key of its own, so
+    a common name is spread over tasks, which stream one block past another."""
+    blocks = lambda x, name: x.groupBy("_t").agg(F.least(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(BLOCKS)).cast("int").alias(name))
+    met = cut(blocks(types, "_types").join(blocks(methods, "_methods").hint("shuffle_hash"), "_t"))  # a row for each name
+    n = min(PARTS, 4 * (met.agg(F.sum(F.col("_types") * F.col("_methods"))).first()[0] or 1))
+    at = lambda c, of: F.pmod(F.xxhash64(c), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    x = types.join(met.hint("shuffle_hash"), "_t").select("type_id", "_t", at("type_id", "_types").alias("_a"), each("_methods").alias("_b"))
+    y = methods.join(met.hint("shuffle_hash"), "_t").select("name", "line", "_t", each("_types").alias("_a"), at("_id", "_methods").alias("_b"))
+    key = ["_t", "_a", "_b"]
+    return x.repartition(n, *key).join(y.repartition(n, *key).hint("merge"), key).select("type_id", "name", "line")
 
 
 def type_richness(symbols: DataFrame, refs: DataFrame) -> DataFrame:
@@ -50,11 +65,11 @@ def _fields(symbols: DataFrame) -> DataFrame:
 
 def _embedded(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     named = symbols.filter(F.col("kind").isin("struct", "type", "interface")).select(F.col("id").alias("symbol_id"), "name")
-    return refs.join(named, "symbol_id").filter(embeds(F.col("snippet"), F.col("name"))).select("file_path", "name", "line")
+    return refs.join(named.hint("shuffle_hash"), "symbol_id").filter(embeds(F.col("snippet"), F.col("name"))).select("file_path", "name", "line")
 
 
 def _inside(ranges: DataFrame, rows: DataFrame) -> DataFrame:
-    return overlapping(ranges, rows.withColumn("_to", F.col("line")), ["file_path"], ("line_start", "line_end"), ("line", "_to"), LINES)
+    return overlapping(ranges.hint("merge"), rows.withColumn("_to", F.col("line")), ["file_path"], ("line_start", "line_end"), ("line", "_to"), LINES)
 
 
 def richness(members: DataFrame) -> DataFrame:

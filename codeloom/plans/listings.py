@@ -21,10 +21,11 @@ _MEMBERS = f"""{SYM}, ty as (select id, name t, file_path, line_start, line_end
 def _types(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = Code(spark, sf_dir)
     own = c.sym.select(F.col("k").alias("l_suppkey"), "file_path", "line_start")
-    target = c.sym.select(F.col("k").alias("l_partkey"), F.col("id").alias("symbol_id"), F.col("name").alias("_n"))
+    types = c.sym.filter(F.col("kind").isin("struct", "type", "interface"))  # no other is embedded
+    target = types.select(F.col("k").alias("l_partkey"), F.col("id").alias("symbol_id"), F.col("name").alias("_n"))
     n = F.col("l_linenumber") % 3
     snippet = F.when(n == 0, F.concat(F.lit("*pkg."), "_n")).when(n == 1, F.concat("_n", F.lit(" //x"))).otherwise(F.concat(F.lit("f "), "_n"))
-    refs = c.t.lineitem.select("l_partkey", "l_suppkey", "l_linenumber").join(own, "l_suppkey").join(target, "l_partkey").select("symbol_id", "file_path", (F.col("line_start") + F.col("l_linenumber")).cast("int").alias("line"), snippet.alias("snippet"))
+    refs = c.t.lineitem.select("l_partkey", "l_suppkey", "l_linenumber").join(target.hint("shuffle_hash"), "l_partkey").join(own.hint("shuffle_hash"), "l_suppkey").select("symbol_id", "file_path", (F.col("line_start") + F.col("l_linenumber")).cast("int").alias("line"), snippet.alias("snippet"))
     return c.sym, refs
 
 

@@ -84,6 +84,28 @@ def test_methods_of_a_common_receiver_are_spread(spark):
     assert sum(sizes) == n * n and max(sizes) < n * n
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_of_types_by_brute_force_and_without_broadcasts(spark, monkeypatch):
+    """Methods and types of a name in several blocks; tables that look small on disk are not sent to the driver."""
+    monkeypatch.setattr(M, "BLOCK", 4, raising=False)
+    monkeypatch.setattr(M, "BLOCKS", 3, raising=False)
+    rows = [(f"t{k}", "TUV"[k % 3] if k else None, "struct", None, f"f{k % 3}", k, k + 9) for k in range(40)]
+    rows += [(f"m{k}", f"n{k % 5}", "method", "(*T)" if k % 4 else "(U)", "h", k, k) for k in range(30)] + [("m", "n", "method", None, "h", 1, 1)]
+    rows += [(f"d{k}", f"n{k % 4}", "field", None, f"f{k % 3}", 2 * k, 2 * k) for k in range(20)]
+    s = table(spark, rows, TYPE)
+    refs = table(spark, [(f"t{k % 40}", f"f{k % 3}", k, "TUV"[k % 40 % 3]) for k in range(1, 50)], "symbol_id string, file_path string, line int, snippet string")
+    got = M.type_members(s, refs)
+    types = [r for r in rows if r[2] == "struct"]
+    want = Counter((t[0], "method", m[1], m[5]) for t in types for m in rows if m[2] == "method" and m[3] and m[3].strip("(*)") == t[1])
+    want += Counter((t[0], "field", d[1], d[5]) for t in types for d in rows if d[2] == "field" and d[4] == t[4] and t[5] <= d[5] <= t[6])
+    want += Counter((t[0], "embed", "TUV"[k % 40 % 3], k) for t in types for k in range(1, 50) if k % 40 and t[4] == f"f{k % 3}" and t[5] <= k <= t[6])
+    assert Counter(tuple(r) for r in got.collect()) == want
+    assert "Broadcast" not in plan_of(got)
+
+
 def test_least_enclosing_by_brute_force(spark):
     spans = [("f" if k % 3 else "g", k * 7 % 60 - 9, k * 7 % 60 - 9 + k * k % 37 - 1, f"i{k:02}") for k in range(60)]
     points = [(f, n) for f in "fgh" for n in range(-15, 110)]
