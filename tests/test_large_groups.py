@@ -191,6 +191,30 @@ def test_shortest_paths_in_small_blocks_by_brute_force(spark, monkeypatch, dense
     assert got == pytest.approx({v: x / m for v, x in want.items()}, abs=1e-12) and max(want.values()) > 20
 
 
+def test_shortest_paths_of_batches_of_sources(spark, monkeypatch):
+    """Edges are made once, and no step holds more than a batch's values, whatever the number of sources."""
+    for name, v in {"BLOCK": 8, "GROUP": 2, "SOURCES": 4, "VALUES": 50, "GROWTH": 1}.items():
+        monkeypatch.setattr(P, name, v, raising=False)
+    held, cut = [], P.cut
+
+    def seen(df):
+        x = cut(df)
+        held.append(x.agg(F.sum(F.size("at"))).first()[0] or 0 if set(x.columns) >= {"source", "at"} else 0)
+        return x
+
+    monkeypatch.setattr(P, "cut", seen)
+    n, made = 12, spark.sparkContext.accumulator(0)
+    ring = [(k, (k + d) % n) for k in range(n) for d in (1, 5)]
+    e = spark.createDataFrame(spark.sparkContext.parallelize(ring, 2).map(lambda x: (made.add(1), x)[1]), "src long, dst long")
+    values = [r.value for r in G.betweenness(e).collect()]
+    assert made.value == len(ring)
+    assert max(held) <= 24  # 36 if all sources were searched from at once
+    far = {0: 0}
+    for _ in range(n):
+        far |= {w: min(far.get(w, n), far[v] + 1) for v in list(far) for a, w in ring if a == v}
+    assert values == pytest.approx([sum(x - 1 for x in far.values() if x) / ((n - 1) * (n - 2))] * n)
+
+
 def test_pairs_of_a_task_stay_as_many(spark, tmp_path, monkeypatch):
     """Three times the rows are dealt to three times the tasks, each with as many pairs as before."""
     monkeypatch.setattr(R, "PAIR_ROWS", 500)
