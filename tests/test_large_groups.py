@@ -267,3 +267,20 @@ def test_calls_behind_a_ripple_are_dealt_by_their_number(spark, monkeypatch):
     """Three times the calls are met in three times the tasks."""
     monkeypatch.setattr(R, "PAIR_ROWS", 500)
     assert [R.tasks_of(spark.range(n)) for n in (10000, 30000, 1)] == [20, 60, 4]
+
+
+def test_covering_counts_equal_their_rows_without_broadcasts(spark):
+    import random
+
+    rnd = random.Random(11)
+    ids = [*range(-70, 130, 2), 2**40, 2**40 + 1]
+    s = table(spark, [(i, rnd.choice(["TestA", "x"]), rnd.choice(["a_test.go", "b.go"])) for i in ids], "id long, name string, file_path string")
+    ends = [*ids, 131]  # the last is no symbol
+    e = [(rnd.choice(ends), rnd.choice(ids)) for _ in range(350)]
+    e += [(i, i) for i in ids[::5]] + e[:60] + [(b, a) for a, b in e[:40]] + [(None, ids[0]), (ids[0], None)]
+    edges = table(spark, e, CALLS)
+    known = edges.join(s.select(F.col("id").alias("caller_id")), "caller_id", "left_semi")
+    want = Counter(r.seed for r in R.covering_tests(known, s, edges.select(F.col("callee_id").alias("seed"))).collect())
+    got = R.covering_counts(edges, s)
+    assert {r.seed: r.n_tests for r in got.collect()} == want and max(want.values()) > 4
+    assert "Broadcast" not in plan_of(got)
