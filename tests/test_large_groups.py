@@ -154,6 +154,17 @@ def test_shared_count_without_sets_in_pairs(spark):
     assert sorted(tuple(r) for r in V.shared_count(pairs, items, "o", "i").collect()) == [(0, 5, 4), (1, 2, 4), (1, 2, 4), (3, 9, 0)]
 
 
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_shared_count_of_few_and_of_many_pairs(spark, monkeypatch, sent):
+    """Sent or dealt, pairs have the same counts; of few, no pair is dealt that is not asked for."""
+    monkeypatch.setattr(V, "SENT", sent, raising=False)
+    items = spark.range(2000).select((F.col("id") % 100).alias("o"), F.floor(F.col("id") / 200).alias("i"))
+    got = V.shared_count(table(spark, [(1, 2), (3, 500)], "id_a long, id_b long"), items.unionAll(items), "o", "i")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 10), (3, 500, 0)]
+    semi = [x for x in plan_of(got).splitlines() if "LeftSemi" in x and "id_b" in x]
+    assert bool(semi) == bool(sent) and all("Broadcast" in x for x in semi)
+
+
 def test_shortest_paths_through_a_dense_layer(spark):
     """Three layers of 1,000 nodes, all of one joined with all of the next: 10**9 steps of the searches, no rows of their own."""
     n = 1000
